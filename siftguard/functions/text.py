@@ -24,6 +24,12 @@ def unicode_pattern(pattern: str) -> str:
     return pattern
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal with this value."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Does the pattern occur anywhere in the text? The pattern is a plan-time literal."""
     return text.rlike(unicode_pattern(pattern))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
-from ..functions.text import matches, strip, unicode_pattern
+from ..functions.text import matches, sql_text, strip, unicode_pattern
 from ..rules import min_weight
 from ..rules.remediation import REMEDIES
 from ..schemas import FINDING_COLUMNS, RAW_COLUMNS
@@ -95,11 +95,11 @@ def deduplicate(raw: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def remediation() -> Column:
     """Specific advice where the title and the snippet call for it, else the rule's own."""
-    choice = None
-    for remedy in REMEDIES:
-        test = matches(F.col("title"), remedy.title) & matches(F.col("code_snippet"), remedy.snippet)
-        choice = F.when(test, remedy.text()) if choice is None else choice.when(test, remedy.text())
-    return choice.otherwise(F.col("fix"))
+    branches = " ".join(
+        f"WHEN title RLIKE {sql_text(unicode_pattern(r.title))} "
+        f"AND code_snippet RLIKE {sql_text(unicode_pattern(r.snippet))} THEN {sql_text(r.text())}"
+        for r in REMEDIES)
+    return F.expr(f"CASE {branches} ELSE fix END")
 
 
 def remediate(findings: DataFrame) -> DataFrame:

@@ -7,12 +7,10 @@ rule table. No shuffle happens.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ends_with_any, matches, rstrip
+from ..functions.text import rstrip, sql_text, unicode_pattern
 from ..rules import SCANNERS, USER_RULES_LABEL, Rule
 from ..schemas import RAW_COLUMNS, RULES
 from ..session import dimension
@@ -42,29 +40,28 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return dimension(spark, rows, StructType.fromDDL(RULES))
 
 
-def _contains_any(group: tuple[str, ...], lowered: Column) -> Column:
-    return reduce(lambda a, b: a | b, [lowered.contains(word) for word in group])
+def _contains_any(group: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(_lowered, {sql_text(word)})" for word in group) + ")"
 
 
-def literal_gate(rule: Rule, lowered: Column, folding: Column) -> Column:
+def gate_sql(groups) -> str:
     """True for every line the rule can match: at least one literal of each group occurs."""
-    groups = [_contains_any(group, lowered) for group in rule.needs]
-    return reduce(lambda a, b: a & b, groups) | folding
+    return f"(_folding OR ({' AND '.join(_contains_any(g) for g in groups)}))"
 
 
-def _bit(rule: Rule, bit: int, path, text, lowered, folding) -> Column:
-    test = matches(text, rule.pattern)
-    if rule.not_pattern:
-        test = test & ~matches(text, rule.not_pattern)
-    inner = rule.needs[1:]
-    if inner:
-        test = (reduce(lambda a, b: a & b, [_contains_any(g, lowered) for g in inner]) | folding) & test
+def _bit_sql(rule: Rule, bit: int) -> str:
+    tests = []
     if rule.exts and not _plain(rule):
-        test = ends_with_any(path, rule.exts) & test
-    return F.when(test, F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint")
+        tests.append("(" + " OR ".join(f"endswith(path, {sql_text(e)})" for e in rule.exts) + ")")
+    if rule.needs[1:]:
+        tests.append(gate_sql(rule.needs[1:]))
+    tests.append(f"text RLIKE {sql_text(unicode_pattern(rule.pattern))}")
+    if rule.not_pattern:
+        tests.append(f"NOT text RLIKE {sql_text(unicode_pattern(rule.not_pattern))}")
+    return f"IF({' AND '.join(tests)}, {1 << bit}L, 0L)"
 
 
-def _mask(rules: list[Rule], bit_of: dict, path, text, lowered, folding) -> Column:
+def _mask_sql(rules: list[Rule], bit_of: dict[int, int]) -> str:
     """Sum of the bits of the rules that match. Bits are distinct, so a sum is a union.
 
     Rules that share their first literal group sit behind one test of it, so a line without
@@ -75,12 +72,9 @@ def _mask(rules: list[Rule], bit_of: dict, path, text, lowered, folding) -> Colu
         by_anchor.setdefault(rule.needs[0] if rule.needs else (), []).append(rule)
     terms = []
     for anchor, members in by_anchor.items():
-        bits = reduce(lambda a, b: a + b,
-                      [_bit(r, bit_of[r.rule_ord], path, text, lowered, folding) for r in members])
-        if anchor:
-            bits = F.when(_contains_any(anchor, lowered) | folding, bits).otherwise(F.lit(0).cast("bigint"))
-        terms.append(bits)
-    return reduce(lambda a, b: a + b, terms)
+        bits = " + ".join(_bit_sql(r, bit_of[r.rule_ord]) for r in members)
+        terms.append(f"IF({gate_sql([anchor])}, {bits}, 0L)" if anchor else f"({bits})")
+    return " + ".join(terms)
 
 
 def _plain(rule: Rule) -> bool:
@@ -102,59 +96,46 @@ def _branches(rules: list[Rule]):
     return everywhere, by_ext, by_kind
 
 
-def hit_mask(rules: list[Rule], bit_of: dict) -> Column:
+def mask_sql(rules: list[Rule], bit_of: dict[int, int]) -> str:
     """Mask of matching rules for columns ``path``, ``ext``, ``kind``, ``text``."""
-    path, text = F.col("path"), F.col("text")
-    lowered, folding = F.col("_lowered"), F.col("_folding")
     everywhere, by_ext, by_kind = _branches(rules)
-    parts = []
-    if everywhere:
-        parts.append(_mask(everywhere, bit_of, path, text, lowered, folding))
+    parts = [_mask_sql(everywhere, bit_of)] if everywhere else []
     for column, groups in (("ext", by_ext), ("kind", by_kind)):
-        choice = None
-        for value, members in groups.items():
-            mask = _mask(members, bit_of, path, text, lowered, folding)
-            test = F.col(column) == value
-            choice = F.when(test, mask) if choice is None else choice.when(test, mask)
-        if choice is not None:
-            parts.append(choice.otherwise(F.lit(0).cast("bigint")))
-    return reduce(lambda a, b: a + b, parts)
+        if groups:
+            branches = " ".join(f"WHEN {sql_text(value)} THEN {_mask_sql(members, bit_of)}"
+                                for value, members in groups.items())
+            parts.append(f"CASE {column} {branches} ELSE 0L END")
+    return " + ".join(parts)
 
 
 def match_rules(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """(path, line, text, rule_ord) for each rule that matches the line.
 
     ``lines`` has ``path``, ``ext``, ``kind``, ``line``, ``text``. Extra columns pass through.
+    The rules arrive as SQL text, which Spark parses in one go.
     """
     if not rules:
         return lines.select("*", F.lit(None).cast("bigint").alias("rule_ord")).filter(F.lit(False))
-    text = F.col("text")
-    base = lines.select(
-        "*", F.lower(text).alias("_lowered"),
-        reduce(lambda a, b: a | b, [text.contains(c) for c in _FOLDING]).alias("_folding"))
-    masks, ordinals = [], []
+    folding = " OR ".join(f"contains(text, '{c}')" for c in _FOLDING)
+    base = lines.selectExpr("*", "lower(text) AS _lowered", f"({folding}) AS _folding")
+    masks, bits = [], []
     for start in range(0, len(rules), _BITS):
         chunk = rules[start:start + _BITS]
-        masks.append(hit_mask(chunk, {r.rule_ord: i for i, r in enumerate(chunk)}))
-        ordinals.append([r.rule_ord for r in chunk])
-    names = [f"_mask{i}" for i in range(len(masks))]
-    hits = base.select(*lines.columns, *[m.alias(n) for m, n in zip(masks, names)])
-    bits = [
-        F.filter(F.array(*[F.when(F.col(name).bitwiseAND(F.lit(1 << i)) != 0, F.lit(o).cast("bigint"))
-                           for i, o in enumerate(group)]), lambda x: x.isNotNull())
-        for name, group in zip(names, ordinals)
-    ]
+        name = f"_mask{len(masks)}"
+        masks.append(f"{mask_sql(chunk, {r.rule_ord: i for i, r in enumerate(chunk)})} AS {name}")
+        bits += [f"IF({name} & {1 << i}L <> 0, {r.rule_ord}L, NULL)" for i, r in enumerate(chunk)]
+    masked = base.selectExpr(*lines.columns, *masks)
+    any_hit = " OR ".join(f"_mask{i} <> 0" for i in range(len(masks)))
     # Exploding null yields no row. A filter on the mask would do the same, but the
     # optimizer would move it below the projection and evaluate every rule twice.
-    any_hit = reduce(lambda a, b: a | b, [F.col(n) != 0 for n in names])
-    ordinals_hit = F.when(any_hit, F.concat(*bits) if len(bits) > 1 else bits[0])
-    return hits.select(*lines.columns, F.explode(ordinals_hit).alias("rule_ord"))
+    ordinals = f"IF({any_hit}, filter(array({', '.join(bits)}), x -> x IS NOT NULL), NULL)"
+    return masked.selectExpr(*lines.columns, f"explode({ordinals}) AS rule_ord")
 
 
 def attach_metadata(hits: DataFrame, table: DataFrame) -> DataFrame:
     """Raw findings: rule metadata joined to the hits through the small rule table."""
-    meta = table.select("rule_ord", "severity", "sev_weight", "title", "description", "cwe_id", "fix",
-                        F.col("label").alias("scanner"))
+    meta = table.selectExpr("rule_ord", "severity", "sev_weight", "title", "description", "cwe_id", "fix",
+                            "label AS scanner")
     return (
         hits.join(meta, "rule_ord")
         .withColumnsRenamed({"path": "file", "text": "source_line"})

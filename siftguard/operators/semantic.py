@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import rstrip
+from ..functions.text import rstrip, sql_text
 from ..rules import SEVERITY_WEIGHTS, min_weight, scanner_base
 from ..rules.semantic import RISKY_IMPORTS, SEMANTIC_RULES, WATCHED
 from ..schemas import RAW_COLUMNS
@@ -105,13 +105,11 @@ def semantic_findings(files: DataFrame, min_severity: str = "INFO") -> DataFrame
     """Raw findings: every fact that satisfies a detector. No shuffle."""
     floor = min_weight(min_severity)
     rules = [r for r in SEMANTIC_RULES if SEVERITY_WEIGHTS[r.severity] >= floor]
-    found = F.array(*[
-        F.when(F.expr(r.condition), F.struct(
-            F.lit(r.severity).alias("severity"), F.lit(SEVERITY_WEIGHTS[r.severity]).alias("sev_weight"),
-            F.expr(r.title).alias("title"), F.lit(r.description).alias("description"),
-            F.lit(r.cwe_id).alias("cwe_id"), F.lit(r.fix).alias("fix")))
-        for r in rules])
-    hits = syntax_facts(files).select("file", "line", "seq", "source_line", F.explode(found).alias("hit"))
+    found = ", ".join(
+        f"IF({r.condition}, named_struct('severity', '{r.severity}', 'sev_weight', {SEVERITY_WEIGHTS[r.severity]}, "
+        f"'title', {r.title}, 'description', {sql_text(r.description)}, 'cwe_id', '{r.cwe_id}', "
+        f"'fix', {sql_text(r.fix)}), NULL)" for r in rules)
+    hits = syntax_facts(files).select("file", "line", "seq", "source_line", F.expr(f"explode(array({found}))").alias("hit"))
     return hits.filter(F.col("hit").isNotNull()).select(
         "file", "line", "hit.*", F.coalesce(rstrip(F.col("source_line")), F.lit("")).alias("code_snippet"),
         F.lit("ASTScanner").alias("scanner"), F.lit(scanner_base("ast_scanner")).cast("bigint").alias("rule_ord"),

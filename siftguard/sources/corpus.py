@@ -18,6 +18,8 @@ from ..functions.text import decode_utf8, ends_with_any, is_binary
 
 #: The driver expands folders until it has this many to hand out; tasks walk the rest.
 FRONTIER = 512
+#: Bytes of file content handed from the reader to Spark at a time.
+BATCH_BYTES = 16_000_000
 
 
 def _enters(name: str, excluded: set[str]) -> bool:
@@ -66,25 +68,34 @@ def _with_sizes(paths: list[str]) -> pd.DataFrame:
 
 
 def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, length in zip(batch["path"], batch["length"]):
-            try:
-                with open(path, "rb") as handle:
-                    raw = handle.read()
-            except OSError:
-                raw = None
-            yield pd.DataFrame({"path": [path], "length": pd.array([length], dtype="Int64"), "bytes": [raw]})
-
+    """Open the files without a skip reason, handing on about ``BATCH_BYTES`` at a time."""
+    def packed(rows):
+        frame = pd.DataFrame(rows, columns=["path", "length", "skip_reason", "bytes"])
+        return frame.astype({"length": "Int64"})
 
-def _status(cfg: ScanConfig) -> Column:
-    """Why a file is skipped, or null. Unreadable files have no bytes."""
-    binary = F.lit(False) if cfg.scan_binary else is_binary(F.col("bytes"))
-    return F.when(F.col("bytes").isNull(), "unreadable").when(binary, "binary")
+    for batch in batches:
+        rows, size = [], 0
+        for path, length, skip in zip(batch["path"], batch["length"], batch["skip_reason"]):
+            raw = None
+            if skip is None:
+                try:
+                    with open(path, "rb") as handle:
+                        raw = handle.read()
+                except OSError:
+                    skip = "unreadable"
+            rows.append((path, length, skip, raw))
+            size += len(raw or b"")
+            if size >= BATCH_BYTES:
+                yield packed(rows)
+                rows, size = [], 0
+        yield packed(rows)
 
 
 def decode_files(raw: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """(path, length, bytes) → files. Skipped files keep their row, without content."""
-    marked = raw.select("path", "length", "bytes", _status(cfg).alias("skip_reason"))
+    """(path, length, skip_reason, bytes) → files. Skipped files keep their row, without content."""
+    binary = F.lit(False) if cfg.scan_binary else is_binary(F.col("bytes"))
+    reason = F.coalesce("skip_reason", F.when(F.col("bytes").isNull(), "unreadable").when(binary, "binary"))
+    marked = raw.select("path", "length", "bytes", reason.alias("skip_reason"))
     content = F.when(F.col("skip_reason").isNull(), decode_utf8(F.col("bytes")))
     return marked.select("path", "length", content.alias("content"), "skip_reason")
 
@@ -108,12 +119,10 @@ def read_corpus(spark: SparkSession, root: str, cfg: ScanConfig | None = None,
         listing = _listing(spark, root, set(cfg.exclude_dirs))
         listing = listing.filter(ends_with_any(F.col("path"), cfg.include_extensions))
     spread = listing.repartition(tasks, "path") if tasks else listing.repartition("path")
-    small = F.col("length") <= cfg.max_file_size
-    read = decode_files(spread.filter(small).mapInPandas(_read_bytes, "path string, length bigint, bytes binary"), cfg)
-    left_out = spread.filter(~F.coalesce(small, F.lit(False))).select(
-        "path", "length", F.lit(None).cast("string").alias("content"),
-        F.when(F.col("length").isNull(), "unreadable").otherwise("oversize").alias("skip_reason"))
-    return read.unionByName(left_out)
+    reason = F.when(F.col("length").isNull(), "unreadable").when(F.col("length") > cfg.max_file_size, "oversize")
+    raw = spread.withColumn("skip_reason", reason).mapInPandas(
+        _read_bytes, "path string, length bigint, skip_reason string, bytes binary")
+    return decode_files(raw, cfg)
 
 
 def corpus_from_table(df: DataFrame, path: Column, text: Column) -> DataFrame:
