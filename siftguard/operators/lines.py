@@ -26,7 +26,7 @@ def file_kind(path: Column, content: Column) -> Column:
     name = F.lower(basename(path))
     suffix_known = path.endswith(".yml") | path.endswith(".yaml") | path.endswith(".tf") | path.endswith(".hcl")
     # A name that starts with its only dot has no extension.
-    stem_free = F.ltrim(F.lit("."), basename(path))
+    stem_free = F.ltrim(basename(path), F.lit("."))
     has_ext = stem_free.contains(".")
     yaml = has_ext & (path.endswith(".yml") | path.endswith(".yaml"))
     return (
