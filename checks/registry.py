@@ -98,7 +98,7 @@ def dependency_raw(spark, sf) -> DataFrame:
 
 def _manifest(name):
     columns = ["file", "manifest", "pkg", "pkg_key", "ver", "line", "code_snippet"]
-    return lambda spark, sf: deps.EXTRACTORS[name](man.manifest_files(spark, sf)).select(*columns)
+    return lambda spark, sf: deps.extract_dependencies(man.manifest_files(spark, sf), name).select(*columns)
 
 
 # ------------------------------------------------------------------ sources

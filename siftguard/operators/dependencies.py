@@ -1,8 +1,8 @@
 """Pinned dependencies: extraction from six manifest formats, matching with advisories.
 
-Every extractor works inside one row: a manifest is one file, and its state (which package a
-version line belongs to) is resolved with array functions. So extraction needs no shuffle
-and no window, and one manifest is bounded by the size limit of the corpus.
+Extraction works inside one row: a manifest is one file, and its state (which package a
+version line belongs to) is resolved with array functions. So all six formats take one pass
+over the corpus without shuffle or window, and a row is bounded by the size limit for files.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from pyspark.sql.types import StructType
 
 from ..functions import severity as sev
 from ..functions.osv import osv_fix_version, osv_severity
-from ..functions.text import basename, rstrip, strip, unicode_pattern
+from ..functions.text import basename, sql_text, unicode_pattern
 from ..functions.versions import version_key
 from ..rules import scanner_base
 from ..rules.advisories import ADVISORIES as BUNDLED
 from ..schemas import ADVISORIES, RAW_COLUMNS
 from ..session import dimension
 from .joins import salted_join
-from .lines import drop_last_empty, explode_lines, split_lines
+from .lines import drop_last_empty, split_lines
 
 # Manifest file names (lower case) and the registry their packages live in.
 ECOSYSTEMS = {"requirements.txt": "PyPI", "poetry.lock": "PyPI", "pipfile.lock": "PyPI",
@@ -40,162 +40,119 @@ DEPENDENCY_CWE = "CWE-1035"
 COLUMNS = ["file", "manifest", "pkg", "pkg_key", "ver", "line", "code_snippet", "source_line", "dep_seq"]
 
 
-def manifests(files: DataFrame) -> DataFrame:
-    """Keep manifest files; ``manifest`` is the lower-case file name.
+def is_manifest(path: Column) -> Column:
+    """The suffix test is case-sensitive while the name test is not."""
+    suffix = reduce(lambda a, b: a | b, [path.endswith(s) for s in (".txt", ".json", ".lock")])
+    return suffix & F.lower(basename(path)).isin(*ECOSYSTEMS)
 
-    The suffix test is case-sensitive while the name test is not.
-    """
-    name = F.lower(basename(F.col("path")))
-    suffix = reduce(lambda a, b: a | b, [F.col("path").endswith(s) for s in (".txt", ".json", ".lock")])
-    kept = files.filter(suffix & name.isin(*ECOSYSTEMS) & F.col("content").isNotNull())
-    return kept.select("path", "content", name.alias("manifest"))
 
+def _capture(text: str, pattern: str, index: int = 1) -> str:
+    return f"regexp_extract({text}, {sql_text(unicode_pattern(pattern))}, {index})"
 
-def _of(files: DataFrame, manifest: str) -> DataFrame:
-    return manifests(files).filter(F.col("manifest") == manifest)
 
+def _stripped(text: str) -> str:
+    return f"regexp_replace({text}, '(?U)^[\\\\s\\\\x1f]+|[\\\\s\\\\x1f]+$', '')"
 
-def _rows(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("int") if c == "line" else F.col(c).cast("bigint") if c == "dep_seq"
-                       else F.col(c) for c in COLUMNS])
 
+def _pin(pkg: str, ver: str, line: str, snippet: str, source: str, seq: str) -> str:
+    return (f"named_struct('pkg', {pkg}, 'ver', {ver}, 'line', CAST({line} AS INT), 'code_snippet', {snippet}, "
+            f"'source_line', {source}, 'dep_seq', CAST({seq} AS BIGINT))")
 
-def _group(text: Column, pattern: str, index: int = 1) -> Column:
-    """Capture of the first match, or null. The captures used here are never empty."""
-    return F.nullif(F.regexp_extract(text, unicode_pattern(pattern), index), F.lit(""))
 
+def _events(name_pattern: str, version_pattern: str, name_index: int = 1, version_index: int = 1) -> str:
+    """Array of the lines that carry a name or a version; '' stands for "not on this line"."""
+    event = (f"named_struct('line', i + 1, 'text', t, 'name', {_capture('t', name_pattern, name_index)}, "
+             f"'ver', {_capture('t', version_pattern, version_index)})")
+    return f"filter(transform(_lines, (t, i) -> {event}), e -> e.name <> '' OR e.ver <> '')"
 
-def from_requirements(files: DataFrame) -> DataFrame:
-    """``name OP version`` lines; whatever the operator, the version counts as installed."""
-    lines = explode_lines(_of(files, "requirements.txt"), ["path", "manifest"])
-    pins = lines.select("path", "manifest", "line", "text",
-                        _group(F.col("text"), REQUIREMENT).alias("name"),
-                        _group(F.col("text"), REQUIREMENT, 2).alias("ver"))
-    pins = pins.filter(F.col("name").isNotNull() & F.col("ver").isNotNull())
-    name = F.lower("name")
-    return _rows(pins.select(
-        F.col("path").alias("file"), "manifest", name.alias("pkg"), name.alias("pkg_key"), strip(F.col("ver")).alias("ver"),
-        "line", rstrip(F.col("text")).alias("code_snippet"), F.col("text").alias("source_line"),
-        F.col("line").alias("dep_seq")))
 
+def _owned(pkg: str, glue: str) -> str:
+    """Pins of a lock file. A version takes the name of its own line, else that of the event
+    right before it, unless a version has used that name up."""
+    before = "get(_events, i - 1)"
+    owner = f"IF(e.name <> '', e, IF(i > 0 AND {before}.ver = '', {before}, NULL))"
+    paired = f"transform(_events, (e, i) -> named_struct('o', {owner}, 'ver', e.ver, 'at', e.line))"
+    pin = _pin(pkg, "p.ver", "p.o.line", f"concat({pkg}, '{glue}', p.ver)", "p.o.text", "p.at")
+    return f"transform(filter({paired}, p -> p.o IS NOT NULL AND p.ver <> ''), p -> {pin})"
 
-def _lock_events(files: DataFrame, manifest: str, name_pattern: str, version_pattern: str) -> DataFrame:
-    """(path, pin) where each pin pairs a version line with the name line it belongs to.
 
-    Only lines with a name or a version matter. A version takes the name of its own line,
-    else that of the event right before it, unless a version has used that name up.
-    """
-    parts = _of(files, manifest).select("path", "manifest", split_lines(F.col("content")).alias("_parts"))
-    events = F.transform(drop_last_empty(F.col("_parts")), lambda text, i: F.struct(
-        (i + 1).alias("line"), text.alias("text"),
-        _group(text, name_pattern).alias("name"), _group(text, version_pattern).alias("ver")))
-    kept = F.filter(events, lambda e: e["name"].isNotNull() | e["ver"].isNotNull())
-    found = parts.select("path", "manifest", kept.alias("_events"))
-
-    def pair(event, i):
-        before = F.when(i > 0, F.get(F.col("_events"), i - 1))
-        owner = F.when(event["name"].isNotNull(), event).when(before["ver"].isNull(), before)
-        return F.struct(owner["line"].alias("line"), owner["text"].alias("text"), owner["name"].alias("name"),
-                        event["ver"].alias("ver"), event["line"].alias("at"))
-
-    pins = F.filter(F.transform(F.col("_events"), pair), lambda p: p["name"].isNotNull() & p["ver"].isNotNull())
-    return found.select("path", "manifest", F.explode(pins).alias("pin")).select("path", "manifest", "pin.*")
-
-
-def from_poetry_lock(files: DataFrame) -> DataFrame:
-    pins = _lock_events(files, "poetry.lock", POETRY_NAME, POETRY_VERSION)
-    name = F.lower("name")
-    return _rows(pins.select(
-        F.col("path").alias("file"), "manifest", name.alias("pkg"), name.alias("pkg_key"), "ver", "line",
-        F.concat(name, F.lit("=="), F.col("ver")).alias("code_snippet"), F.col("text").alias("source_line"),
-        F.col("at").alias("dep_seq")))
-
-
-def from_yarn_lock(files: DataFrame) -> DataFrame:
-    """A quoted scoped package (``@org/name``) has no name in front of its first ``@``."""
-    pins = _lock_events(files, "yarn.lock", YARN_NAME, YARN_VERSION)
-    name = strip(F.col("name"))
-    return _rows(pins.select(
-        F.col("path").alias("file"), "manifest", name.alias("pkg"), F.lower(name).alias("pkg_key"), "ver", "line",
-        F.concat(name, F.lit("@"), F.col("ver")).alias("code_snippet"), F.col("text").alias("source_line"),
-        F.col("at").alias("dep_seq")))
-
-
-def _parsed(files: DataFrame, manifest: str, fields: str) -> DataFrame:
-    """Parse JSON manifests. A document that is no object or is malformed gives no rows."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
-    first = F.get(drop_last_empty(split_lines(F.col("content"))), F.lit(0))
-    return (
-        _of(files, manifest).filter(F.col("content").rlike(r"^\s*\{"))
-        .select("path", "manifest", "content",
-                F.from_json("content", f"{fields}, _malformed string", options).alias("doc"))
-        .filter(F.col("doc").isNotNull() & F.col("doc._malformed").isNull())
-        .select("path", "manifest", "doc", F.json_object_keys("content").alias("keys"), first.alias("source_line"))
-    )
-
-
-def from_package_json(files: DataFrame) -> DataFrame:
-    """Both dependency maps; a development entry replaces the normal one."""
-    docs = _parsed(files, "package.json", "dependencies map<string,string>, devDependencies map<string,string>")
-    none = F.create_map().cast("map<string,string>")
-    development = F.coalesce("doc.devDependencies", none)
-    normal = F.map_filter(F.coalesce("doc.dependencies", none),
-                          lambda k, v: ~F.map_contains_key(development, k))
-    pins = docs.select("path", "manifest", "source_line",
-                       F.posexplode(F.map_entries(F.map_concat(normal, development))).alias("pos", "entry"))
-    pins = pins.select("*", "entry.key", "entry.value").filter(F.col("value").isNotNull())
-    return _rows(pins.select(
-        F.col("path").alias("file"), "manifest", F.col("key").alias("pkg"), F.lower("key").alias("pkg_key"),
-        strip(F.regexp_replace("value", unicode_pattern(RANGE_PREFIX), "")).alias("ver"), F.lit(1).alias("line"),
-        F.concat(F.lit('"'), F.col("key"), F.lit('": "'), F.col("value"), F.lit('"')).alias("code_snippet"),
-        "source_line", F.col("pos").alias("dep_seq")))
-
-
-def from_pipfile_lock(files: DataFrame) -> DataFrame:
-    """Sections ``default`` and ``develop``; a package in both is listed twice."""
-    docs = _parsed(files, "pipfile.lock", "default map<string,struct<version:string>>, develop map<string,struct<version:string>>")
-    none = F.array().cast("array<struct<key:string,value:struct<version:string>>>")
-    entries = F.concat(F.coalesce(F.map_entries("doc.default"), none), F.coalesce(F.map_entries("doc.develop"), none))
-    pins = docs.select("path", "manifest", "source_line", F.posexplode(entries).alias("pos", "entry")).select(
-        "path", "manifest", "source_line", "pos", F.col("entry.key").alias("name"),
-        strip(F.regexp_replace(F.coalesce("entry.value.version", F.lit("")), "^==", "")).alias("ver"))
-    pins = pins.filter(F.col("ver") != "")
-    return _rows(pins.select(
-        F.col("path").alias("file"), "manifest", F.col("name").alias("pkg"), F.lower("name").alias("pkg_key"), "ver",
-        F.lit(1).alias("line"), F.concat("name", F.lit("=="), "ver").alias("code_snippet"), "source_line",
-        F.col("pos").alias("dep_seq")))
-
-
-def from_package_lock(files: DataFrame) -> DataFrame:
-    """``packages`` if the key is there, else ``dependencies``; the name follows the last folder."""
-    shape = "map<string,struct<version:string>>"
-    docs = _parsed(files, "package-lock.json", f"packages {shape}, dependencies {shape}")
-    chosen = F.when(F.array_contains("keys", "packages"), F.col("doc.packages")).otherwise(F.col("doc.dependencies"))
-    pins = docs.select("path", "manifest", "source_line", F.posexplode(F.map_entries(chosen)).alias("pos", "entry")).select(
-        "path", "manifest", "source_line", "pos",
-        F.element_at(F.split("entry.key", "node_modules/"), -1).alias("name"),
-        F.coalesce("entry.value.version", F.lit("")).alias("ver"))
-    pins = pins.filter((F.col("name") != "") & (F.col("ver") != ""))
-    return _rows(pins.select(
-        F.col("path").alias("file"), "manifest", F.col("name").alias("pkg"), F.lower("name").alias("pkg_key"), "ver",
-        F.lit(1).alias("line"), F.concat("name", F.lit("@"), "ver").alias("code_snippet"), "source_line",
-        F.col("pos").alias("dep_seq")))
-
-
-EXTRACTORS = {
-    "requirements.txt": from_requirements, "package.json": from_package_json,
-    "poetry.lock": from_poetry_lock, "pipfile.lock": from_pipfile_lock,
-    "yarn.lock": from_yarn_lock, "package-lock.json": from_package_lock,
+_VERSIONED = "MAP<STRING, STRUCT<version: STRING>>"
+_NO_ENTRIES = "CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRUCT<version: STRING>>>)"
+
+
+def _json(fields: str) -> str:
+    options = "map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_malformed')"
+    return f"from_json(content, '{fields}, _malformed STRING', {options})"
+
+
+# Parsed documents per manifest; the others stay null without being parsed.
+_DOCUMENTS = {
+    "package.json": ("_package", _json("dependencies MAP<STRING, STRING>, devDependencies MAP<STRING, STRING>")),
+    "pipfile.lock": ("_pipfile", _json(f"default {_VERSIONED}, develop {_VERSIONED}")),
+    "package-lock.json": ("_locked", _json(f"packages {_VERSIONED}, dependencies {_VERSIONED}")),
 }
 
+_SPEC_VERSION = _stripped(f"regexp_replace(e.value, {sql_text(unicode_pattern(RANGE_PREFIX))}, '')")
+_LOCKED_NAME = "element_at(split(e.key, 'node_modules/'), -1)"
+_PIPFILE_VERSION = _stripped("regexp_replace(coalesce(e.value.version, ''), '^==', '')")
+
+
+def _entries(array: str, keep: str, pin: str) -> str:
+    """Pins of map entries, numbered in document order."""
+    return f"filter(transform({array}, (e, i) -> IF({keep}, {pin}, NULL)), p -> p IS NOT NULL)"
+
+
+# One array of pins per format. A development entry replaces the normal one in package.json,
+# Pipfile.lock lists a package of both sections twice, package-lock.json prefers ``packages``.
+_PINS = {
+    "requirements.txt": "transform(filter(_events, e -> e.name <> ''), e -> " + _pin(
+        "lower(e.name)", "e.ver", "e.line", "regexp_replace(e.text, '(?U)[\\\\s\\\\x1f]+$', '')", "e.text", "e.line") + ")",
+    "poetry.lock": _owned("lower(p.o.name)", "=="),
+    "yarn.lock": _owned(_stripped("p.o.name"), "@"),
+    "package.json": _entries(
+        "map_entries(map_concat(map_filter(coalesce(_package.dependencies, map()), (k, v) -> "
+        "NOT map_contains_key(coalesce(_package.devDependencies, map()), k)), coalesce(_package.devDependencies, map())))",
+        "e.value IS NOT NULL",
+        _pin("e.key", _SPEC_VERSION, "1", "concat('\"', e.key, '\": \"', e.value, '\"')", "_lines[0]", "i")),
+    "pipfile.lock": _entries(
+        f"concat(coalesce(map_entries(_pipfile.default), {_NO_ENTRIES}), coalesce(map_entries(_pipfile.develop), {_NO_ENTRIES}))",
+        f"{_PIPFILE_VERSION} <> ''",
+        _pin("e.key", _PIPFILE_VERSION, "1", f"concat(e.key, '==', {_PIPFILE_VERSION})", "_lines[0]", "i")),
+    "package-lock.json": _entries(
+        f"coalesce(map_entries(IF(array_contains(json_object_keys(content), 'packages'), _locked.packages, _locked.dependencies)), {_NO_ENTRIES})",
+        f"{_LOCKED_NAME} <> '' AND coalesce(e.value.version, '') <> ''",
+        _pin(_LOCKED_NAME, "e.value.version", "1", f"concat({_LOCKED_NAME}, '@', e.value.version)", "_lines[0]", "i")),
+}
+_EVENTS = {
+    "requirements.txt": _events(REQUIREMENT, REQUIREMENT, 1, 2),
+    "poetry.lock": _events(POETRY_NAME, POETRY_VERSION),
+    "yarn.lock": _events(YARN_NAME, YARN_VERSION),
+}
+
+
+def _by_manifest(branches: dict[str, str]) -> str:
+    return "CASE manifest " + " ".join(f"WHEN '{m}' THEN {e}" for m, e in branches.items()) + " END"
+
 
-def extract_dependencies(files: DataFrame) -> DataFrame:
-    """Pins of all manifest formats.
+def extract_dependencies(files: DataFrame, manifest: str | None = None) -> DataFrame:
+    """Pins of all manifest formats, or of one, in one narrow pass over the corpus.
 
-    Manifests are few next to source files. The union reads the corpus once per format, so a
-    caller with a large corpus hands in ``manifests(files)`` written or cached once.
+    The format of a row picks the branch that is evaluated. A JSON manifest that is malformed
+    or no object gives no rows.
     """
-    return reduce(lambda a, b: a.unionByName(b), [f(files) for f in EXTRACTORS.values()])
+    chosen = files.filter(is_manifest(F.col("path")) & F.col("content").isNotNull())
+    rows = chosen.select("path", "content", F.lower(basename(F.col("path"))).alias("manifest"))
+    if manifest:
+        rows = rows.filter(F.col("manifest") == manifest)
+    lines = rows.select("*", split_lines(F.col("content")).alias("_parts"))
+    lines = lines.select("path", "content", "manifest", drop_last_empty(F.col("_parts")).alias("_lines"))
+    parsed = [f"CASE WHEN manifest = '{m}' AND content RLIKE '^[ \\\\t\\\\r\\\\n]*[{{]' THEN {parse} END AS {name}"
+              for m, (name, parse) in _DOCUMENTS.items()]
+    read = lines.selectExpr("*", f"{_by_manifest(_EVENTS)} AS _events", *parsed)
+    usable = " AND ".join(f"{name}._malformed IS NULL" for name, _ in _DOCUMENTS.values())
+    pins = f"IF({usable}, {_by_manifest(_PINS)}, NULL)"
+    out = read.selectExpr("path AS file", "manifest", f"inline({pins})")
+    return out.withColumn("pkg_key", F.lower("pkg")).select(*COLUMNS)
 
 
 # ------------------------------------------------------------------ advisories

@@ -34,6 +34,11 @@ def lines_of(files: DataFrame) -> DataFrame:
     return explode_lines(with_file_facts(files), FILE_COLUMNS)
 
 
+def _share(files: DataFrame, name: str) -> DataFrame:
+    """The partition of a stored corpus a pass needs; any other corpus is filtered by path later."""
+    return files.filter(F.col("file_class") == name) if "file_class" in files.columns else files
+
+
 def raw_findings(files: DataFrame, config: ScanConfig | None = None, user_rules: list[Rule] = (),
                  scanners: list[Scanner] = (), advisories: DataFrame | None = None,
                  osv: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
@@ -44,11 +49,11 @@ def raw_findings(files: DataFrame, config: ScanConfig | None = None, user_rules:
     parts = [scan_lines(lines_of(readable), select_rules(config, user_rules))]
     if not wanted or "dependencies" in wanted:
         table = advisories if advisories is not None else deps.advisories(files.sparkSession)
-        pins = deps.extract_dependencies(readable)
+        pins = deps.extract_dependencies(_share(readable, "manifest"))
         found = deps.dependency_findings(pins, table) if osv is None else deps.osv_findings(pins, osv, table)
         parts.append(at_least(found, config.min_severity))
     if not wanted or "ast_scanner" in wanted:
-        parts.append(semantic_findings(readable, config.min_severity))
+        parts.append(semantic_findings(_share(readable, "python"), config.min_severity))
     errors = []
     for order, scanner in enumerate(scanners):
         found, failed = run_scanner(readable, scanner, order)
@@ -68,8 +73,8 @@ def finish(raw: DataFrame, word: str = "siftguard") -> DataFrame:
 def scan(files: DataFrame, config: ScanConfig | None = None, **options) -> ScanPlan:
     """Plan a scan of a corpus. Nothing runs until one of the tables is used.
 
-    The line rules, the syntax facts and the manifests each read ``files`` once, so a corpus
-    that is costly to read is best written to a table first, see ``sinks.write_corpus``.
+    The line rules, the syntax facts and the manifests are three passes over ``files``. On a
+    corpus stored by ``sinks.write_corpus`` the last two open only their own partitions.
     """
     config = config or ScanConfig()
     raw, errors = raw_findings(files, config, **options)

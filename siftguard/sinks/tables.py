@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.baseline import baseline_entries
+from ..operators.dependencies import is_manifest
 from ..operators.postprocess import by_severity
+from ..schemas import FILES
+
+
+def file_class() -> Column:
+    """Which passes beyond the line rules a file takes part in."""
+    path = F.col("path")
+    return F.when(path.endswith(".py"), "python").when(is_manifest(path), "manifest").otherwise("other")
 
 
 def write_corpus(files: DataFrame, path: str) -> DataFrame:
-    """Store a corpus once and read it back, so that later scans skip listing and decoding."""
-    files.write.mode("overwrite").parquet(path)
-    return files.sparkSession.read.parquet(path)
+    """Store a corpus once and read it back, so that later scans skip listing and decoding.
+
+    The table is partitioned by ``file_class``: the syntax pass and the manifest pass of a scan
+    then open only their own partitions, and the corpus as a whole is read a single time.
+    """
+    files.withColumn("file_class", file_class()).write.mode("overwrite").partitionBy("file_class").parquet(path)
+    return files.sparkSession.read.schema(f"{FILES}, file_class string").parquet(path)
 
 
 def write_findings(findings: DataFrame, path: str, form: str = "parquet", ordered: bool = False) -> None:
