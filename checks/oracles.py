@@ -169,10 +169,6 @@ HISTORY = {"scans": man.HISTORY_SQL, "child": man.HISTORY_FINDINGS_SQL}
 SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("critical", "high", "medium", "low", "info", "total"))
 
 
-def _documents(name: str, table: str, path: str, text: str) -> dict:
-    return {name: f"SELECT {path} AS path, CAST(NULL AS VARCHAR) AS kind, string_split({text}, chr(10)) AS parts, {text} AS content FROM {table}"}
-
-
 def _text_lines(table: str, path: str, text: str) -> str:
     """Lines of a text column; the texts are split at line feeds and other breaks alike."""
     broken = f"regexp_replace({text}, '\\r\\n|[\\x0b\\f\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g')"
@@ -186,7 +182,6 @@ CHAT_LINES = _text_lines("conversations", "'chat/' || CAST(conv_id AS VARCHAR) |
 PAGE_LINES = _text_lines("pages", "'pages/' || CAST(page_id AS VARCHAR) || '.html'", "html")
 
 DEPS_OUT = "SELECT file, manifest, pkg, pkg_key, ver, line, code_snippet FROM deps WHERE manifest = '{}'"
-ROWS = "SELECT 's' || module AS x"
 SARIF_ID = "substr(translate(title, ' /—', '__'), 1, 64)"
 LEVEL = "CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' WHEN 'LOW' THEN 'note' ELSE 'none' END"
 SCORE = "CASE severity WHEN 'CRITICAL' THEN '9.0' WHEN 'HIGH' THEN '7.0' WHEN 'MEDIUM' THEN '5.0' WHEN 'LOW' THEN '3.0' ELSE '1.0' END"
@@ -224,7 +219,7 @@ ORACLES = {
     "plugin_scan": _with(lines=lines_sql()) + """SELECT path AS file, line, 'INFO' AS severity, 'Long line' AS title,
         'LongLineScanner' AS scanner, text AS code_snippet FROM lines
         WHERE (suffix(path, '.py') OR suffix(path, '.js')) AND length(text) > 40""",
-    "corpus_subset": _with(**CODE, changed=lines_sql("(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2023-01-01')"))
+    "corpus_subset": _with(**CODE, changed=lines_sql("(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01')"))
     + f"SELECT {OUT} FROM ({hits(_rules('sql_injection'))}) WHERE file IN (SELECT path FROM changed)",
     "line_explode": _with(kinds=DOC_LINES) + "SELECT path AS file, line, text FROM kinds",
     "binary_filter": """SELECT 'd' || CAST(doc_id AS VARCHAR) AS path, CAST(octet_length(b) AS BIGINT) AS length,

@@ -106,7 +106,7 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, tool: str = "siftgu
     metrics = F.struct("critical", "high", "medium", "low", "total")
     joined = listed.join(rules, ["scan_id", "_chunk"]).join(
         summary.select("scan_id", "target_path", "scanned_at", metrics.alias("metrics")), "scan_id")
-    base = F.concat(F.rtrim(F.lit("/"), F.translate("target_path", "\\", "/")), F.lit("/"))
+    base = F.concat(F.rtrim(F.translate("target_path", "\\", "/"), F.lit("/")), F.lit("/"))
     driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.lit(uri).alias("informationUri"),
                       F.lit(version).alias("semanticVersion"), F.transform("rules", lambda r: r["d"]).alias("rules"))
     run = F.struct(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,29 @@ def build_session(app_name: str = "siftguard", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def ship_packages(spark: SparkSession, *packages) -> None:
+    """Send packages to the Python workers of a session, once.
+
+    Needed where the library is not installed on the executors: user scanners and syntax
+    facts run there and import it. The driver serves the archive to every executor.
+    """
+    context = spark.sparkContext
+    sent = _SHIPPED.setdefault(context.applicationId, set())
+    for package in packages:
+        if package.__name__ in sent:
+            continue
+        source = Path(package.__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.__name__}.zip"
+        with zipfile.ZipFile(archive, "w") as bundle:
+            for file in sorted(source.rglob("*.py")):
+                bundle.write(file, file.relative_to(source.parent))
+        context.addPyFile(str(archive))
+        sent.add(package.__name__)
+
+
+_SHIPPED: dict[str, set[str]] = {}
+
+
 def dimension(spark: SparkSession, rows: list[dict], schema: StructType) -> DataFrame:
     """A driver-side list as a local relation whose exact size Spark knows.
 
