@@ -190,7 +190,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def numbered_lines(keys: DataFrame, key: str, keep: list[str] = ()) -> DataFrame:
     """(path, line, text) for each key; one small join with the templates, no shuffle."""
     n = F.col(key)
-    file_no = F.floor(n / LINES_PER_FILE)
+    file_no = F.shiftright(n, LINES_PER_FILE.bit_length() - 1)
     rows = _templates()
     schema = StructType.fromDDL("lang int, pattern string, idx int, size int, template string")
     templates = dimension(keys.sparkSession, rows, schema)

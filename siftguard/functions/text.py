@@ -74,8 +74,9 @@ def ends_with_any(path: Column, suffixes) -> Column:
     return gate
 
 
-def relative_path(path: Column, root: str) -> Column:
-    """Path below ``root``, with forward slashes."""
-    base = root.replace("\\", "/").rstrip("/") + "/"
+def relative_path(path: Column, root: Column) -> Column:
+    """Path below ``root`` with forward slashes; a path elsewhere stays as it is."""
     slashed = F.translate(path, "\\", "/")
-    return F.when(slashed.startswith(base), F.substring(slashed, len(base) + 1, 2**31 - 1)).otherwise(slashed)
+    base = F.concat(F.rtrim(F.translate(root, "\\", "/"), F.lit("/")), F.lit("/"))
+    inside = (root != "") & slashed.startswith(base)
+    return F.when(inside, F.substr(slashed, F.length(base) + 1)).otherwise(slashed)

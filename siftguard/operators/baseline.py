@@ -22,7 +22,7 @@ def file_key(file: Column) -> Column:
 
 def baseline_entries(findings: DataFrame, target_path: str = "") -> DataFrame:
     """The columns a baseline keeps, with the path relative to the scan target."""
-    file = relative_path(F.col("file"), target_path) if target_path else F.translate("file", "\\", "/")
+    file = relative_path(F.col("file"), F.lit(target_path))
     return findings.select(file.alias("file"), "line", "title", "severity", "scanner")
 
 
@@ -35,7 +35,7 @@ def _entry_keys(baseline: DataFrame) -> DataFrame:
 
 
 def _finding_keys(findings: DataFrame, target_path: str) -> DataFrame:
-    file = relative_path(F.col("file"), target_path) if target_path else F.col("file")
+    file = relative_path(F.col("file"), F.lit(target_path))
     return findings.withColumns({"_file": file_key(file), "_title": F.lower("title")})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as sev
 from ..functions.text import relative_path
+from .joins import salted_join
 
 #: Upper bound of findings in one document or one diagnostics row.
 CHUNK_BITS = 12
@@ -39,7 +40,7 @@ def sarif_rules(findings: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def sarif_results(findings: DataFrame, target_path: str = "", keys: list[str] = ()) -> DataFrame:
     """One flat result row per finding."""
-    uri = relative_path(F.col("file"), target_path) if target_path else F.translate("file", "\\", "/")
+    uri = relative_path(F.col("file"), F.lit(target_path))
     return findings.select(
         *keys, "sev_weight", sarif_rule_id(F.col("title")).alias("rule_id"), sev.sarif_level(F.col("severity")).alias("level"),
         F.col("description").alias("message"), uri.alias("uri"), F.col("line").alias("start_line"),
@@ -96,19 +97,28 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, tool: str = "siftgu
     counters. A scan with more findings than a chunk holds gives several logs, each valid by
     itself with its own rules, in severity order; every log states the counts of the whole scan.
     """
-    flat = chunked(findings, ["scan_id"], _order(), bits)
-    results = sarif_results(flat, keys=["scan_id", "_chunk", "file", "line", "title"])
-    packed = results.select("scan_id", "_chunk", F.struct(
-        (-F.col("sev_weight")).alias("w"), "file", "line", "title", _sarif_result_struct().alias("r")).alias("entry"))
-    listed = packed.groupBy("scan_id", "_chunk").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
-    rules = (sarif_rules(flat, ["scan_id", "_chunk"]).select("scan_id", "_chunk", "rule_id", _sarif_rule_struct().alias("d"))
-             .groupBy("scan_id", "_chunk").agg(F.sort_array(F.collect_list(F.struct("rule_id", "d"))).alias("rules")))
     metrics = F.struct("critical", "high", "medium", "low", "total")
-    joined = listed.join(rules, ["scan_id", "_chunk"]).join(
-        summary.select("scan_id", "target_path", "scanned_at", metrics.alias("metrics")), "scan_id")
+    scans = summary.select("scan_id", "target_path", "scanned_at", metrics.alias("metrics"))
+    # One scan may own a large share of the findings, so its header is joined with salt.
+    known = salted_join(findings, scans, ["scan_id"], "inner", F.struct("file", "line"))
+    shaped = chunked(known, ["scan_id"], _order(), bits).select(
+        "scan_id", "_chunk", "target_path", "scanned_at", "metrics", (-F.col("sev_weight")).alias("w"), "file", "line", "title",
+        "severity", "scanner", "description", "cwe_id", F.col("title").alias("name"), F.col("description").alias("message"),
+        sarif_rule_id(F.col("title")).alias("rule_id"), sev.sarif_level(F.col("severity")).alias("level"),
+        sev.sarif_score(F.col("severity")).alias("score"), F.col("line").alias("start_line"),
+        relative_path(F.col("file"), F.col("target_path")).alias("uri"), F.nullif("code_snippet", F.lit("")).alias("snippet"),
+        F.nullif("fix", F.lit("")).alias("fix"), F.nullif("fix", F.lit("")).alias("help"))
+    entry = F.struct("w", "file", "line", "title", "rule_id", _sarif_result_struct().alias("r"), _sarif_rule_struct().alias("d"))
+    listed = shaped.groupBy("scan_id", "_chunk").agg(
+        F.sort_array(F.collect_list(entry)).alias("entries"),
+        *[F.first(c).alias(c) for c in ("target_path", "scanned_at", "metrics")])
+    # The descriptor of a rule id is that of its first, most severe finding in the chunk.
+    listed = listed.withColumn("_ids", F.transform("entries", lambda e: e["rule_id"])).withColumn(
+        "rules", F.transform(F.array_distinct("_ids"), lambda i: F.get(
+            F.col("entries"), (F.array_position(F.col("_ids"), i) - 1).cast("int"))["d"]))
     base = F.concat(F.rtrim(F.translate("target_path", "\\", "/"), F.lit("/")), F.lit("/"))
     driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.lit(uri).alias("informationUri"),
-                      F.lit(version).alias("semanticVersion"), F.transform("rules", lambda r: r["d"]).alias("rules"))
+                      F.lit(version).alias("semanticVersion"), F.col("rules"))
     run = F.struct(
         F.struct(driver.alias("driver")).alias("tool"),
         F.array(F.struct(F.lit(True).alias("executionSuccessful"), F.col("scanned_at").alias("endTimeUtc"))).alias("invocations"),
@@ -118,7 +128,7 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, tool: str = "siftgu
         F.struct(F.struct(base.alias("uri")).alias("%SRCROOT%")).alias("originalUriBaseIds"),
         F.struct("metrics").alias("properties"))
     log = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
-    return joined.select("scan_id", F.col("_chunk").alias("chunk"), F.to_json(log).alias("document"))
+    return listed.select("scan_id", F.col("_chunk").alias("chunk"), F.to_json(log).alias("document"))
 
 
 def findings_documents(findings: DataFrame, summary: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
@@ -130,7 +140,9 @@ def findings_documents(findings: DataFrame, summary: DataFrame, bits: int = CHUN
     shown = F.struct("file", "line", "severity", "title", "description", "code_snippet", "cwe_id", "fix", "scanner")
     entry = F.struct((-F.col("sev_weight")).alias("w"), "file", "line", "title", shown.alias("f"))
     listed = flat.groupBy("scan_id", "_chunk").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    joined = summary.join(listed, "scan_id", "left")
+    filled = salted_join(listed, summary, ["scan_id"], "inner", F.col("_chunk"))
+    empty = summary.join(findings.select("scan_id").distinct(), "scan_id", "left_anti")
+    joined = filled.unionByName(empty, allowMissingColumns=True)
     counts = F.struct("critical", "high", "medium", "low", "info", "total")
     document = F.struct(
         "target_path", "files_scanned", "files_skipped", F.round("scan_duration", 3).alias("scan_duration"),

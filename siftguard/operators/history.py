@@ -32,10 +32,13 @@ def recent_scans(scans: DataFrame, target: str | None = None, limit: int = LIST_
 
 def scan_with_findings(scans: DataFrame, findings: DataFrame, scan_id: str) -> DataFrame:
     """Header and findings of one scan, most severe first; a scan without findings is one row."""
-    head = scans.filter(F.col("scan_id") == scan_id).select(*LIGHT_COLUMNS)
+    head = scans.filter(F.col("scan_id") == scan_id).select(*LIGHT_COLUMNS).limit(1)
     body = findings.filter(F.col("scan_id") == scan_id)
     extra = [c for c in body.columns if c not in (*LIGHT_COLUMNS, "scan_date")]
-    joined = head.join(body.select("scan_id", *extra), "scan_id", "left")
+    # One header row goes to every task; a join on the single id would be one task.
+    filled = body.select("scan_id", *extra).join(F.broadcast(head), "scan_id")
+    empty = head.join(body.select("scan_id").limit(1), "scan_id", "left_anti")
+    joined = filled.unionByName(empty, allowMissingColumns=True)
     return joined.orderBy(F.desc("sev_weight"), "file", "line", "title")
 
 

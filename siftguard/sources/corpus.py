@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions.text import decode_utf8, ends_with_any, is_binary
+from ..session import work_dir
 
 #: The driver expands folders until it has this many to hand out; tasks walk the rest.
 FRONTIER = 512
 #: Bytes of file content handed from the reader to Spark at a time.
 BATCH_BYTES = 16_000_000
+#: Bytes of file content one task reads.
+BYTES_PER_TASK = 128_000_000
 
 
 def _enters(name: str, excluded: set[str]) -> bool:
@@ -106,8 +109,11 @@ def read_corpus(spark: SparkSession, root: str, cfg: ScanConfig | None = None,
 
     ``only`` is a table with a ``path`` column: exactly those files are read if they exist,
     without folder and suffix tests. An empty table means the whole tree.
-    Files over the size limit are never opened. Paths are spread by hash before reading, so
-    one crowded folder does not end up in one task.
+    Files over the size limit are never opened.
+
+    The listing is stored first: the tree is walked once, and its total size sets the number
+    of reading tasks. Paths are spread over them by hash, so one crowded folder does not end
+    up in one task. The explicit number keeps the tiny list of names from being coalesced.
     """
     cfg = cfg or ScanConfig()
     if only is not None and not only.isEmpty():
@@ -118,7 +124,14 @@ def read_corpus(spark: SparkSession, root: str, cfg: ScanConfig | None = None,
     else:
         listing = _listing(spark, root, set(cfg.exclude_dirs))
         listing = listing.filter(ends_with_any(F.col("path"), cfg.include_extensions))
-    spread = listing.repartition(tasks, "path") if tasks else listing.repartition("path")
+    listed = work_dir(spark, "listing")
+    listing.write.parquet(listed)
+    listing = spark.read.parquet(listed)
+    if not tasks:
+        opened = F.when(F.col("length") <= cfg.max_file_size, F.col("length"))
+        volume = listing.agg(F.coalesce(F.sum(opened), F.lit(0))).first()[0]
+        tasks = max(spark.sparkContext.defaultParallelism, -(-volume // BYTES_PER_TASK))
+    spread = listing.repartition(tasks, "path")
     reason = F.when(F.col("length").isNull(), "unreadable").when(F.col("length") > cfg.max_file_size, "oversize")
     raw = spread.withColumn("skip_reason", reason).mapInPandas(
         _read_bytes, "path string, length bigint, skip_reason string, bytes binary")

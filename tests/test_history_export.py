@@ -91,7 +91,7 @@ def test_sarif_document(spark, tmp_path):
     assert {d["id"] for d in run["tool"]["driver"]["rules"]} <= {f"Title__{i}_x" for i in range(4)}
     first = run["results"][0]
     assert first["level"] == "error" and first["locations"][0]["physicalLocation"]["artifactLocation"]["uriBaseId"] == "%SRCROOT%"
-    assert len(run["artifacts"]) == len(run["results"])
+    assert len(run["artifacts"]) == len(run["results"]) and first["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "f0.py"
     write_documents(export.sarif_documents(found, counts), str(tmp_path / "d"))
     assert spark.read.text(str(tmp_path / "d")).count() == len(rows)
 
