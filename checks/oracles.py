@@ -138,8 +138,8 @@ FOUND = {**RAW, "kept": f"SELECT * FROM raw WHERE NOT {SUPPRESSED}", "single": D
 LINE_FOUND = {**CODE, "raw": hits(_rules(*FAMILIES, "iac")), "kept": f"SELECT * FROM raw WHERE NOT {SUPPRESSED}",
               "found": DEDUP.format(source="kept")}
 BASE = """SELECT DISTINCT lower(file) AS f, lower(title) AS t, line + (line * 7 + length(file)) % 9 - 4 AS l FROM found"""
-DIFF = {**LINE_FOUND, "base": BASE, "marked": """SELECT file, line, title, severity, EXISTS (SELECT 1 FROM base
-    WHERE f = lower(file) AND t = lower(title) AND line >= greatest(1, l - 3) AND line <= l + 3) AS known FROM found"""}
+LISTED = """EXISTS (SELECT 1 FROM base WHERE f = lower(file) AND t = lower(title) AND line >= greatest(1, l - 3) AND line <= l + 3)"""
+DIFF = {**LINE_FOUND, "base": BASE, "marked": f"SELECT file, line, title, severity, {LISTED} AS known FROM found"}
 
 COUNTS = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"))
 MODULE = "regexp_extract(file, '/m([0-9]+)/', 1)"
@@ -326,6 +326,9 @@ ORACLES = {
     "stream_trend": f"SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, {FLAGS}, count(*) AS total, count(*) AS scan_count FROM events GROUP BY 1",
     "stream_trend_sliding": f"""SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(back AS INTEGER)) AS window_start, {FLAGS},
         count(*) AS total, count(*) AS scan_count FROM events, range(7) AS r(back) GROUP BY 1""",
-    "stream_baseline": _with(**CODE, found=hits(_rules(*FAMILIES)), base=BASE) + """SELECT file, line, title FROM found
-        WHERE NOT EXISTS (SELECT 1 FROM base WHERE f = lower(file) AND t = lower(title) AND line >= greatest(1, l - 3) AND line <= l + 3)""",
+    "stream_baseline": _with(**CODE, found=hits(_rules(*FAMILIES)), base=BASE) + f"SELECT file, line, title FROM found WHERE NOT {LISTED}",
+    "stream_known": _with(**CODE, found=hits(_rules(*FAMILIES)), base=BASE) + f"SELECT file, line, title FROM found WHERE {LISTED}",
+    "cwe_links": _with(**FOUND) + """SELECT cwe_id, count(*) AS findings, max(sev_weight) AS worst,
+        'https://cwe.mitre.org/data/definitions/' || split_part(cwe_id, '-', -1) || '.html' AS link
+        FROM found WHERE cwe_id IS NOT NULL GROUP BY cwe_id""",
 }

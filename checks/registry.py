@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftguard.config import ScanConfig
-from siftguard.functions.text import is_binary
+from siftguard.functions.severity import cwe_link
 from siftguard.functions.versions import version_key
 from siftguard.operators import baseline as base
 from siftguard.operators import dependencies as deps
@@ -16,7 +16,7 @@ from siftguard.operators.rulescan import attach_metadata, match_rules, rule_tabl
 from siftguard.operators.semantic import semantic_findings
 from siftguard.plans.scan import finish, lines_of, raw_findings, scan
 from siftguard.rules import select_rules
-from siftguard.session import work_dir
+from siftguard.session import spread_small, work_dir
 from siftguard.sinks import HistoryStore, write_baseline
 from siftguard.sinks.store import first_new_suppressions
 from siftguard.sources.corpus import corpus_from_table, decode_files, limit_size
@@ -50,7 +50,7 @@ def _scan(files: DataFrame, family: str | None = None, kind: str | None = None,
 
 
 def documents(spark, sf) -> DataFrame:
-    df = load(spark, sf, "documents").select("doc_id", "text")
+    df = spread_small(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return corpus_from_table(df, F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"))
 
 
@@ -61,7 +61,7 @@ def conversations(spark, sf) -> DataFrame:
 
 
 def pages(spark, sf) -> DataFrame:
-    df = load(spark, sf, "pages").select("page_id", "html")
+    df = spread_small(load(spark, sf, "pages").select("page_id", "html"), "page_id")
     return corpus_from_table(df, F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")), F.col("html"))
 
 
@@ -222,6 +222,13 @@ def findings_sorted(spark, sf):
     return postprocess.sorted_by(code_findings(spark, sf), "scanner").select("scanner", "file", "line", "title", "severity")
 
 
+def cwe_links(spark, sf):
+    """Findings per weakness class with the address of its public description."""
+    found = code_findings(spark, sf).filter(F.col("cwe_id").isNotNull())
+    return (found.groupBy("cwe_id").agg(F.count(F.lit(1)).alias("findings"), F.max("sev_weight").alias("worst"))
+            .withColumn("link", cwe_link(F.col("cwe_id"))))
+
+
 def snippet_context(spark, sf):
     files = code_files(spark, sf)
     found = scan_lines(lines_of(files), select_rules(ScanConfig(enabled_scanners=["sql_injection"])))
@@ -451,13 +458,22 @@ def stream_trend_sliding(spark, sf):
     return _plain_time(_run_complete(stream.stream_trend(_event_scans(spark, sf), "1 day", "7 days", "1 day"), "stream-sliding"))
 
 
+def stream_known(spark, sf):
+    """Arriving findings that the baseline already lists."""
+    return _stream_diff(spark, sf, stream.stream_known_findings, "stream-known")
+
+
 def stream_baseline(spark, sf):
+    return _stream_diff(spark, sf, stream.stream_new_findings, "stream-baseline")
+
+
+def _stream_diff(spark, sf, operator, purpose):
     rules = select_rules(ScanConfig(enabled_scanners=FAMILIES))
     orders = load(spark, sf, "orders").select("o_orderkey")
     rows = numbered_lines(orders, "o_orderkey")
     known = shifted_baseline(scan_lines(lines.with_file_facts(rows.withColumn("content", F.col("text"))).drop("content"), rules))
     arriving = scan_lines(_stream_lines(spark, sf, "orders", "o_orderkey", "o_orderdate"), rules)
-    return _run(stream.stream_new_findings(arriving, known), "stream-baseline").select("file", "line", "title")
+    return _run(operator(arriving, known), purpose).select("file", "line", "title")
 
 
 # ------------------------------------------------------------------ table of queries
@@ -525,6 +541,7 @@ QUERIES = {
     "sarif_documents": sarif_documents,
     "findings_documents": findings_documents,
     "snippet_context": snippet_context,
+    "cwe_links": cwe_links,
     "scanner_listing": scanner_listing,
     "full_scan": full_scan,
     "flagship": flagship,
@@ -533,4 +550,5 @@ QUERIES = {
     "stream_trend": stream_trend,
     "stream_trend_sliding": stream_trend_sliding,
     "stream_baseline": stream_baseline,
+    "stream_known": stream_known,
 }

@@ -26,6 +26,9 @@ def build_session(app_name: str = "siftguard", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Recording a Python call site per column costs more than planning these queries.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # Rows that go to Python carry whole files, so batches are bounded by bytes as well.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -70,6 +73,16 @@ def dimension(spark: SparkSession, rows: list[dict], schema: StructType) -> Data
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
 
 
+def spread_small(table: DataFrame, key: str) -> DataFrame:
+    """Spread a stored table that arrives in fewer splits than the session has cores.
+
+    Meant for plain table reads in front of costly expressions. A large table has more splits
+    than cores and stays as it is, so nothing big is ever shuffled. ``key`` must be unique.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder of the cluster.
 

@@ -9,6 +9,13 @@ from ..config import read_settings
 from ..rules import SEVERITY_WEIGHTS, USER_RULE_BASE, Rule
 
 
+def _portable(pattern: str) -> str:
+    """Spell Python's named groups and end anchor the way Java does."""
+    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m.group(1).replace('_', '')}>", pattern)
+    named = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m.group(1).replace('_', '')}>", named)
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", named)
+
+
 def user_rules(items: list[dict]) -> list[Rule]:
     """Rules from plain mappings.
 
@@ -28,7 +35,7 @@ def user_rules(items: list[dict]) -> list[Rule]:
         severity = str(item.get("severity", "MEDIUM")).upper()
         rules.append(Rule(
             rule_id=name, scanner="user", severity=severity if severity in SEVERITY_WEIGHTS else "MEDIUM",
-            cwe_id=item.get("cwe_id"), title=str(item.get("title", name)), pattern=item["pattern"],
+            cwe_id=item.get("cwe_id"), title=str(item.get("title", name)), pattern=_portable(item["pattern"]),
             description=str(item.get("description", "")), fix=str(item.get("fix", "")),
             exts=tuple(item.get("file_extensions") or ()), rule_ord=USER_RULE_BASE + len(rules)))
     return rules

@@ -176,6 +176,13 @@ def test_user_rules_defaults(tmp_path):
     assert load_rules(str(tmp_path / "missing.json")) == []
 
 
+def test_python_spelling_of_groups(spark):
+    rules = user_rules([{"id": "a", "pattern": r"(?P<first_word>ab)-(?P=first_word)\Z"}])
+    df = spark.createDataFrame([("a.py", ".py", None, 1, "x ab-ab"), ("a.py", ".py", None, 2, "ab-ab x")],
+                               "path string, ext string, kind string, line int, text string")
+    assert [r.line for r in match_rules(df, rules).collect()] == [1]
+
+
 def test_more_rules_than_one_mask_holds(spark):
     rules = user_rules([{"id": f"r{i}", "pattern": f"w{i}x", "file_extensions": [".blade.php"] if i % 2 else []} for i in range(150)])
     text = " ".join(f"w{i}x" for i in range(150))
