@@ -14,7 +14,9 @@ from ..operators.plugins import Scanner, run_scanner
 from ..operators.postprocess import at_least, deduplicate, drop_suppressed, mark_suppressed, remediate
 from ..operators.rulescan import scan_lines
 from ..operators.semantic import semantic_findings
+from ..operators.summary import file_counts, judge, severity_counts
 from ..rules import Rule, select_rules
+from ..sinks.store import HistoryStore
 
 FILE_COLUMNS = ["path", "ext", "kind"]
 
@@ -79,3 +81,26 @@ def scan(files: DataFrame, config: ScanConfig | None = None, **options) -> ScanP
     config = config or ScanConfig()
     raw, errors = raw_findings(files, config, **options)
     return ScanPlan(files, mark_suppressed(raw, config.suppression_word), finish(raw, config.suppression_word), errors)
+
+
+def summarise(plan: ScanPlan, scan_id: str, target_path: str, scanned_at: str, duration: float = 0.0,
+              findings: DataFrame | None = None) -> DataFrame:
+    """One row: counters, file counts, verdicts and gate of a scan.
+
+    ``findings`` replaces those of the plan, for example by the new ones of a baseline diff.
+    The row has the columns that the document operators expect of a scan.
+    """
+    key = F.lit(scan_id)
+    found = plan.findings if findings is None else findings
+    counted = severity_counts(found.select("severity")).withColumn("scan_id", key)
+    read = file_counts(plan.files.select("skip_reason")).withColumn("scan_id", key)
+    return judge(read.join(counted, "scan_id")).withColumns({
+        "target_path": F.lit(target_path), "scanned_at": F.lit(scanned_at), "scan_duration": F.round(F.lit(float(duration)), 3)})
+
+
+def record(plan: ScanPlan, store: HistoryStore, target_path: str, scanned_at: str, duration: float,
+           scan_id: str | None = None) -> str:
+    """Append a scan to the history; only its two file counts come to the driver."""
+    counts = file_counts(plan.files.select("skip_reason")).first()
+    return store.append(plan.findings, target_path, scanned_at, counts["files_scanned"], counts["files_skipped"],
+                        duration, scan_id)

@@ -243,3 +243,31 @@ def test_whole_scan_of_a_small_project(files):
     assert dropped == {("shop/web.py", 13), ("shop/requirements.txt", 4)}
     limited = scan(files(PROJECT), ScanConfig(min_severity="CRITICAL", enabled_scanners=["dependencies", "ast_scanner"])).findings
     assert {(r.line, r.severity) for r in limited.collect()} == {(5, "CRITICAL"), (8, "CRITICAL"), (9, "CRITICAL"), (2, "CRITICAL")}
+
+
+def test_stored_corpus_gives_the_same_findings(files, tmp_path):
+    from siftguard.sinks import write_corpus
+    direct = scan(files(PROJECT)).findings
+    stored = scan(write_corpus(files(PROJECT), str(tmp_path / "corpus"))).findings
+    assert direct.exceptAll(stored).count() == 0 and stored.exceptAll(direct).count() == 0
+
+
+def test_summary_and_history_of_a_scan(spark, files, tmp_path):
+    import json
+
+    from siftguard.operators.export import findings_documents, sarif_documents
+    from siftguard.plans.scan import record, summarise
+    from siftguard.sinks import HistoryStore
+    plan = scan(files(PROJECT))
+    row = summarise(plan, "s", "shop", "2024-01-01T00:00:00", 1.23456)
+    one = row.first()
+    assert (one.files_scanned, one.files_skipped, one.total, one.verdict, one.gate) == (4, 0, 20, "REQUEST_CHANGES", 1)
+    keyed = plan.findings.withColumn("scan_id", F.lit("s"))
+    document = json.loads(findings_documents(keyed, row).first().document)
+    assert document["summary"]["total"] == sum(EXPECTED.values()) and document["findings"][0]["severity"] == "CRITICAL"
+    results = [r for d in sarif_documents(keyed, row).collect() for r in json.loads(d.document)["runs"][0]["results"]]
+    assert len(results) == 20 and {"web.py", "requirements.txt"} <= {
+        r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in results}
+    store = HistoryStore(spark, str(tmp_path / "h"))
+    scan_id = record(plan, store, "shop", "2024-01-01 00:00:00", 1.0)
+    assert store.scans().filter(F.col("scan_id") == scan_id).first().total == 20
