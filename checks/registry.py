@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftguard.config import ScanConfig
@@ -12,7 +12,7 @@ from siftguard.operators import baseline as base
 from siftguard.operators import dependencies as deps
 from siftguard.operators import export, history, lines, postprocess, summary
 from siftguard.operators.plugins import Scanner, run_scanner
-from siftguard.operators.rulescan import attach_metadata, match_rules, rule_table, scan_lines
+from siftguard.operators.rulescan import match_rules, rule_table, scan_lines
 from siftguard.operators.semantic import semantic_findings
 from siftguard.plans.scan import finish, lines_of, raw_findings, scan
 from siftguard.rules import select_rules
@@ -25,7 +25,7 @@ from siftguard.sources.rule_files import user_rules
 from siftguard.streaming import operators as stream
 
 from . import manifests as man
-from .derived import code_files, files_of, load, numbered_lines
+from .derived import code_files, load, numbered_lines
 
 OUT = ["file", "line", "severity", "title", "cwe_id", "scanner", "code_snippet"]
 NOW = "2024-01-31 00:00:00"
