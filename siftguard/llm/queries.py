@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftguard.llm.decontamination import op6_benchmark_decontamination
+from siftguard.llm.substrings import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination,)}
+QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op8_substring_dedup)}
 ORACLES: dict[str, str] = {}
