@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from siftguard.llm.decontamination import op6_benchmark_decontamination
+from siftguard.llm.near_duplicates import op2_minhash_near_dedup
 from siftguard.llm.substrings import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op8_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op6_benchmark_decontamination, op8_substring_dedup)}
 ORACLES: dict[str, str] = {}
