@@ -7,7 +7,8 @@ from siftguard.llm.licenses import op10_license_scans
 from siftguard.llm.near_duplicates import op2_minhash_near_dedup
 from siftguard.llm.secret_scan import op1_secret_scans
 from siftguard.llm.substrings import op8_substring_dedup
+from siftguard.llm.vector_search import op7_exact_top_k
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_minhash_near_dedup, op6_benchmark_decontamination, op8_substring_dedup, op10_license_scans)}
+    op1_secret_scans, op2_minhash_near_dedup, op6_benchmark_decontamination, op7_exact_top_k, op8_substring_dedup, op10_license_scans)}
 ORACLES: dict[str, str] = {}
