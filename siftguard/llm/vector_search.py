@@ -113,11 +113,11 @@ def search(tree: KdTree, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarr
 
 
 def _search_wide(vectors, ids, queries, query_ids, floor, top):
-    """The same result for components too large for packed codes, in exact Python integers."""
+    """The same result for components too large for packed codes, in exact Python integers; scores saturate at a long."""
     score, row = np.zeros((len(queries), top), np.int64), np.full((len(queries), top), -1, np.int64)
     exact = vectors.astype(object)
     for q in range(len(queries)):
-        values = exact @ queries[q].astype(object)
+        values = [max(-2**63 + 1, min(2**63 - 1, int(v))) for v in exact @ queries[q].astype(object)]
         ranked = sorted((-v, i) for i, v in enumerate(values) if ids[i] != query_ids[q] and v >= floor[q])[:top]
         for k, (v, i) in enumerate(ranked):
             score[q, k], row[q, k] = -v, i
