@@ -7,10 +7,11 @@ from siftguard.llm.licenses import op10_license_scans
 from siftguard.llm import mixing
 from siftguard.llm.mixing import op3_mixing_sources_to_target_weights
 from siftguard.llm.near_duplicates import op2_minhash_near_dedup
+from siftguard.llm.personal_data import op5_pii
 from siftguard.llm.secret_scan import op1_secret_scans
 from siftguard.llm.substrings import op8_substring_dedup
 from siftguard.llm.vector_search import op7_exact_top_k
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_minhash_near_dedup, op3_mixing_sources_to_target_weights, op6_benchmark_decontamination, op7_exact_top_k, op8_substring_dedup, op10_license_scans)}
+    op1_secret_scans, op2_minhash_near_dedup, op3_mixing_sources_to_target_weights, op5_pii, op6_benchmark_decontamination, op7_exact_top_k, op8_substring_dedup, op10_license_scans)}
 ORACLES: dict[str, str] = {"op3_mixing_sources_to_target_weights": mixing.ORACLE}
