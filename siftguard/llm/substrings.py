@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftguard.llm.common import dropped, packed, pieces, saved, ship, table, unpacked
-from siftguard.llm.words import SPACED, Runs, signed, tokenize
+from siftguard.llm.common import dropped, packed, pieces, saved, ship, slices, table, unpacked
+from siftguard.llm.words import SPACED, Runs, Words, signed, tokenize
 
 #: Words of a repeat at least, and words of a seed.
 LENGTH, SEED = 35, 8
@@ -89,24 +90,36 @@ def _anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(cut, "doc_id long, text_key int, low int, span short, seed long, reach long")
 
 
+def _unpacked_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Words]]:
+    """Rows of packed texts in pieces of bounded text size, their bytes and words."""
+    for batch in batches:
+        for start, stop in slices(np.concatenate([[0], np.cumsum(batch.column("n_bytes").to_numpy())])):
+            part = batch.slice(start, stop - start)
+            data, offsets = unpacked(part.column("ztext").to_pylist(), part.column("n_bytes").to_pylist())
+            yield part, data, tokenize(data, offsets, SPACED)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column in a row, and the number of each row's."""
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
 def _windows(texts: DataFrame, length: int) -> DataFrame:
     """Hash of every window in the reaches that are to be compared."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ztext, n_bytes = batch.column("ztext").to_pylist(), batch.column("n_bytes").to_pylist()
-            parts = batch.column("parts").to_pylist()
-            for r in range(len(batch)):
-                words = tokenize(*unpacked(ztext[r:r + 1], n_bytes[r:r + 1]), SPACED)
-                runs = Runs(words.hashes)
-                low = np.array([p["low"] for p in parts[r]], np.int64)
-                size = np.array([p["span"] for p in parts[r]], np.int64) + 1
-                start = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(r, 1).take(pa.array(np.zeros(len(start), np.int64))),
-                     batch.column("text_key").slice(r, 1).take(pa.array(np.zeros(len(start), np.int64))), pa.array(start.astype(np.int32)),
-                     pa.array(np.repeat(np.array([p["seed"] for p in parts[r]], np.int64), size)), pa.array(signed(runs.of(start, start + length))),
-                     pa.array(np.repeat(np.array([p["single"] for p in parts[r]], bool), size))],
-                    ["doc_id", "text_key", "low", "seed", "code", "single"])
+        for part, _, words in _unpacked_pieces(batches):
+            runs = Runs(words.hashes)
+            flat = {k: _flat(part.column(k)) for k in ("lows", "spans", "seeds", "singles")}
+            row = np.repeat(np.arange(len(part)), flat["lows"][1])
+            size = flat["spans"][0].astype(np.int64) + 1
+            at = np.repeat(np.arange(len(size)), size)
+            start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + flat["lows"][0].astype(np.int64)[at]
+            place = start + words.bounds[row[at]]
+            owner = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(owner), part.column("text_key").take(owner), pa.array(start.astype(np.int32)), pa.array(flat["seeds"][0][at]),
+                 pa.array(signed(runs.of(place, place + length))), pa.array(flat["singles"][0][at].astype(bool))],
+                ["doc_id", "text_key", "low", "seed", "code", "single"])
 
     return texts.mapInArrow(cut, "doc_id long, text_key int, low int, seed long, code long, single boolean")
 
@@ -128,26 +141,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     ship(docs.sparkSession)
     docs = _keyed(docs)
     anchors = saved(_anchors(docs, length, seed), "anchors")
-    known = anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("least"), F.max("reach").alias("most")).where("n > 1")
+    # Counts are stored before they are joined: adaptive execution can then split a hot seed.
+    known = saved(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("least"), F.max("reach").alias("most")).where("n > 1"), "seeds")
     shared = saved(anchors.join(known, "seed").select(anchors["*"], (F.col("least") == F.col("most")).alias("alike")), "shared")
-    dropped(anchors)
+    dropped(anchors, known)
     mixed = shared.where("not alike")
     kinds = saved(mixed.groupBy("seed", "reach").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")), "kinds")
-    alone = kinds.groupBy("seed").agg(F.min("n").alias("fewest")).where("fewest = 1").select("seed")
+    alone = saved(kinds.groupBy("seed").agg(F.min("n").alias("fewest")).where("fewest = 1").select("seed"), "alone")
     sorted_out = saved(mixed.join(kinds, ["seed", "reach"]).select("doc_id", "text_key", "low", "span", "seed", "n", "first"), "mixed")
     compare = sorted_out.where((F.col("n") == 1) | F.col("doc_id").eqNullSafe(F.col("first"))).join(alone, "seed", "left_semi")
     parts = compare.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("low", "span", "seed", (F.col("n") == 1).alias("single"))).alias("parts"))
+        F.collect_list("low").alias("lows"), F.collect_list("span").alias("spans"), F.collect_list("seed").alias("seeds"),
+        F.collect_list((F.col("n") == 1).cast("int")).alias("singles"))
     texts = packed(docs, "doc_id", "text_key")
-    wanted = texts.join(parts, _same(texts, parts)).select(texts["*"], "parts")
+    wanted = texts.join(parts, _same(texts, parts)).select(texts["*"], "lows", "spans", "seeds", "singles")
     windows = saved(_windows(wanted, length), "windows")
-    again = windows.groupBy("seed", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "code")
+    again = saved(windows.groupBy("seed", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "code"), "again")
     grown = windows.where("single").join(again, ["seed", "code"], "left_semi")
     whole = shared.where("alike").select("doc_id", "text_key", "low", "span").union(sorted_out.where("n > 1").select("doc_id", "text_key", "low", "span"))
     ranges = whole.select("doc_id", "text_key", "low", (F.col("low") + F.col("span") + length).alias("high")).union(
         grown.select("doc_id", "text_key", "low", (F.col("low") + length).alias("high")))
     out = saved(ranges, "repeats")
-    dropped(shared, kinds, sorted_out, windows)
+    dropped(shared, kinds, alone, sorted_out, windows, again)
     return out
 
 
@@ -162,26 +177,22 @@ def substring_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wi
     names = [x.split()[0] for x in schema.split(", ")]
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ztext, n_bytes = batch.column("ztext").to_pylist(), batch.column("n_bytes").to_pylist()
-            lows, highs = batch.column("lows"), batch.column("highs")
+        for part, data, words in _unpacked_pieces(batches):
+            raw = data.tobytes()
+            steps = np.zeros(len(words) + 1, np.int64)
+            for side, sign in (("lows", 1), ("highs", -1)):
+                value, size = _flat(part.column(side))
+                np.add.at(steps, value + np.repeat(words.bounds[:-1], size), sign)
+            gone = np.cumsum(steps[:-1]) > 0
+            starts, ends = words.starts.tolist(), words.ends.tolist()
             out = []
-            for r in range(len(batch)):
-                data, offsets = unpacked(ztext[r:r + 1], n_bytes[r:r + 1])
-                words = tokenize(data, offsets, SPACED)
-                n = len(words)
-                steps = np.zeros(n + 1, np.int64)
-                if lows[r].is_valid:
-                    np.add.at(steps, lows[r].values.to_numpy(), 1)
-                    np.add.at(steps, highs[r].values.to_numpy(), -1)
-                gone = np.cumsum(steps[:-1]) > 0
-                raw, kept = data.tobytes(), np.flatnonzero(~gone)
-                text = b" ".join([raw[a:b] for a, b in zip(words.starts[kept].tolist(), words.ends[kept].tolist(), strict=True)])
-                turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
-                out.append((n, int(gone.sum()), hashlib.sha256(text).hexdigest(), *((text.decode(), ",".join(
-                    f"{a}:{b}" for a, b in zip(turn[::2], turn[1::2], strict=True))) if with_text else ())))
+            for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
+                text = b" ".join([raw[starts[i]:ends[i]] for i in (np.flatnonzero(~gone[a:b]) + a).tolist()])
+                turn = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))).tolist()
+                out.append((b - a, int(gone[a:b].sum()), hashlib.sha256(text).hexdigest(), *((text.decode(), ",".join(
+                    f"{x}:{y}" for x, y in zip(turn[::2], turn[1::2], strict=True))) if with_text else ())))
             kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[k] for x in out], kinds[k]) for k in range(len(names) - 1))], names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([x[k] for x in out], kinds[k]) for k in range(len(names) - 1))], names)
 
     return joined.mapInArrow(report, schema)
 
