@@ -5,9 +5,9 @@ from __future__ import annotations
 from siftguard.llm.decontamination import op6_benchmark_decontamination
 from siftguard.llm.language_id import op4_language_id
 from siftguard.llm.licenses import op10_license_scans
-from siftguard.llm import mixing
 from siftguard.llm.mixing import op3_mixing_sources_to_target_weights
 from siftguard.llm.near_duplicates import op2_minhash_near_dedup
+from siftguard.llm.oracles import ORACLES
 from siftguard.llm.personal_data import op5_pii
 from siftguard.llm.secret_scan import op1_secret_scans
 from siftguard.llm.substrings import op8_substring_dedup
@@ -16,4 +16,5 @@ from siftguard.llm.vector_search import op7_exact_top_k
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_minhash_near_dedup, op3_mixing_sources_to_target_weights, op4_language_id, op5_pii, op6_benchmark_decontamination, op7_exact_top_k, op8_substring_dedup, op9_toxicity, op10_license_scans)}
-ORACLES: dict[str, str] = {"op3_mixing_sources_to_target_weights": mixing.ORACLE}
+
+__all__ = ["ORACLES", "QUERIES"]
