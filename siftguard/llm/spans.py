@@ -31,6 +31,27 @@ def located(text: Column, pattern: Column, kind: Column) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), no_spans().alias("out")), step, lambda x: x.out)
 
 
+def in_context(text: Column, pattern: str, kind: str, gate: str, width: int = 40) -> Column:
+    """``located`` with the text around: up to ``width`` characters before each match, one after.
+
+    Context ends at the neighbouring match. Everything stays linear in the text.
+    """
+    pattern = F.lit(pattern)
+    matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern)
+    around = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), F.slice(gaps, F.lit(2), F.size(matches)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with(matches, around, lambda m, g: F.struct(m.alias("m"), g.a.alias("gap"), g.b.alias("next")))
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int,found:string,before:string,after:string>>")
+
+    def step(done: Column, pair: Column) -> Column:
+        start = done.at + F.length(pair.gap)
+        here = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(pair.m)).alias("end"), pair.m.alias("found"),
+                        F.right(pair.gap, F.lit(width)).alias("before"), F.left(pair.next, F.lit(1)).alias("after"))
+        return F.struct((start + F.length(pair.m)).alias("at"), F.concat(done.out, F.array(here)).alias("out"))
+
+    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda x: x.out)
+    return F.when(text.rlike(gate), spans).otherwise(empty)
+
+
 def found(text: Column, pattern: str, kind: str, gate: str | None = None) -> Column:
     """``located`` for a fixed pattern; texts that fail the cheap ``gate`` are not split."""
     return F.when(text.rlike(gate or pattern), located(text, F.lit(pattern), F.lit(kind))).otherwise(no_spans())
