@@ -206,7 +206,7 @@ def nearest(rows: DataFrame, queries: DataFrame, top: int = TOP, shard_rows: int
 
 def op7_exact_top_k(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * SCALE).try_cast("long")).alias("vector"))
-    rows = rows.where(F.forall("vector", lambda x: x.isNotNull()))
     # A component beyond a long makes its vector unusable.
+    rows = rows.where(F.forall("v", lambda x: F.abs(x.cast("double")) * SCALE < 2.0**62))
+    rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("vector"))
     return nearest(rows, rows.where(F.col("vec_id") % EVERY == 0))
