@@ -2,7 +2,7 @@
 
 *Sketch.* A document is the set of its distinct five-word shingles (fewer words: one shingle of
 all). A register is a truncated minimum on an exponential scale, ``floor(1 - log_b x)`` of the
-smallest of exponentially distributed hashes, kept in one byte. Minima merge, so the sketch
+smallest of exponentially distributed hashes, kept in two bytes. Minima merge, so the sketch
 of a union is the register-wise maximum (``merged``).
 
 *Classes.* Documents with equal sets form one class, found by a 128-bit digest of the set; only
@@ -11,15 +11,21 @@ the class with its smallest doc_id goes on. Copies never meet in pairs.
 *Bands.* Four neighbouring registers are a band. Two sets of similarity 0.75 miss each other in
 all 64 bands with a probability below 1e-11.
 
-*Candidates.* Only connectivity is wanted. In each bucket the member with the most company
-leads, and every other member is paired with it, twice over; after each round linked classes
-merge and a bucket whose members are one component is done. What two rounds leave is
-compared in full: all pairs of a bucket that still lie in different components and whose set
-sizes allow a link. Nothing is capped.
+*Leaders.* Only connectivity is wanted. In each bucket the member with the most company leads and
+is compared with every other member; linked classes become components. A bucket whose
+members lie in one component is done.
 
-*Estimate.* The similarity of a pair is estimated from both sketches by maximum likelihood,
-with the exact set sizes. A pair goes on unless its estimate is more than six standard errors
-below the threshold.
+*Stragglers.* What is left are members that a leader c does not link. Common shingles of such a
+member and another one lie in c or outside it; those inside are at most the smaller overlap
+with c, which is known. So either that is enough by itself, which takes a partner smaller than
+c, or the two share shingles outside c, at least as many as are lacking. Pairs are made by
+these two tests only, the second as a join on the rarest of the shared shingles. Nothing is
+capped.
+
+*Estimate.* The similarity of a straggler's pair is estimated from both sketches by maximum
+likelihood, with the exact set sizes; the pair goes on unless the estimate is more than six
+standard errors below the threshold. (A leader's pairs need no estimate: their overlap is wanted anyway,
+and there is one per member and leader.)
 
 *Verify.* The full sets of both texts decide: 100 * intersection >= 75 * union.
 
@@ -37,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftguard.llm.common import dropped, packed, pieces, saved, ship, table, unpacked
@@ -45,10 +51,11 @@ from siftguard.llm.words import SPACED_FOLDED, Runs, mix, signed, tokenize
 
 SHINGLE, PERCENT = 5, 75
 REGISTERS, BAND = 256, 4
-#: Base of the register scale; a byte then covers twenty orders of magnitude.
-SCALE = 1.2
-#: Register value of a minimum of one; keeps sets of one shingle well above zero.
-OFFSET = 40
+#: Base of the register scale. So close to one, registers of unrelated sets rarely agree (1 in 4000),
+#: and buckets do not fill up as the corpus grows.
+SCALE = 1.001
+#: Register value of a minimum of one; keeps sets of one shingle above zero in two bytes.
+OFFSET = 8000
 #: Standard errors an estimate may lie below the threshold.
 ERRORS = 6
 #: Shingles of partners that one task verifies against one leader.
@@ -81,7 +88,7 @@ def shingles(words) -> tuple[np.ndarray, np.ndarray]:
 def registers(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """One row of registers per text that has shingles."""
     starts = bounds[:-1][np.diff(bounds) > 0]
-    out = np.empty((len(starts), REGISTERS), np.uint8)
+    out = np.empty((len(starts), REGISTERS), np.uint16)
     if not len(starts):
         return out
     bases = [(mix(code ^ s) >> np.uint64(32)).astype(np.uint32) for s in _SALTS]
@@ -91,7 +98,7 @@ def registers(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         np.multiply(bases[i % len(bases)], _FACTORS[i], out=hashed)
         low[i] = np.minimum.reduceat(hashed, starts)
     exponential = -np.log1p(-(low.T.astype(np.float64) + 0.5) / 2.0**32)
-    return np.clip(np.floor(1 - np.log(exponential) / np.log(SCALE)) + OFFSET, 0, 255).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(exponential) / np.log(SCALE)) + OFFSET, 0, 65535).astype(np.uint16)
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,9 +151,8 @@ def _bands(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), 2000):
                 part = batch.slice(start, 2000)
-                raw = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-                four = np.ascontiguousarray(raw).view(np.uint32).astype(np.uint64)
-                code = mix(four | (np.arange(four.shape[1], dtype=np.uint64) << np.uint64(32)))
+                four = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(-1, REGISTERS // BAND)
+                code = mix(four + np.arange(1, four.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(code.reshape(-1))), part.column("node").take(pa.array(np.repeat(np.arange(len(part)), four.shape[1])))],
                     ["bucket", "node"])
@@ -154,27 +160,25 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(cut, "bucket long, node long")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and estimated similarity allow a link, with the partner's set size."""
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) whose estimated similarity is at least ``least``, with b's set size."""
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("n_shingles").alias(f"n_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    least = PERCENT / 100 - ERRORS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.slice(start, 2000)
-                raw = [np.frombuffer(b"".join(part.column(f"sketch_{k}").to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in "ab"]
+            for start in range(0, len(batch), 1000):
+                part = batch.slice(start, 1000)
+                raw = [np.frombuffer(b"".join(part.column(f"sketch_{k}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in "ab"]
                 size = [part.column(f"n_{k}").to_numpy() for k in "ab"]
                 good = pa.array(estimated_similarity(*raw, *size) >= least)
                 yield part.select(["a", "b", "n_b"]).filter(good)
 
-    return both.mapInArrow(judge, "a long, b long, n_b long")
+    return both.mapInArrow(judge, "a long, b long, n_b long").groupBy("a", "b").agg(F.max("n_b").alias("n_b"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (leader a, partner b) whose full sets link."""
+def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Set sizes, overlap, and b's shingles outside a, of pairs (leader a, partner b), from the full sets."""
     load = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / SALT_SHINGLES).cast("int").alias("salts"))
     partner = pairs.join(load, "a").select(F.col("b").alias("doc"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     leader = load.select(F.col("a").alias("doc"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"))
@@ -207,14 +211,18 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         sets.append(own)
                         continue
                     for other in sets:  # one, unless rows share the leader's doc_id
-                        place = np.minimum(np.searchsorted(other, own), max(len(other) - 1, 0))
-                        both = int((other[place] == own).sum()) if len(other) and len(own) else 0
-                        if both and 100 * both >= PERCENT * (len(own) + len(other) - both):
-                            found.append((lead[r], doc[r]))
-                            break
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                        if len(other) and len(own):
+                            common = other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
+                            found.append((lead[r], doc[r], len(other), len(own), int(common.sum()), signed(own[~common])))
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kinds[k]) for k in range(6)], ["a", "b", "size_a", "size_b", "overlap", "outside"])
 
-    return rows.select("doc", "lead", "salt", "partner", "ztext", "n_bytes").mapInArrow(compare, "a long, b long").distinct()
+    return rows.select("doc", "lead", "salt", "partner", "ztext", "n_bytes").mapInArrow(
+        compare, "a long, b long, size_a long, size_b long, overlap long, outside array<long>")
+
+
+def _linked(compared: DataFrame) -> DataFrame:
+    return compared.where(f"100 * overlap >= {PERCENT} * (size_a + size_b - overlap)").select("a", "b").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -264,39 +272,75 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links that connect everything the bands bring together."""
     rows = _bands(nodes)
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = saved(rows.join(sizes, "bucket"), "members")
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    degree = saved(degree.join(nodes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")), "node"), "degree")
-    found, tested, label = None, None, degree.select("node", F.col("node").alias("label"))
-    for final in (False, False, True):
-        placed = members.join(degree, "node").join(label, "node").select("bucket", "node", "degree", "label", "least", "most")
-        split = placed.groupBy("bucket").agg(F.max_by("node", "degree").alias("lead"), F.max_by("label", "degree").alias("lead_label"),
-                                             F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        if final:
-            open_rows = placed.join(split, "bucket", "left_semi")
-            left, right = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "least", "most"))) for k in "ab")
-            apart = left.join(right, "bucket").where(
-                f"label_a < label_b and most_a * 100 >= least_b * {PERCENT} and most_b * 100 >= least_a * {PERCENT}")
-            pairs = apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        else:
-            pairs = placed.join(split, "bucket").where("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        if tested is not None:
-            ordered = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b")
-            pairs = ordered.join(tested, ["x", "y"], "left_anti").select("a", "b").distinct()
-        pairs = saved(pairs, "pairs")
-        now = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        tested = now if tested is None else tested.union(now)
-        likely = saved(_likely(pairs, nodes), "likely")
-        linked = saved(_verified(docs, likely), "links")
-        found = linked if found is None else found.union(linked)
-        if final or not linked.limit(1).count():
-            if not final and not pairs.limit(1).count():
-                break
-        if not final:
-            low = connected(found)
-            label = degree.join(low, "node", "left").select("node", F.coalesce("low", "node").alias("label"))
-    return found
+    degree = saved(members.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
+    heads = saved(members.join(degree, "node").groupBy("bucket").agg(F.max_by("node", "degree").alias("lead")), "heads")
+    placed = saved(members.join(heads, "bucket").select("bucket", "node", "lead"), "placed")
+    dropped(sizes, members, heads)
+    nodes = saved(nodes.join(degree.select("node"), "node", "left_semi"), "candidates")
+    pairs = saved(placed.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    sized = pairs.join(nodes.groupBy(F.col("node").alias("b")).agg(F.max("n_shingles").alias("n_b")), "b")
+    compared = saved(_compared(docs, sized.select("a", "b", "n_b")), "compared")
+    links = saved(_linked(compared), "links")
+    low = connected(links)
+    label = saved(degree.join(low, "node", "left").select("node", F.coalesce("low", "node").alias("label")), "label")
+    more = _straggler_pairs(placed, label, compared, pairs)
+    close = PERCENT / 100 - ERRORS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS)
+    likely = saved(_likely(more, nodes, close), "likely")
+    again = saved(_linked(_compared(docs, likely)), "links")
+    dropped(placed, pairs, compared, more, likely, label, degree, nodes)
+    return links.union(again)
+
+
+def _straggler_pairs(placed: DataFrame, label: DataFrame, compared: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of different components that may link, though no leader linked them."""
+    many = compared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("size_b").alias("size"), F.max("size_a").alias("lead_size"), F.max("overlap").alias("overlap"))
+    known = saved(many.where("n = 1").select(F.col("a").alias("lead"), F.col("b").alias("node"), "size", "lead_size", "overlap"), "known")
+    named = placed.join(label, "node")
+    open_buckets = saved(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "open")
+    leader = label.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
+    rows = named.join(open_buckets, "bucket").join(leader, "lead")
+    rows = rows.join(known, ["lead", "node"], "left")
+    # A leader shares everything with itself; it has been compared already.
+    rows = saved(rows.where("node <> lead"), "rows")
+    side = lambda frame, k: frame.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "size", "overlap")))
+    stray = side(rows.where("overlap is not null and label <> lead_label"), "a")
+    partner = side(rows.where("size < lead_size"), "b")
+    by_size = stray.join(partner, "bucket").where(
+        f"label_a <> label_b and {100 + PERCENT} * least(overlap_a, overlap_b) >= {PERCENT} * (size_a + size_b) and "
+        f"size_a * 100 >= size_b * {PERCENT} and size_b * 100 >= size_a * {PERCENT}")
+    unknown = side(rows.where("overlap is null"), "a").join(side(rows, "b"), "bucket").where("label_a <> label_b")
+    outside = compared.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.explode("outside").alias("shingle")).join(label, "node")
+    common = saved(outside.groupBy("lead", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+                   .where("low < high").select("lead", "shingle", "n"), "common")
+    shared = outside.join(common, ["lead", "shingle"]).join(known, ["lead", "node"]).join(leader, "lead")
+    own = Window.partitionBy("lead", "node")
+    shared = saved(shared.withColumns({"nth": F.row_number().over(own.orderBy("n", "shingle")), "have": F.count(F.lit(1)).over(own)}), "shared")
+    # With a partner no smaller than the leader, a straggler needs ``lack`` common shingles outside the leader, so one of them
+    # is among all but ``lack - 1`` of its own; the rarest are kept. A smaller partner may need one only.
+    lack = F.floor((PERCENT * (F.col("size") + F.col("lead_size")) + PERCENT + 99) / (100 + PERCENT)) - F.col("overlap")
+    some = lambda frame, k: frame.select("lead", "shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "size", "overlap")))
+    strays = shared.where("label <> lead_label")
+    rarest = some(strays.where(F.col("nth") <= F.col("have") - lack + 1), "a").join(some(shared.where("size >= lead_size"), "b"), ["lead", "shingle"])
+    smaller = some(strays, "a").join(some(shared.where("size < lead_size"), "b"), ["lead", "shingle"])
+    by_shingle = rarest.union(smaller).where(f"label_a <> label_b and size_a * 100 >= size_b * {PERCENT} and size_b * 100 >= size_a * {PERCENT}")
+    pairs = by_size.select("node_a", "node_b").union(unknown.select("node_a", "node_b")).union(by_shingle.select("node_a", "node_b"))
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = saved(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    dropped(known, open_buckets, rows, common, shared)
+    return out
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """One document per group of near duplicates, that of the smallest doc_id, with all columns.
+
+    Documents in no group stay, so do rows without an id, and of rows that share a doc_id all that share
+    the kept one's.
+    """
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
