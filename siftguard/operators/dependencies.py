@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import severity as sev
 from ..functions.osv import osv_fix_version, osv_severity
-from ..functions.text import basename, sql_text, unicode_pattern
+from ..functions.text import SPACES, basename, sql_text, unicode_pattern
 from ..functions.versions import version_key
 from ..rules import scanner_base
 from ..rules.advisories import ADVISORIES as BUNDLED
@@ -50,8 +50,8 @@ def _capture(text: str, pattern: str, index: int = 1) -> str:
     return f"regexp_extract({text}, {sql_text(unicode_pattern(pattern))}, {index})"
 
 
-def _stripped(text: str) -> str:
-    return f"regexp_replace({text}, '(?U)^[\\\\s\\\\x1f]+|[\\\\s\\\\x1f]+$', '')"
+def _stripped(text: str, side: str = "BOTH") -> str:
+    return f"trim({side} {sql_text(SPACES)} FROM {text})"
 
 
 def _pin(pkg: str, ver: str, line: str, snippet: str, source: str, seq: str) -> str:
@@ -81,7 +81,7 @@ _NO_ENTRIES = "CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRUCT<version:
 
 
 def _json(fields: str) -> str:
-    options = "map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_malformed')"
+    options = "map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_malformed', 'allowSingleQuotes', 'false')"
     return f"from_json(content, '{fields}, _malformed STRING', {options})"
 
 
@@ -97,6 +97,18 @@ _LOCKED_NAME = "element_at(split(e.key, 'node_modules/'), -1)"
 _PIPFILE_VERSION = _stripped("regexp_replace(coalesce(e.value.version, ''), '^==', '')")
 
 
+def _last_wins(document: str) -> str:
+    """Entries of a parsed map in document order; a repeated key keeps its first place and its last value.
+
+    Repeated keys become neighbours by sorting, so the work grows little faster than the entries.
+    """
+    numbered = f"array_sort(transform(map_entries({document}), (e, i) -> named_struct('key', e.key, 'i', i, 'value', e.value)))"
+    firsts = "filter(s, (x, j) -> j = 0 OR get(s, j - 1).key <> x.key)"
+    lasts = "filter(s, (x, j) -> j = size(s) - 1 OR get(s, j + 1).key <> x.key)"
+    kept = f"array_sort(zip_with({firsts}, {lasts}, (a, b) -> named_struct('i', a.i, 'key', a.key, 'value', b.value)))"
+    return f"transform(flatten(transform(array({numbered}), s -> {kept})), x -> named_struct('key', x.key, 'value', x.value))"
+
+
 def _entries(array: str, keep: str, pin: str) -> str:
     """Pins of map entries, numbered in document order."""
     return f"filter(transform({array}, (e, i) -> IF({keep}, {pin}, NULL)), p -> p IS NOT NULL)"
@@ -106,20 +118,20 @@ def _entries(array: str, keep: str, pin: str) -> str:
 # Pipfile.lock lists a package of both sections twice, package-lock.json prefers ``packages``.
 _PINS = {
     "requirements.txt": "transform(filter(_events, e -> e.name <> ''), e -> " + _pin(
-        "lower(e.name)", "e.ver", "e.line", "regexp_replace(e.text, '(?U)[\\\\s\\\\x1f]+$', '')", "e.text", "e.line") + ")",
+        "lower(e.name)", "e.ver", "e.line", _stripped("e.text", "TRAILING"), "e.text", "e.line") + ")",
     "poetry.lock": _owned("lower(p.o.name)", "=="),
     "yarn.lock": _owned(_stripped("p.o.name"), "@"),
     "package.json": _entries(
-        "map_entries(map_concat(map_filter(coalesce(_package.dependencies, map()), (k, v) -> "
-        "NOT map_contains_key(coalesce(_package.devDependencies, map()), k)), coalesce(_package.devDependencies, map())))",
+        f"concat(filter({_last_wins('coalesce(_package.dependencies, map())')}, e -> NOT array_contains("
+        f"map_keys(coalesce(_package.devDependencies, map())), e.key)), {_last_wins('coalesce(_package.devDependencies, map())')})",
         "e.value IS NOT NULL",
         _pin("e.key", _SPEC_VERSION, "1", "concat('\"', e.key, '\": \"', e.value, '\"')", "_lines[0]", "i")),
     "pipfile.lock": _entries(
-        f"concat(coalesce(map_entries(_pipfile.default), {_NO_ENTRIES}), coalesce(map_entries(_pipfile.develop), {_NO_ENTRIES}))",
+        f"concat(coalesce({_last_wins('_pipfile.default')}, {_NO_ENTRIES}), coalesce({_last_wins('_pipfile.develop')}, {_NO_ENTRIES}))",
         f"{_PIPFILE_VERSION} <> ''",
         _pin("e.key", _PIPFILE_VERSION, "1", f"concat(e.key, '==', {_PIPFILE_VERSION})", "_lines[0]", "i")),
     "package-lock.json": _entries(
-        f"coalesce(map_entries(IF(array_contains(json_object_keys(content), 'packages'), _locked.packages, _locked.dependencies)), {_NO_ENTRIES})",
+        f"coalesce({_last_wins("IF(array_contains(json_object_keys(content), 'packages'), _locked.packages, _locked.dependencies)")}, {_NO_ENTRIES})",
         f"{_LOCKED_NAME} <> '' AND coalesce(e.value.version, '') <> ''",
         _pin(_LOCKED_NAME, "e.value.version", "1", f"concat({_LOCKED_NAME}, '@', e.value.version)", "_lines[0]", "i")),
 }
