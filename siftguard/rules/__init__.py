@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import replace
 
+from ..functions.patterns import java_pattern
 from .infrastructure import INFRASTRUCTURE_RULES
 from .language import DISABLED, LANGUAGE_RULES
 from .model import (PLUGIN_BASE, SCANNER_STRIDE, SCANNERS, SEVERITY_WEIGHTS, USER_RULE_BASE,
@@ -49,12 +51,15 @@ def select_rules(config, user_rules: list[Rule] = ()) -> list[Rule]:
     chosen = [r for r in builtin_rules() if not wanted or r.scanner in wanted]
     if not wanted or "secrets" in wanted:
         start = scanner_base("secrets") + len(SECRET_RULES)
+        runnable = [java_pattern(p) for p in config.extra_secret_patterns]
+        for pattern in (p for p, java in zip(config.extra_secret_patterns, runnable, strict=True) if java is None):
+            warnings.warn(f"secret pattern {pattern!r} cannot run", stacklevel=2)
         chosen += [
             Rule(f"SECX{i + 1}", "secrets", "HIGH", "CWE-798", "Hardcoded Secret — Custom Pattern",
                  pattern, "The line matches a secret pattern from the scan configuration.",
                  "Revoke the credential, then load its successor from a secret store.",
                  rule_ord=start + i)
-            for i, pattern in enumerate(config.extra_secret_patterns)
+            for i, pattern in enumerate(runnable) if pattern is not None
         ]
     floor = min_weight(config.min_severity)
     chosen = sorted([*chosen, *user_rules], key=lambda r: r.rule_ord)
