@@ -31,51 +31,51 @@ _XSS = r"(?i)xss|cross.?site|mark_safe|innerHTML"
 
 REMEDIES = [
     Remedy(_SQL, r"""(cursor\.\w+|\.execute)\s*\(\s*f["']""",
-           "Bind the value as a parameter; an f-string writes it into the statement.",
-           'cur.execute(f"SELECT name FROM accounts WHERE id = {account}")',
-           'cur.execute("SELECT name FROM accounts WHERE id = %s", (account,))'),
+           "Leave a placeholder in the statement and let the driver bind the value; text built by an f-string becomes part of the SQL.",
+           'db.execute(f"DELETE FROM sessions WHERE owner = {owner}")',
+           'db.execute("DELETE FROM sessions WHERE owner = :owner", {"owner": owner})'),
     Remedy(_SQL, r"""(cursor\.\w+|\.execute)\s*\(\s*["'].*%s.*["']\s*%""",
-           "Hand the values over as the second argument instead of formatting them in.",
-           'cur.execute("SELECT name FROM accounts WHERE id = %s" % account)',
-           'cur.execute("SELECT name FROM accounts WHERE id = %s", (account,))'),
+           "Keep the percent sign out: a tuple as second argument is bound, a formatted string is not.",
+           'db.execute("UPDATE stock SET amount = %s WHERE part = \'%s\'" % (amount, part))',
+           'update(stock).where(stock.c.part == part).values(amount=amount)'),
     Remedy(_COMMAND, r"os\.system\s*\(",
-           "Start the program directly with a list of arguments, so that no shell is involved.",
-           'os.system("tar xf " + archive)',
-           'subprocess.run(["tar", "xf", archive], check=True)'),
+           "Many shell commands have a library call that does the same without a shell.",
+           'os.system("cp -r " + source + " " + target)',
+           'shutil.copytree(source, target)'),
     Remedy(_COMMAND, r"subprocess\.\w+\(.*shell\s*=\s*True",
-           "Drop the shell and split the command into a list.",
-           'subprocess.run(command, shell=True)',
-           'subprocess.run(shlex.split(command))'),
+           "Name the program by its path and pass each argument as one list item.",
+           'subprocess.check_output("git log -- " + path, shell=True)',
+           'subprocess.check_output(["/usr/bin/git", "log", "--", path])'),
     Remedy(_EVAL, r"\beval\s*\(",
-           "Parse literal values with ast.literal_eval().",
-           'value = eval(text)',
-           'value = ast.literal_eval(text)'),
+           "Look names up in a table of what is allowed instead of running the text.",
+           'result = eval(operation + "(a, b)")',
+           'result = {"add": operator.add, "mul": operator.mul}[operation](a, b)'),
     Remedy(_PICKLE, r"pickle\.load\s*\(",
-           "Read data of foreign origin as JSON; keep pickle for files you wrote yourself.",
-           'state = pickle.load(handle)',
-           'state = json.load(handle)'),
+           "A pickle can run code while it is read. Store arrays and tables in a format that holds data only.",
+           'weights = pickle.load(open(path, "rb"))',
+           'weights = numpy.load(path, allow_pickle=False)'),
     Remedy(_YAML, r"yaml\.load\s*\((?!.*Loader\s*=\s*yaml\.SafeLoader)",
-           "Use the safe loader, which builds plain data only.",
-           'settings = yaml.load(stream)',
-           'settings = yaml.safe_load(stream)'),
+           "Name a loader that knows no Python objects.",
+           'for part in yaml.load_all(feed, Loader=yaml.Loader): ...',
+           'for part in yaml.load_all(feed, Loader=yaml.CSafeLoader): ...'),
     Remedy(_HASH, r"hashlib\.md5\s*\(",
-           "MD5 no longer resists collisions; choose SHA-256 or SHA-3.",
-           'mark = hashlib.md5(block).hexdigest()',
-           'mark = hashlib.sha256(block).hexdigest()'),
+           "MD5 collisions take seconds. For passwords use a slow, salted function.",
+           'stored = hashlib.md5(password + salt).digest()',
+           'stored = hashlib.scrypt(password, salt=salt, n=2**15, r=8, p=1)'),
     Remedy(_HASH, r"hashlib\.sha1\s*\(",
-           "SHA-1 no longer resists collisions; choose SHA-256 or SHA-3.",
-           'mark = hashlib.sha1(block).hexdigest()',
-           'mark = hashlib.sha256(block).hexdigest()'),
+           "SHA-1 collisions are practical. To authenticate a message, use a keyed digest.",
+           'tag = hashlib.sha1(key + message).hexdigest()',
+           'tag = hmac.new(key, message, "sha3_256").hexdigest()'),
     Remedy(_DEBUG, r"DEBUG\s*=\s*True\b",
-           "Decide about debug mode by an environment variable, off unless set.",
-           'DEBUG = True',
-           'DEBUG = os.environ.get("APP_DEBUG", "0") == "1"'),
+           "Put the switch into a settings file that only development machines have.",
+           'class Settings: DEBUG = True',
+           'class DevelopmentSettings(Settings): DEBUG = sys.flags.dev_mode'),
     Remedy(_XSS, r"mark_safe\s*\(",
-           "Escape foreign text before it is declared safe.",
-           'return mark_safe(comment)',
-           'return mark_safe(escape(comment))'),
+           "Let the template engine put values into markup; it escapes them.",
+           'badge = mark_safe("<b>" + user.nickname + "</b>")',
+           'badge = format_html("<b>{}</b>", user.nickname)'),
     Remedy(_XSS, r"dangerouslySetInnerHTML",
-           "Sanitize the markup before it is inserted.",
-           '<p dangerouslySetInnerHTML={{__html: markup}} />',
-           '<p dangerouslySetInnerHTML={{__html: DOMPurify.sanitize(markup)}} />'),
+           "Render text as text; the framework escapes children.",
+           '<td dangerouslySetInnerHTML={{__html: row.remark}}></td>',
+           '<td>{row.remark}</td>'),
 ]
