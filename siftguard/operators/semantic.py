@@ -63,7 +63,7 @@ def _facts(node: ast.AST):
 
 
 def _file_facts(path: str, content: str) -> list[tuple]:
-    """Facts in source order. A file Python cannot parse has none."""
+    """Facts in source order. A file Python cannot parse has none; any other fault is one fact of kind ``error``."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -78,14 +78,16 @@ def _file_facts(path: str, content: str) -> list[tuple]:
                     rows.append((path, len(rows), node.lineno, *fact, text))
             stack.extend(reversed(list(ast.iter_child_nodes(node))))
         return rows
-    except Exception:  # one broken file must not fail the job; it only loses its own rows
+    except (SyntaxError, ValueError):  # no Python source
         return []
+    except Exception as error:  # one file must not fail the job, nor pass as clean
+        return [(path, 0, None, "error", repr(error)[:200], False, None, None, [], [], None)]
 
 
 def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [row for path, content in zip(batch["path"], batch["content"]) for row in _file_facts(path, content)]
-        yield pd.DataFrame(rows, columns=_FIELDS)
+        yield pd.DataFrame(rows, columns=_FIELDS).astype({"line": "Int32"})
 
 
 def syntax_facts(files: DataFrame) -> DataFrame:
@@ -101,6 +103,11 @@ def syntax_facts(files: DataFrame) -> DataFrame:
     return python.select("path", "content").mapInPandas(_flatten, FACTS)
 
 
+def semantic_errors(files: DataFrame) -> DataFrame:
+    """Files whose syntax tree could not be walked: path and message."""
+    return syntax_facts(files).filter("kind = 'error'").select("file", F.col("name").alias("error"))
+
+
 def semantic_findings(files: DataFrame, min_severity: str = "INFO") -> DataFrame:
     """Raw findings: every fact that satisfies a detector. No shuffle."""
     floor = min_weight(min_severity)

@@ -13,7 +13,7 @@ from ..operators.lines import explode_lines, with_file_facts
 from ..operators.plugins import Scanner, run_scanner
 from ..operators.postprocess import at_least, deduplicate, drop_suppressed, mark_suppressed, remediate
 from ..operators.rulescan import scan_lines
-from ..operators.semantic import semantic_findings
+from ..operators.semantic import semantic_errors, semantic_findings
 from ..operators.summary import file_counts, judge, severity_counts
 from ..rules import Rule, select_rules
 from ..sinks.store import HistoryStore
@@ -48,7 +48,7 @@ def raw_findings(files: DataFrame, config: ScanConfig | None = None, user_rules:
     config = config or ScanConfig()
     wanted = set(config.enabled_scanners)
     readable = files.filter(F.col("skip_reason").isNull())
-    parts = [scan_lines(lines_of(readable), select_rules(config, user_rules))]
+    parts, errors = [scan_lines(lines_of(readable), select_rules(config, user_rules))], []
     if not wanted or "dependencies" in wanted:
         table = advisories if advisories is not None else deps.advisories(files.sparkSession)
         pins = deps.extract_dependencies(_share(readable, "manifest"))
@@ -56,7 +56,7 @@ def raw_findings(files: DataFrame, config: ScanConfig | None = None, user_rules:
         parts.append(at_least(found, config.min_severity))
     if not wanted or "ast_scanner" in wanted:
         parts.append(semantic_findings(_share(readable, "python"), config.min_severity))
-    errors = []
+        errors.append(semantic_errors(_share(readable, "python")))
     for order, scanner in enumerate(scanners):
         found, failed = run_scanner(readable, scanner, order)
         parts.append(at_least(found, config.min_severity))
