@@ -22,7 +22,7 @@ def parse_osv(texts: DataFrame, column: str = "record") -> DataFrame:
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Baseline entries from a table folder or from one JSON document with a ``findings`` list.
 
-    A missing or malformed baseline is empty. A document is one driver-era artefact and is
+    A missing baseline is empty, and so are the malformed parts of a document. A document is one driver-era artefact and is
     read whole; a table folder is read in parallel.
     """
     empty = spark.createDataFrame([], BASELINE_ENTRY)
@@ -32,7 +32,9 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
             document = spark.read.schema(schema).json(path, multiLine=True)
             return document.select(F.explode("findings").alias("f")).select("f.*")
         return spark.read.schema(BASELINE_ENTRY).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty
 
 
