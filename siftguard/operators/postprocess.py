@@ -139,7 +139,3 @@ def search(findings: DataFrame, text: str = "", severity: str = "ALL") -> DataFr
     columns = ["title", "file", "description", "cwe_id", "scanner"]
     found = [F.coalesce(F.lower(F.col(c)).contains(fragment), F.lit(False)) for c in columns]
     return out.filter(reduce(lambda a, b: a | b, found))
-
-
-def union_findings(*parts: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
