@@ -20,6 +20,11 @@ RANKED_SCANS = 200
 RANKING = 10
 
 
+def _scan_key(scans: DataFrame, findings: DataFrame) -> list[str]:
+    """What joins the two tables: the id, and the date that a stored history is partitioned by."""
+    return ["scan_id", "scan_date"] if "scan_date" in scans.columns and "scan_date" in findings.columns else ["scan_id"]
+
+
 def _newest(scans: DataFrame) -> DataFrame:
     return scans.orderBy(F.desc("scanned_at"), F.desc("scan_id"))
 
@@ -32,11 +37,14 @@ def recent_scans(scans: DataFrame, target: str | None = None, limit: int = LIST_
 
 def scan_with_findings(scans: DataFrame, findings: DataFrame, scan_id: str) -> DataFrame:
     """Header and findings of one scan, most severe first; a scan without findings is one row."""
-    head = scans.filter(F.col("scan_id") == scan_id).select(*LIGHT_COLUMNS).limit(1)
+    key = _scan_key(scans, findings)
+    head = scans.filter(F.col("scan_id") == scan_id).select(*LIGHT_COLUMNS, *key[1:]).limit(1)
     body = findings.filter(F.col("scan_id") == scan_id)
     extra = [c for c in body.columns if c not in (*LIGHT_COLUMNS, "scan_date")]
-    # One header row goes to every task; a join on the single id would be one task.
-    filled = body.select("scan_id", *extra).join(F.broadcast(head), "scan_id")
+    # One header row goes to every task; a join on the single id would be one task. Its date
+    # leaves one partition of a stored history to read.
+    filled = body.select(*key, *extra).join(F.broadcast(head), key).drop(*key[1:])
+    head = head.drop(*key[1:])
     empty = head.join(body.select("scan_id").limit(1), "scan_id", "left_anti")
     joined = filled.unionByName(empty, allowMissingColumns=True)
     return joined.orderBy(F.desc("sev_weight"), "file", "line", "title")
@@ -96,12 +104,17 @@ def severity_breakdown(scans: DataFrame) -> DataFrame:
 def top_titles(scans: DataFrame, findings: DataFrame, limit: int = RANKING, scans_back: int = RANKED_SCANS) -> DataFrame:
     """Most frequent finding titles of the most recent scans; ties in title order.
 
-    The scan ids come first, from two columns only; at most ``scans_back`` of them meet the
+    The scan ids come first, from few columns, with their dates, which prune a stored history; at most ``scans_back`` of them meet the
     findings, which are then counted with a map-side combine.
     """
-    newest = _newest(scans.select("scan_id", "scanned_at")).limit(scans_back).select("scan_id")
-    counted = (findings.select("scan_id", F.coalesce("title", F.lit("Unknown")).alias("title"))
-               .join(F.broadcast(newest) if scans_back <= 10_000 else newest, "scan_id", "left_semi")
+    key = _scan_key(scans, findings)
+    newest = _newest(scans.select("scanned_at", *key)).limit(scans_back).select(*key)
+    if len(key) > 1:
+        # One small job: the oldest date among them prunes the findings to recent partitions.
+        oldest = newest.agg(F.min("scan_date")).first()[0]
+        findings = findings.filter(F.col("scan_date") >= F.lit(oldest)) if oldest else findings
+    counted = (findings.select(*key, F.coalesce("title", F.lit("Unknown")).alias("title"))
+               .join(newest, key, "left_semi")
                .groupBy("title").agg(F.count(F.lit(1)).alias("count")))
     return counted.orderBy(F.desc("count"), "title").limit(limit)
 

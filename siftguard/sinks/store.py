@@ -57,7 +57,8 @@ class HistoryStore:
         at = F.lit(scanned_at).cast("timestamp")
         rows = findings.withColumns({"scan_id": F.lit(scan_id), "scan_date": F.to_date(at)})
         rows.write.mode("append").partitionBy("scan_date").parquet(f"{self.root}/findings")
-        stored = self._read("findings", f"scan_id string, {FINDINGS}, scan_date date").filter(F.col("scan_id") == scan_id)
+        stored = self._read("findings", f"scan_id string, {FINDINGS}, scan_date date").filter(
+            (F.col("scan_id") == scan_id) & (F.col("scan_date") == F.to_date(at)))
         header = severity_counts(stored).withColumns({
             "scan_id": F.lit(scan_id), "target_path": F.lit(target_path), "scanned_at": at,
             "files_scanned": F.lit(files_scanned).cast("bigint"), "files_skipped": F.lit(files_skipped).cast("bigint"),
