@@ -223,14 +223,41 @@ def osv_index(records: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def resolve(deps: DataFrame, osv: DataFrame, table: DataFrame) -> DataFrame:
+def osv_ranges(records: DataFrame) -> DataFrame:
+    """Affected intervals per (ecosystem, package): keys ``low`` and ``high``, and whether ``high`` is affected.
+
+    Events are read in order: an introducing one opens an interval, a fixing or last affected
+    one right after it closes it, and without such a one it stays open.
+    """
+    flat = records.select(
+        F.coalesce("id", F.lit("UNKNOWN")).alias("advisory_id"), "summary", "details", osv_severity(F.col("severity")).alias("adv_severity"),
+        osv_fix_version(F.col("affected")).alias("fix_version"), F.explode("affected").alias("a"))
+    flat = flat.select("*", F.explode("a.ranges").alias("r")).select("*", F.posexplode("r.events").alias("at", "e"))
+    after = F.get(F.col("r.events"), F.col("at") + 1)
+    high = F.coalesce(after["fixed"], after["last_affected"])
+    return flat.where(F.col("e.introduced").isNotNull()).select(
+        F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("pkg"), "advisory_id", "summary", "details", "adv_severity",
+        "fix_version", version_key(F.col("e.introduced")).alias("low"), F.when(high.isNotNull(), version_key(high)).alias("high"),
+        after["fixed"].isNull().alias("high_affected")).distinct()
+
+
+def _in_ranges(wanted: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows like those of ``osv_index`` for pins that lie in an affected interval."""
+    key = version_key(F.col("ver"))
+    inside = (key >= F.col("low")) & (F.col("high").isNull() | (key < F.col("high")) | (F.col("high_affected") & (key == F.col("high"))))
+    return wanted.join(ranges, ["ecosystem", "pkg"]).where(inside).select(*wanted.columns, "advisory_id", "summary", "details", "adv_severity", "fix_version").distinct()
+
+
+def resolve(deps: DataFrame, osv: DataFrame, table: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """Advisories per distinct (ecosystem, package, version).
 
-    Exact records win; the bundled ranges count only where there is none. Each key is looked
-    up once, however often it is pinned.
+    Records win, by exact version or by an affected range; the bundled ranges count only
+    where there is none. Each key is looked up once, however often it is pinned.
     """
     key = ["ecosystem", "pkg", "ver"]
     wanted = deps.select(*key).distinct()
+    if ranges is not None:
+        osv = osv.select(*key, "advisory_id", "summary", "details", "adv_severity", "fix_version").unionByName(_in_ranges(wanted, ranges)).distinct()
     exact = wanted.join(osv, key)
     summary = F.coalesce("summary", F.concat(F.lit("Vulnerability in "), F.col("pkg"), F.lit(" "), F.col("ver")))
     exact = exact.select(
@@ -254,14 +281,14 @@ def with_ecosystem(deps: DataFrame) -> DataFrame:
     return deps.withColumn("ecosystem", choice)
 
 
-def osv_findings(deps: DataFrame, osv: DataFrame, table: DataFrame) -> DataFrame:
-    """Raw findings where exact records take precedence over the bundled ranges.
+def osv_findings(deps: DataFrame, osv: DataFrame, table: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Raw findings where records (see ``osv_index`` and ``osv_ranges``) take precedence over the bundled ranges.
 
     A popular pin may own a large share of all rows, so the way back from the distinct keys
     is a salted join.
     """
     pins = with_ecosystem(deps)
-    resolved = resolve(pins, osv, table)
+    resolved = resolve(pins, osv, table, ranges)
     hits = salted_join(pins, resolved, ["ecosystem", "pkg", "ver"], "inner", F.struct("file", "line"))
     return hits.select(
         "file", "line", "severity", sev.weight(F.col("severity")).alias("sev_weight"),

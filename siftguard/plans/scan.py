@@ -43,7 +43,7 @@ def _share(files: DataFrame, name: str) -> DataFrame:
 
 def raw_findings(files: DataFrame, config: ScanConfig | None = None, user_rules: list[Rule] = (),
                  scanners: list[Scanner] = (), advisories: DataFrame | None = None,
-                 osv: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+                 osv: DataFrame | None = None, osv_ranges: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """Findings of every enabled scanner, before suppression and de-duplication."""
     config = config or ScanConfig()
     wanted = set(config.enabled_scanners)
@@ -52,7 +52,7 @@ def raw_findings(files: DataFrame, config: ScanConfig | None = None, user_rules:
     if not wanted or "dependencies" in wanted:
         table = advisories if advisories is not None else deps.advisories(files.sparkSession)
         pins = deps.extract_dependencies(_share(readable, "manifest"))
-        found = deps.dependency_findings(pins, table) if osv is None else deps.osv_findings(pins, osv, table)
+        found = deps.dependency_findings(pins, table) if osv is None else deps.osv_findings(pins, osv, table, osv_ranges)
         parts.append(at_least(found, config.min_severity))
     if not wanted or "ast_scanner" in wanted:
         parts.append(semantic_findings(_share(readable, "python"), config.min_severity))
