@@ -96,6 +96,7 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, tool: str = "siftgu
     ``findings`` and ``summary`` carry ``scan_id``; ``summary`` also ``target_path`` and the
     counters. A scan with more findings than a chunk holds gives several logs, each valid by
     itself with its own rules, in severity order; every log states the counts of the whole scan.
+    A scan without findings has one log without results.
     """
     metrics = F.struct("critical", "high", "medium", "low", "total")
     scans = summary.select("scan_id", "target_path", "scanned_at", metrics.alias("metrics"))
@@ -116,14 +117,17 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, tool: str = "siftgu
     listed = listed.withColumn("_ids", F.transform("entries", lambda e: e["rule_id"])).withColumn(
         "rules", F.transform(F.array_distinct("_ids"), lambda i: F.get(
             F.col("entries"), (F.array_position(F.col("_ids"), i) - 1).cast("int"))["d"]))
+    clean = scans.join(findings.select("scan_id").distinct(), "scan_id", "left_anti").withColumn("_chunk", F.lit(0).cast("bigint"))
+    listed = listed.unionByName(clean, allowMissingColumns=True)
+    entries = F.coalesce("entries", F.array())
     base = F.concat(F.rtrim(F.translate("target_path", "\\", "/"), F.lit("/")), F.lit("/"))
     driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.lit(uri).alias("informationUri"),
-                      F.lit(version).alias("semanticVersion"), F.col("rules"))
+                      F.lit(version).alias("semanticVersion"), F.coalesce("rules", F.array()).alias("rules"))
     run = F.struct(
         F.struct(driver.alias("driver")).alias("tool"),
         F.array(F.struct(F.lit(True).alias("executionSuccessful"), F.col("scanned_at").alias("endTimeUtc"))).alias("invocations"),
-        F.transform("entries", lambda e: e["r"]).alias("results"),
-        F.transform("entries", lambda e: F.struct(
+        F.transform(entries, lambda e: e["r"]).alias("results"),
+        F.transform(entries, lambda e: F.struct(
             e["r"]["locations"][0]["physicalLocation"]["artifactLocation"].alias("location"))).alias("artifacts"),
         F.struct(F.struct(base.alias("uri")).alias("%SRCROOT%")).alias("originalUriBaseIds"),
         F.struct("metrics").alias("properties"))

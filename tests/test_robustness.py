@@ -83,3 +83,44 @@ def test_only_a_missing_path_is_an_empty_store(spark, tmp_path):
     (tmp_path / "broken").mkdir()
     with pytest.raises(AnalysisException):
         HistoryStore(spark, str(tmp_path / "broken"))._read("scans", "a no_such_type")
+
+
+RECORDS = [
+    '{"id":"A","affected":[{"package":{"name":"p","ecosystem":"npm"},"ranges":[{"events":[{"introduced":"0"},{"fixed":"1.2.0"}]}]}]}',
+    '{"id":"B","affected":[{"package":{"name":"p","ecosystem":"npm"},"ranges":[{"events":[{"introduced":"2.0.0"},{"last_affected":"2.5.0"},{"introduced":"3.0.0"}]}]}]}',
+    '{"id":"C","affected":[{"package":{"name":"q","ecosystem":"npm"},"versions":["1.0.0"],"ranges":[{"events":[{"introduced":"1.0.0"},{"fixed":"1.1.0"}]}]}]}']
+
+
+def test_version_ranges_of_advisories(spark):
+    from siftguard.sources.feeds import parse_osv
+    records = parse_osv(spark.createDataFrame([(r,) for r in RECORDS], "record string"))
+    pins = [("p", v) for v in ("1.1.9", "1.2.0", "2.0.0", "2.5.0", "2.5.1", "3.0.0", "9")] + [("q", "1.0.0"), ("q", "1.0.5"), ("q", "1.1.0")]
+    wanted = spark.createDataFrame([("npm", p, v) for p, v in pins], "ecosystem string, pkg string, ver string")
+    table = deps.advisories(spark).limit(0)
+    got = {(r.pkg, r.ver, r.advisory_id) for r in deps.resolve(wanted, deps.osv_index(records), table, deps.osv_ranges(records)).collect()}
+    assert got == {("p", "1.1.9", "A"), ("p", "2.0.0", "B"), ("p", "2.5.0", "B"), ("p", "3.0.0", "B"), ("p", "9", "B"), ("q", "1.0.0", "C"), ("q", "1.0.5", "C")}
+
+
+def test_a_clean_scan_has_a_sarif_log(spark, files):
+    import json
+    from siftguard.operators import export, summary
+    found = scan(files({"a.py": "eval(x)"}), ScanConfig()).findings.withColumn("scan_id", F.lit("s1"))
+    counts = summary.severity_counts(found, ["scan_id"]).withColumns({"target_path": F.lit("/t"), "scanned_at": F.lit("2024")})
+    both = counts.unionByName(counts.withColumns({"scan_id": F.lit("s2"), **{c: F.lit(0).cast("bigint") for c in ("critical", "high", "medium", "low", "info", "total")}}))
+    logs = {r.scan_id: json.loads(r.document)["runs"][0] for r in export.sarif_documents(found, both).collect()}
+    assert set(logs) == {"s1", "s2"} and logs["s1"]["results"]
+    assert logs["s2"]["results"] == [] and logs["s2"]["tool"]["driver"]["rules"] == []
+
+
+def test_history_reads_are_pruned_by_date(spark, tmp_path, files):
+    from siftguard.operators import history
+    store = HistoryStore(spark, str(tmp_path / "h"))
+    found = scan(files({"a.py": "eval(x)"}), ScanConfig()).findings
+    ids = [store.append(found, "/t", f"2024-01-0{d} 10:00:00", 1, 0, 1.0) for d in (1, 2, 3)]
+    one = history.scan_with_findings(store.scans(), store.findings(), ids[1])
+    ranked = history.top_titles(store.scans(), store.findings(), scans_back=1)
+    assert {r.scan_id for r in one.collect()} == {ids[1]} and "scan_date" not in one.columns
+    assert ranked.first()["count"] == found.count() / found.select("title").distinct().count()
+    assert "dynamicpruning" in one._jdf.queryExecution().optimizedPlan().toString()
+    scans_of = ranked._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1:]
+    assert any("scan_date" in part.split("]")[0] for part in scans_of)
