@@ -44,7 +44,7 @@ def test_redaction(documents):
 
 def test_overlapping_spans_are_blanked_once(spark):
     spans = F.from_json(F.lit('[{"start":4,"end":8},{"start":2,"end":6},{"start":10,"end":11}]'), "array<struct<start:int,end:int>>")
-    assert spark.range(1).select(S.blanked(F.lit("é123456789abc"), spans, "#")).first()[0] == "é1##89#bc"
+    assert spark.range(1).select(S.blanked(F.lit("é123456789abc"), spans, "#")).first()[0] == "é1#89#bc"
 
 
 PII = [(10, "é a.b@c.d_d@e.f x@y a@b.c.@d.e 1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.255"),
