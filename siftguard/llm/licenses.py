@@ -3,7 +3,7 @@
 Text is normalised to lower-case words with single blanks between them. Rules are regexes over
 that form; they are written out per license family and per way of naming it (permission
 sentences, notices, titles with version, identifiers), which gives a few hundred. A rule runs
-only on documents that hold its keyword, and all rules only on documents that hold any
+only on documents that hold its keywords, and all rules only on documents that hold any
 keyword. Every match is an interval of words with the priority of its rule; an interval that
 lies inside one of higher priority, or of equal priority and greater length, is suppressed.
 
@@ -107,9 +107,16 @@ def signature_rules() -> list[tuple[str, str, str, int, float]]:
     return rules
 
 
+def _names_license(pattern: str) -> bool:
+    return "licen[sc]e" in pattern.replace("(?: licen[sc]e)?", "")
+
+
 def _gate(rules: list[tuple]) -> str:
-    """One regex of all keywords; those that another one begins are left out."""
-    keys = sorted({r[1] for r in rules} | {"mit", "apache", "cc by"})
+    """One regex of all keywords; those that another one begins are left out.
+
+    Rules whose pattern names a license need that word, which is rarer than their own keyword.
+    """
+    keys = sorted({"licen" if _names_license(r[2]) else r[1] for r in rules} | {"cc by"})
     keys = [k for k in keys if not any(k != o and k.startswith(o) for o in keys)]
     return " (?:" + "|".join(keys) + ")"
 
@@ -146,10 +153,11 @@ def license_report(docs: DataFrame) -> DataFrame:
     firsts = F.flatten(F.array(*(F.transform(b, lambda p: p.first) for b in base)))
     rows = rows.withColumns({"firsts": F.when(F.col("norm").isNotNull(), firsts), "base": F.when(F.col("norm").isNotNull(), F.array_compact(F.array(*labels)))})
 
-    shape = "struct<rank:int,label:string,key:string,pattern:string,priority:int,score:double>"
-    catalogue = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(label).alias("label"), F.lit(" " + key).alias("key"), F.lit(pattern).alias("pattern"),
+    shape = "struct<rank:int,label:string,key:string,word:string,pattern:string,priority:int,score:double>"
+    catalogue = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(label).alias("label"), F.lit(" " + key).alias("key"),
+                                   F.lit(" licen" if _names_license(pattern) else " ").alias("word"), F.lit(pattern).alias("pattern"),
                                    F.lit(priority).alias("priority"), F.lit(score).alias("score")) for i, (label, key, pattern, priority, score) in enumerate(rules))).cast(f"array<{shape}>")
-    gated = F.filter(catalogue, lambda r: F.col("norm").contains(r.key))
+    gated = F.filter(catalogue, lambda r: F.col("norm").contains(r.word) & F.col("norm").contains(r.key))
     matched = F.flatten(F.transform(gated, lambda r: F.transform(_places(F.col("norm"), r.pattern), lambda p: F.struct(
         (-r.priority).alias("order"), (p.first - p.end).alias("shorter"), r.rank.alias("rank"), p.first.alias("first"), p.end.alias("end"), r.label.alias("label"), r.score.alias("score")))))
     empty = F.array().cast("array<struct<order:int,shorter:int,rank:int,first:int,end:int,label:string,score:double>>")
