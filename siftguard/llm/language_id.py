@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftguard.llm.common import held_out, pieces, ship, table
+from siftguard.llm.common import held_out, pieces, saved, ship, table
 
 #: Labelled documents per language and in all, of which features reach the driver (16 KB each).
 PER_LANGUAGE, TOTAL = 400, 4000
@@ -134,12 +134,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -
     spark = docs.sparkSession
     ship(spark)
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
-    langs = learn.select("lang").distinct().count()
+    sizes = saved(learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    langs = sizes.count()
     if not langs:
         return None
     each = max(20, min(per_language, total // langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), "doc_id")
-    ids = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
+    # A cut by hash leaves little more than the sample of each language to be ranked.
+    rank = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3)), F.lit(1_000_000_000))
+    ids = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").join(sizes, "lang").withColumn("rank", rank)
+    ids = ids.where(F.col("rank") <= F.lit(1.5e9 * each) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("rank", "doc_id")
+    ids = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
     # Bounded by ``total``.
     texts = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
