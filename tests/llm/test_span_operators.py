@@ -72,6 +72,26 @@ def test_trees_add_checked_spans_and_spare_the_rest(documents):
     assert red.startswith("ssn [PII] and ")
 
 
+def test_a_rare_kind_is_found_in_a_table_of_any_size(documents):
+    """Far more number proposals than the sample holds, and two account numbers among them."""
+    random.seed(6)
+    noise = [(i, " ".join(f"n {random.randint(10**15, 10**16 - 1)}" for _ in range(40))) for i in range(100)]
+    rare = [(1001, "iban DE89370400440532013000 end"), (1002, "account GB82WEST12345698765432 end"), (1003, "iban DE88370400440532013000 end")]
+    for rows in (rare, noise[:3] + rare, noise + rare):
+        spans = personal_data.with_personal_spans(documents(rows), ["doc_id"], sample=500)
+        got = {r.doc_id: [(s.start, s.end) for s in r["__spans"] if s.kind == "iban"] for r in spans.collect()}
+        assert [got[i] for i in (1001, 1002, 1003)] == [[(5, 27)], [(8, 30)], []]
+
+
+def test_every_kind_has_its_share_of_the_sample(documents):
+    random.seed(7)
+    noise = [(i, " ".join(f"n {random.randint(10**15, 10**16 - 1)}" for _ in range(40))) for i in range(50)]
+    some = [(1000 + i, f"ssn 123-45-{6000 + i} ") for i in range(90)]
+    rows = personal_data.proposals(documents(noise + some))
+    kinds = [r.kind for r in personal_data.sampled(rows, ["doc_id"], 300).collect()]
+    assert len(kinds) <= 300 and kinds.count("ssn") == 90 and kinds.count("card") > 150
+
+
 def test_trees_and_their_sql_agree(spark):
     import numpy as np
     rng = np.random.default_rng(0)
