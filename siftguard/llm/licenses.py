@@ -3,7 +3,7 @@
 Text is normalised to lower-case words with single blanks between them. Rules are regexes over
 that form; they are written out per license family and per way of naming it (permission
 sentences, notices, titles with version, identifiers), which gives a few hundred. A rule runs
-only on documents that hold its keywords, and all rules only on documents that hold any
+only on documents that hold one of its keywords (each alternative of a name has one), and all rules only on documents that hold any
 keyword. Every match is an interval of words with the priority of its rule; an interval that
 lies inside one of higher priority, or of equal priority and greater length, is suppressed.
 
@@ -28,12 +28,12 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Label, keyword, and the family's name as a regex over normalised words; a version follows in ``_VERSIONED``.
+#: Label, keywords of all alternatives (split by |), and the family's name as a regex over normalised words; a version follows in ``_VERSIONED``.
 _NAMED = [
     ("mit", "mit", "mit"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib(?: libpng)?"), ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl|do what the fuck you want to public"), ("0bsd", "0bsd", "0bsd|zero clause bsd"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"), ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"), ("bsd", "bsd", "bsd"), ("python-2", "python", "(?:python software foundation|psf)"),
+    ("wtfpl", "wtfpl|do what the fuck", "wtfpl|do what the fuck you want to public"), ("0bsd", "0bsd|zero clause", "0bsd|zero clause bsd"),
+    ("bsd-2-clause", "bsd|freebsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"), ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
+    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"), ("bsd", "bsd", "bsd"), ("python-2", "python|psf", "(?:python software foundation|psf)"),
     ("openssl", "openssl", "openssl"), ("postgresql", "postgresql", "postgresql"), ("ruby", "ruby", "ruby"), ("php-3", "php", "php"),
     ("curl", "curl", "curl"), ("libpng", "libpng", "libpng"), ("x11", "x11", "x11"), ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
     ("vim", "vim", "vim"), ("beerware", "beer", "beer ?ware"), ("ofl-1-1", "font", "(?:sil )?open font"), ("odbl-1", "database", "open database"),
@@ -76,7 +76,7 @@ _SENTENCES = [
 
 
 def signature_rules() -> list[tuple[str, str, str, int, float]]:
-    """Label, keyword, pattern over normalised words, priority, confidence; in rule order."""
+    """Label, keywords, pattern over normalised words, priority, confidence; in rule order."""
     rules = [(label, key, words, 90, 1.0) for label, key, words in _SENTENCES]
     for stem, key, name, versions in _VERSIONED:
         for version in versions:
@@ -116,7 +116,7 @@ def _gate(rules: list[tuple]) -> str:
 
     Rules whose pattern names a license need that word, which is rarer than their own keyword.
     """
-    keys = sorted({"licen" if _names_license(r[2]) else r[1] for r in rules} | {"cc by"})
+    keys = sorted({k for r in rules for k in (["licen"] if _names_license(r[2]) else r[1].split("|"))} | {"cc by"})
     keys = [k for k in keys if not any(k != o and k.startswith(o) for o in keys)]
     return " (?:" + "|".join(keys) + ")"
 
@@ -153,11 +153,11 @@ def license_report(docs: DataFrame) -> DataFrame:
     firsts = F.flatten(F.array(*(F.transform(b, lambda p: p.first) for b in base)))
     rows = rows.withColumns({"firsts": F.when(F.col("norm").isNotNull(), firsts), "base": F.when(F.col("norm").isNotNull(), F.array_compact(F.array(*labels)))})
 
-    shape = "struct<rank:int,label:string,key:string,word:string,pattern:string,priority:int,score:double>"
-    catalogue = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(label).alias("label"), F.lit(" " + key).alias("key"),
+    shape = "struct<rank:int,label:string,keys:array<string>,word:string,pattern:string,priority:int,score:double>"
+    catalogue = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(label).alias("label"), F.array(*(F.lit(" " + k) for k in key.split("|"))).alias("keys"),
                                    F.lit(" licen" if _names_license(pattern) else " ").alias("word"), F.lit(pattern).alias("pattern"),
                                    F.lit(priority).alias("priority"), F.lit(score).alias("score")) for i, (label, key, pattern, priority, score) in enumerate(rules))).cast(f"array<{shape}>")
-    gated = F.filter(catalogue, lambda r: F.col("norm").contains(r.word) & F.col("norm").contains(r.key))
+    gated = F.filter(catalogue, lambda r: F.col("norm").contains(r.word) & F.exists(r["keys"], lambda k: F.col("norm").contains(k)))
     matched = F.flatten(F.transform(gated, lambda r: F.transform(_places(F.col("norm"), r.pattern), lambda p: F.struct(
         (-r.priority).alias("order"), (p.first - p.end).alias("shorter"), r.rank.alias("rank"), p.first.alias("first"), p.end.alias("end"), r.label.alias("label"), r.score.alias("score")))))
     empty = F.array().cast("array<struct<order:int,shorter:int,rank:int,first:int,end:int,label:string,score:double>>")

@@ -127,6 +127,45 @@ def test_rules_are_ordered_and_gated():
     assert gate.search(" under the mit license ") and not gate.search(" mit und fuer ")
 
 
+def _samples(pattern):
+    """A string for every way through the alternatives and options of a pattern."""
+    from re import _constants as C
+    from re import _parser as P
+
+    def ways(items):
+        out = [""]
+        for op, arg in items:
+            if op is C.LITERAL:
+                own = [chr(arg)]
+            elif op is C.IN:
+                own = [chr(c) for kind, x in arg for c in (range(x[0], x[1] + 1) if kind is C.RANGE else [x])]
+            elif op is C.BRANCH:
+                own = [w for branch in arg[1] for w in ways(branch)]
+            elif op is C.SUBPATTERN:
+                own = ways(arg[3])
+            else:
+                assert op is C.MAX_REPEAT and arg[:2] == (0, 1), (pattern, op, arg)
+                own = ["", *ways(arg[2])]
+            out = [a + b for a in out for b in own]
+        return out
+
+    return ways(P.parse(pattern))
+
+
+def test_every_alternative_of_a_rule_passes_its_gate_and_key(documents):
+    import re
+    rules = licenses.signature_rules()
+    gate = re.compile(licenses._gate(rules))
+    for _, keys, pattern, _, _ in rules:
+        for sample in _samples(pattern):
+            norm = f" {sample} "
+            assert re.fullmatch(pattern, sample) and gate.search(norm) and any(" " + k in norm for k in keys.split("|")), (pattern, sample)
+            assert not licenses._names_license(pattern) or " licen" in norm
+    named = [(1, "The FreeBSD License"), (2, "do what the fuck you want to public license"), (3, "Zero-Clause BSD License"), (4, "PSF license")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_report(documents(named)).collect()}
+    assert got == {1: ("bsd-2-clause", 0.7), 2: ("wtfpl", 0.7), 3: ("0bsd", 0.7), 4: ("python-2", 0.7)}
+
+
 @pytest.mark.parametrize("query", [secret_scan.op1_secret_scans, licenses.op10_license_scans])
 def test_no_python_in_the_plan(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
