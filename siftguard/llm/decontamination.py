@@ -140,11 +140,15 @@ def _scan(docs: DataFrame, windows, with_text: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
 
 
-def _joined(docs: DataFrame, windows: DataFrame, with_text: bool) -> DataFrame:
-    """The same report by a shuffle join on window hashes, for benchmarks of any size."""
+def _text_key(docs: DataFrame):
+    """What tells rows with the same or no id apart."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")), F.lit(7))
+
+
+def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Verified hits and items of the (doc_id, text_key) that have any, by a shuffle join on window hashes."""
     lengths = sorted(r.length for r in windows.select("length").distinct().limit(WINDOW + 1).collect())
-    key = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("text_key"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(docs).alias("text_key"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches):
@@ -162,8 +166,14 @@ def _joined(docs: DataFrame, windows: DataFrame, with_text: bool) -> DataFrame:
                         ["doc_id", "text_key", "start", "length", "hash", "words"])
 
     cuts = docs.mapInArrow(cut, "doc_id long, text_key long, start long, length int, hash long, words binary")
-    hits = (cuts.join(windows, ["hash", "length", "words"]).groupBy("doc_id", "text_key")
+    return (cuts.join(windows, ["hash", "length", "words"]).groupBy("doc_id", "text_key")
             .agg(F.collect_set(F.struct("start", "length")).alias("hits"), F.collect_set("item_id").alias("items")))
+
+
+def _joined(docs: DataFrame, windows: DataFrame, with_text: bool) -> DataFrame:
+    """The same report for benchmarks of any size."""
+    hits = _hits(docs, windows)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(docs).alias("text_key"))
     schema = REPORT + (", clean_text string" if with_text else "")
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +211,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> Da
     most = settings.get("max_windows", MAX_WINDOWS)
     rows = windows.limit(most + 1).collect()
     if len(rows) > most:
-        bad = _joined(docs, windows, False).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+        bad = _hits(docs, windows).select(F.col("doc_id").alias("__bad"), F.col("text_key").alias("__bad_text"))
+        same = docs["doc_id"].cast("long").eqNullSafe(F.col("__bad")) & (_text_key(docs) == F.col("__bad_text"))
+        return docs.join(bad, same, "left_anti")
     held = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in rows]))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,3 +155,11 @@ def test_box_bounds_hold():
 def test_no_documents_column_is_touched(documents):
     docs = documents(ODD).withColumn("doc", F.lit(1)).withColumn("lead", F.lit(2))
     assert near.keep_one_of_each(docs).columns == docs.columns
+
+
+def test_removal_of_null_and_repeated_ids_does_not_depend_on_the_benchmark_size(spark, documents):
+    item = " ".join(f"q{i}" for i in range(12))
+    items = spark.createDataFrame([("i1", item)], "item_id string, text string")
+    rows = [(None, f"x {item} y"), (None, "clean without id"), (None, None), (7, item), (7, "clean with the same id"), (7, item), (8, "clean"), (8, "clean")]
+    kept = [sorted(map(str, remove_contaminated(documents(rows), items, max_windows=most).collect())) for most in (1, 1000)]
+    assert kept[0] == kept[1] and len(kept[0]) == 5
