@@ -66,8 +66,8 @@ def pages(spark, sf) -> DataFrame:
 
 
 def code_raw(spark, sf) -> DataFrame:
-    """Raw findings of the line rules (reconstructed secret rules left out) and the syntax rules."""
-    names = [*FAMILIES, "ast_scanner", "iac"]
+    """Raw findings of the line rules, secret rules included, and the syntax rules."""
+    names = [*FAMILIES, "secrets", "ast_scanner", "iac"]
     return raw_findings(code_files(spark, sf), ScanConfig(enabled_scanners=names))[0]
 
 
@@ -77,7 +77,7 @@ def code_findings(spark, sf) -> DataFrame:
 
 def line_findings(spark, sf) -> DataFrame:
     """De-duplicated findings of the line rules alone."""
-    names = [*FAMILIES, "iac"]
+    names = [*FAMILIES, "secrets", "iac"]
     return finish(raw_findings(code_files(spark, sf), ScanConfig(enabled_scanners=names))[0])
 
 
@@ -365,9 +365,9 @@ def suppression_insert(spark, sf):
 # ------------------------------------------------------------------ whole scans
 
 def full_scan(spark, sf):
-    """Code and manifests through every scanner but the secret one; counts per scanner and severity."""
+    """Code and manifests through every scanner; counts per scanner and severity."""
     files = code_files(spark, sf).unionByName(man.manifest_files(spark, sf))
-    config = ScanConfig(enabled_scanners=[*FAMILIES, "dependencies", "ast_scanner", "iac"])
+    config = ScanConfig(enabled_scanners=[*FAMILIES, "secrets", "dependencies", "ast_scanner", "iac"])
     return scan(files, config).findings.groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
