@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import re
+import zlib
+from fractions import Fraction
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -103,3 +106,51 @@ def licenses(text):
     hits = [(i, label) for i in range(len(w)) for p, label in PHRASES.items() if tuple(w[i:i + len(p)]) == p]
     at = [i for i, _ in hits]
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def runs(words):
+    """(start, length, period) of maximal stretches of six words and four periods at least, each with its smallest period."""
+    n, out = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(6, 4 * q):
+                out.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((s, e - s, q) for (s, e), q in out.items())
+
+
+def planted(doc, text):
+    words, h = SPACED.findall(text or ""), zlib.crc32(("" if doc is None else str(doc)).encode())
+    n, g = len(words), h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    return words
+
+
+def periodic(doc, text):
+    words = planted(doc, text)
+    found = runs(words)
+    gone = {k for s, size, q in found for k in range(s + q, s + size)}
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None, None, None))
+    milli = None if best[0] is None else 1000 * best[1] // best[2]
+    return (len(found), *best, milli, sha("".join(f"{s},{size},{q}\n" for s, size, q in sorted(found, key=lambda r: (r[0], r[2])))),
+            sha(" ".join(w for k, w in enumerate(words) if k not in gone)))
+
+
+def overlaps(a_bytes, b_bytes):
+    """Groups and links of two tokenizations given as lists of byte strings: every pair is tried."""
+    def ranges(tokens):
+        ends = list(itertools.accumulate(map(len, tokens)))
+        return [(e - len(t), e) for t, e in zip(tokens, ends, strict=True)]
+
+    a, b = ranges(a_bytes), ranges(b_bytes)
+    common = sorted({e for _, e in a} & {e for _, e in b})
+    groups = [([i for i, r in enumerate(a) if low < r[1] <= high], [j for j, r in enumerate(b) if low < r[1] <= high])
+              for low, high in zip([0, *common], common)]
+    return groups, [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x[0] < y[1] and y[0] < x[1]]
