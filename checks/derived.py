@@ -243,3 +243,19 @@ def lines_sql(source: str = "orders", key: str = "o_orderkey") -> str:
 
 
 FILES_SQL = "SELECT path, string_agg(text, chr(10) ORDER BY line) AS content FROM lines GROUP BY path"
+
+
+def write_tree(rows: DataFrame, root: str) -> int:
+    """Write (path, text) rows as files below ``root``, by tasks; returns how many."""
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                place = Path(root, path)
+                place.parent.mkdir(parents=True, exist_ok=True)
+                # A task may run twice; the file is complete either time.
+                part = place.with_name(f".{place.name}-{uuid.uuid4().hex}")
+                part.write_bytes(text.encode())
+                os.replace(part, place)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.where("text is not null").mapInPandas(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

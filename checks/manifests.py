@@ -111,8 +111,8 @@ def _osv_sql(string: str) -> str:
          ELSE '{{"score": "unknown"}}' END
       || '], "affected": [{{"package": {{"name": "' || pkg || '", "ecosystem": "' || CASE WHEN form IN (0, 2, 3) THEN 'PyPI' ELSE 'npm' END
       || '"}}, "versions": ["' || ver || '"], "ranges": ['
-      || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{{"events": [{{"introduced": "0"}}, {{"fixed": "8.1"}}, {{"fixed": "8.2"}}]}}'
-         ELSE '{{"events": [{{"fixed": "9.1"}}]}}, {{"events": [{{"fixed": "9.2"}}, {{"fixed": "9.3"}}]}}, {{"events": [{{"introduced": "1"}}]}}' END
+      || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{{"type": "GIT", "events": [{{"introduced": "0"}}, {{"fixed": "8.1"}}, {{"fixed": "8.2"}}]}}'
+         ELSE '{{"events": [{{"fixed": "9.1"}}]}}, {{"events": [{{"fixed": "9.2"}}, {{"fixed": "9.3"}}]}}, {{"type": "GIT", "events": [{{"introduced": "1"}}]}}' END
       || ']}}]}}' AS record
     FROM pins"""
 
@@ -128,6 +128,95 @@ EXPECTED_OSV = f"""
     FROM ({_osv_pins_sql("VARCHAR")})"""
 
 
+#: Range-only records by p_partkey % 8: ranges of a type, each with its events (kind, version, its sort key of four numbers) in the
+#: order listed. A pre-release has -1 as its last number; a and b are the first two parts of the pin's version.
+_A, _B = "p_size % 6", "p_partkey % 30"
+_FROM_ZERO = ("introduced", "'0'", "[-1, 0, 0, 0]")
+
+
+def _at(kind: str, a: str, b: str, c: str | None = None, tail: str = "") -> tuple[str, str, str]:
+    parts = [f"CAST(({x}) AS STRING)" for x in (a, b, c) if x is not None]
+    version = " || '.' || ".join(parts) + (f" || '{tail}'" if tail else "")
+    return kind, version, f"[{a}, {b}, {c or 0}, {-1 if tail else 0}]"
+
+
+RANGES = [
+    [("ECOSYSTEM", [_at("introduced", _A, _B, "0"), _at("fixed", _A, f"{_B} + 1", "0")])],
+    [("SEMVER", [_at("introduced", "5", f"{_B} + 25")])],
+    [("ECOSYSTEM", [_FROM_ZERO, _at("fixed", "0", "p_partkey % 3"), _at("introduced", _A, _B), _at("last_affected", _A, _B, "5")])],
+    [("GIT", [_FROM_ZERO]), ("ECOSYSTEM", [_at("introduced", _A, _B, "3"), _at("fixed", _A, _B, "4")])],
+    [("SEMVER", [_at("fixed", "0", "p_partkey % 3"), _FROM_ZERO])],
+    [("ECOSYSTEM", [_at("last_affected", _A, _B, "7"), _at("fixed", "0", "2"), _at("introduced", _A, _B, "5"), _FROM_ZERO])],
+    [("SEMVER", [_at("introduced", _A, _B, "0", "-alpha"), _at("fixed", _A, _B, "1", "-rc.1")])],
+    [("ECOSYSTEM", [_FROM_ZERO, _at("limit", "0", "p_partkey % 4")])],
+]
+
+
+def _ranges_json(ranges) -> str:
+    shown = []
+    for kind, events in ranges:
+        listed = " || ', ' || ".join(f"""'{{"{name}": "' || {version} || '"}}'""" for name, version, _ in events)
+        shown.append(f"""'{{"type": "{kind}", "events": [' || {listed} || ']}}'""")
+    return " || ', ' || ".join(shown)
+
+
+def range_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One OSV record per part that lists no versions, only ranges."""
+    choice = " ".join(f"WHEN {k} THEN {_ranges_json(r)}" for k, r in enumerate(RANGES))
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_size")
+    rows = spark.sql(_pins_sql("STRING").replace("FROM part", "FROM {part}").replace("SELECT p_partkey", "SELECT p_size, p_partkey"), part=part)
+    return rows.selectExpr("p_partkey", f"""'{{"id": "RNG-' || CAST(p_partkey AS STRING) || '", "summary": "range", "affected": [{{"package": {{"name": "' || pkg
+        || '", "ecosystem": "' || CASE WHEN form IN (0, 2, 3) THEN 'PyPI' ELSE 'npm' END || '"}}, "ranges": [' || CASE p_partkey % {len(RANGES)} {choice} END || ']}}]}}' AS record""")
+
+
+def _events_sql() -> str:
+    """Every event of every versioned range as a row; the fix is the first fixed one of a range, of the last range that has one."""
+    rows = []
+    for k, ranges in enumerate(RANGES):
+        fixes = [next((v for name, v, _ in events if name == "fixed"), None) for _, events in ranges]
+        fix = next((f for f in reversed(fixes) if f), "'latest'")
+        for n, (kind, events) in enumerate(ranges):
+            for at, (name, _, key) in enumerate(events if kind != "GIT" else []):
+                rows.append(f"SELECT p_partkey, pkg, form, {n} AS n, {at} AS at, '{name}' AS event, {key} AS key, {fix} AS fix_version FROM sized WHERE p_partkey % {len(RANGES)} = {k}")
+    return " UNION ALL ".join(rows).replace("STRING", "VARCHAR")
+
+
+#: Range records that hit a pin, judged by the rule itself: the latest event at or before the version opens, and every limit is beyond it, or one at least.
+#: A last affected version takes effect right after itself.
+RANGE_HITS = f"""
+    SELECT DISTINCT ecosystem, pkg, ver, 'RNG-' || CAST(p_partkey AS VARCHAR) AS advisory_id, 'HIGH' AS severity, fix_version FROM (
+      SELECT e.p_partkey, d.ecosystem, d.pkg, d.ver, e.n, any_value(e.fix_version) AS fix_version,
+        arg_max(e.event, [e.key, [CASE e.event WHEN 'last_affected' THEN 1 ELSE 0 END, e.at]]) FILTER (
+          e.event <> 'limit' AND (e.key < d.key OR (e.key = d.key AND e.event <> 'last_affected'))) AS latest,
+        coalesce(bool_or(d.key < e.key) FILTER (e.event = 'limit'), true) AS within
+      FROM (SELECT DISTINCT ecosystem, pkg, ver, list_transform(string_split(ver, '.'), lambda x: x::BIGINT) || [0] AS key FROM eco) d
+      JOIN ({_events_sql().replace("FROM sized", f"FROM ({PINS_SQL.replace('SELECT p_partkey', 'SELECT p_size, p_partkey')})")}) e
+        ON e.pkg = d.pkg AND d.ecosystem = CASE WHEN e.form IN (0, 2, 3) THEN 'PyPI' ELSE 'npm' END
+      GROUP BY ALL) WHERE latest = 'introduced' AND within"""
+
+
+# ------------------------------------------------------------------ advisories at the scale of a feed
+
+#: Every line item is a pin and every order an advisory. A tenth of the pins name one package, whose versions lie apart so that its
+#: advisories, bounded low, meet few of them.
+_FEED_PKG = "CASE WHEN {0} % 10 = 0 THEN 'hot' ELSE 'p' || CAST({0} % 211 AS {s}) END"
+FEED_PINS_SQL = f"""SELECT {_FEED_PKG.format("l_partkey", s="VARCHAR")} AS pkg_key, [l_orderkey % 40, l_partkey % 50, l_linenumber, 0] AS ver_key FROM lineitem"""
+FEED_SQL = f"""SELECT {_FEED_PKG.format("o_orderkey", s="VARCHAR")} AS pkg_key, 'ADV-' || CAST(o_orderkey AS VARCHAR) AS advisory_id,
+    [0, o_custkey % 60, 9, 0] AS max_key FROM orders"""
+
+
+def feed_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    version = "concat_ws('.', l_orderkey % 40, l_partkey % 50, l_linenumber)"
+    return load(spark, sf_dir, "lineitem").selectExpr(
+        "concat('f', l_orderkey) AS file", "CAST(l_linenumber AS INT) AS line", f"{_FEED_PKG.format('l_partkey', s='STRING')} AS pkg_key", f"{version} AS ver")
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").selectExpr(
+        f"{_FEED_PKG.format('o_orderkey', s='STRING')} AS pkg_key", "concat('ADV-', o_orderkey) AS advisory_id", "'HIGH' AS severity",
+        "array(0L, CAST(o_custkey % 60 AS BIGINT), 9L, 0L) AS max_key")
+
+
 # ------------------------------------------------------------------ scan history
 
 def history_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,13 +239,16 @@ ORACLES = {
     "dependency_findings": _with(**ADVISED) + f"SELECT {OUT} FROM ({DEDUP.format(source='raw')})",
     "osv_severity": f"SELECT advisory_id, severity FROM ({man.EXPECTED_OSV})",
     "osv_fix_version": f"SELECT advisory_id, ecosystem, pkg, ver, fix_version FROM ({man.EXPECTED_OSV})",
-    "osv_match": _with(**PINS, osv=man.EXPECTED_OSV, eco="SELECT *, CASE WHEN form IN (0, 2, 3) THEN 'PyPI' ELSE 'npm' END AS ecosystem FROM deps")
+    "osv_match": _with(**PINS, eco="SELECT *, CASE WHEN form IN (0, 2, 3) THEN 'PyPI' ELSE 'npm' END AS ecosystem FROM deps",
+        osv=f"SELECT ecosystem, pkg, ver, advisory_id, severity, fix_version FROM ({man.EXPECTED_OSV}) UNION ALL {man.RANGE_HITS}")
     + f"""SELECT e.file, e.line, o.severity, 'Vulnerable Dependency — ' || e.pkg || ' ' || e.ver || ' (' || o.advisory_id || ')' AS title,
         'Upgrade ' || e.pkg || ' to >= ' || o.fix_version || '. See: https://osv.dev/vulnerability/' || o.advisory_id AS fix,
         'OSVScanner' AS scanner FROM eco e JOIN osv o USING (ecosystem, pkg, ver)
         UNION ALL SELECT file, line, asev, 'Vulnerable Dependency — ' || pkg || ' ' || ver || ' (' || cve || ')', afix,
         'DependencyScanner(bundled)' FROM eco JOIN {PARTS} ON apkg = pkg_key AND {_key('ver')} <= {_key('max_version')}
         WHERE NOT EXISTS (SELECT 1 FROM osv o WHERE o.ecosystem = eco.ecosystem AND o.pkg = eco.pkg AND o.ver = eco.ver)""",
+    "advisory_feed": f"""SELECT a.advisory_id, count(*) AS pins, count(DISTINCT d.ver_key) AS versions FROM ({man.FEED_PINS_SQL}) d
+        JOIN ({man.FEED_SQL}) a ON a.pkg_key = d.pkg_key AND d.ver_key <= a.max_key GROUP BY a.advisory_id""",
     "severity_threshold": _with(**CODE) + f"SELECT {OUT} FROM ({hits(_rules(*FAMILIES))}) WHERE sev_weight >= 5",
     "inline_suppress": _with(**RAW) + f"SELECT file, line, title, scanner, {SUPPRESSED} AS suppressed FROM raw",
     "inline_suppress_by_join": _with(**CODE, raw=hits(_rules(*FAMILIES))) + f"SELECT file, line, title, scanner, {SUPPRESSED} AS suppressed FROM raw",

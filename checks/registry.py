@@ -302,6 +302,12 @@ def dependency_findings(spark, sf):
     return postprocess.deduplicate(dependency_raw(spark, sf)).select(*OUT)
 
 
+def advisory_feed(spark, sf):
+    """As many advisories as orders; per advisory, the pins and the versions within its bound."""
+    found = deps.match_advisory_feed(man.feed_pins(spark, sf), man.feed(spark, sf))
+    return found.groupBy("advisory_id").agg(F.count(F.lit(1)).alias("pins"), F.countDistinct("ver_key").alias("versions"))
+
+
 def _osv(spark, sf):
     return deps.osv_index(parse_osv(man.osv_texts(spark, sf)))
 
@@ -315,8 +321,10 @@ def osv_fix_version(spark, sf):
 
 
 def osv_match(spark, sf):
+    """Records with exact versions, and records with ranges only: closed, open-ended, several, over commits, unordered, limited."""
     pins = deps.extract_dependencies(man.manifest_files(spark, sf))
-    return deps.osv_findings(pins, _osv(spark, sf), deps.advisories(spark)).select(
+    records = parse_osv(man.osv_texts(spark, sf).select("record").union(man.range_texts(spark, sf).select("record")))
+    return deps.osv_findings(pins, deps.osv_index(records), deps.advisories(spark), deps.osv_ranges(records)).select(
         "file", "line", "severity", "title", "fix", "scanner")
 
 
@@ -502,6 +510,7 @@ QUERIES = {
     "version_key": version_keys,
     "advisory_join": advisory_join,
     "dependency_findings": dependency_findings,
+    "advisory_feed": advisory_feed,
     "osv_match": osv_match,
     "osv_severity": osv_severity,
     "osv_fix_version": osv_fix_version,

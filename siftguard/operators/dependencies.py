@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import severity as sev
-from ..functions.osv import osv_fix_version, osv_severity
+from ..functions.osv import osv_fix_version, osv_intervals, osv_severity
 from ..functions.text import SPACES, basename, sql_text, unicode_pattern
-from ..functions.versions import version_key
+from ..functions.versions import SEMANTIC, ordered_version, version_key
 from ..rules import scanner_base
 from ..rules.advisories import ADVISORIES as BUNDLED
 from ..schemas import ADVISORIES, RAW_COLUMNS
 from ..session import dimension
+from .intervals import interval_join, stored
 from .joins import salted_join
 from .lines import drop_last_empty, split_lines
 
@@ -192,6 +193,20 @@ def match_advisories(deps: DataFrame, table: DataFrame) -> DataFrame:
     return pins.join(notes, condition, "inner").drop("_pkg")
 
 
+def match_advisory_feed(deps: DataFrame, table: DataFrame) -> DataFrame:
+    """What ``match_advisories`` gives, for advisory tables that are no small dimension.
+
+    Distinct (package, version key) pairs meet the bounds in bins of version prefixes; the pins come back by a salted join,
+    since one pin may own a large share of all rows.
+    """
+    pins = deps.withColumn("ver_key", version_key(F.col("ver")))
+    notes = table.withColumnRenamed("severity", "adv_severity")
+    bounds = notes.withColumns({"low": F.lit(None).cast("array<bigint>"), "high": F.col("max_key"), "high_included": F.lit(True)})
+    found = interval_join(pins.select("pkg_key", F.col("ver_key").alias("key")), bounds, ["pkg_key"])
+    found = found.withColumnRenamed("key", "ver_key").drop("low", "high", "high_included")
+    return salted_join(pins, found, ["pkg_key", "ver_key"], "inner", F.struct("file", "line"))
+
+
 def _vulnerable_title(advisory: Column) -> Column:
     return F.concat(F.lit("Vulnerable Dependency — "), F.col("pkg"), F.lit(" "), F.col("ver"),
                     F.lit(" ("), advisory, F.lit(")"))
@@ -224,41 +239,52 @@ def osv_index(records: DataFrame) -> DataFrame:
 
 
 def osv_ranges(records: DataFrame) -> DataFrame:
-    """Affected intervals per (ecosystem, package): keys ``low`` and ``high``, and whether ``high`` is affected.
+    """Affected intervals per (ecosystem, package, semantic): see ``osv_intervals``. Ranges over commits have no versions and are left out.
 
-    Events are read in order: an introducing one opens an interval, a fixing or last affected
-    one right after it closes it, and without such a one it stays open.
+    Versions of a range of type SEMVER are semantic versions, and so are all of some ecosystems; the others compare by the general rule.
     """
     flat = records.select(
         F.coalesce("id", F.lit("UNKNOWN")).alias("advisory_id"), "summary", "details", osv_severity(F.col("severity")).alias("adv_severity"),
         osv_fix_version(F.col("affected")).alias("fix_version"), F.explode("affected").alias("a"))
-    flat = flat.select("*", F.explode("a.ranges").alias("r")).select("*", F.posexplode("r.events").alias("at", "e"))
-    after = F.get(F.col("r.events"), F.col("at") + 1)
-    high = F.coalesce(after["fixed"], after["last_affected"])
-    return flat.where(F.col("e.introduced").isNotNull()).select(
-        F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("pkg"), "advisory_id", "summary", "details", "adv_severity",
-        "fix_version", version_key(F.col("e.introduced")).alias("low"), F.when(high.isNotNull(), version_key(high)).alias("high"),
-        after["fixed"].isNull().alias("high_affected")).distinct()
+    flat = flat.select("*", F.explode("a.ranges").alias("r")).where("coalesce(upper(r.type), '') <> 'GIT'")
+    semantic = F.coalesce(F.upper("r.type") == "SEMVER", F.lit(False)) | F.coalesce(F.col("a.package.ecosystem").isin(*SEMANTIC), F.lit(False))
+    flat = flat.withColumn("semantic", semantic)
+    return flat.select(
+        F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("pkg"), "semantic", *_RECORD,
+        F.inline(osv_intervals(F.col("r.events"), F.col("semantic")))).distinct()
+
+
+_RECORD = ["advisory_id", "summary", "details", "adv_severity", "fix_version"]
 
 
 def _in_ranges(wanted: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows like those of ``osv_index`` for pins that lie in an affected interval."""
-    key = version_key(F.col("ver"))
-    inside = (key >= F.col("low")) & (F.col("high").isNull() | (key < F.col("high")) | (F.col("high_affected") & (key == F.col("high"))))
-    return wanted.join(ranges, ["ecosystem", "pkg"]).where(inside).select(*wanted.columns, "advisory_id", "summary", "details", "adv_severity", "fix_version").distinct()
+    """Rows like those of ``osv_index`` for pins that lie in an affected interval.
+
+    A popular package with thousands of records is met in bins of its versions, not as one group.
+    """
+    group = ["ecosystem", "pkg", "semantic"]
+    keyed = wanted.withColumn("semantic", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "key", ordered_version(F.col("ver"), F.col("semantic")))
+    known = ranges.select("ecosystem", "pkg", "semantic").distinct()
+    keyed = keyed.join(known, group, "left_semi")
+    found = interval_join(keyed, ranges, group)
+    return keyed.join(found, [*group, "key"]).select(*wanted.columns, *_RECORD).distinct()
 
 
 def resolve(deps: DataFrame, osv: DataFrame, table: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """Advisories per distinct (ecosystem, package, version).
 
     Records win, by exact version or by an affected range; the bundled ranges count only
-    where there is none. Each key is looked up once, however often it is pinned.
+    where there is none. Each key is looked up once, however often it is pinned: the distinct keys are stored first, so
+    the manifests are read for them once.
     """
     key = ["ecosystem", "pkg", "ver"]
-    wanted = deps.select(*key).distinct()
+    wanted = stored(deps.select(*key).distinct(), "wanted")
+    exact = wanted.join(osv.select(*key, *_RECORD), key)
     if ranges is not None:
-        osv = osv.select(*key, "advisory_id", "summary", "details", "adv_severity", "fix_version").unionByName(_in_ranges(wanted, ranges)).distinct()
-    exact = wanted.join(osv, key)
+        exact = exact.unionByName(_in_ranges(wanted, ranges)).distinct()
+    exact = stored(exact, "resolved")
+    rest = wanted.join(exact.select(*key).distinct(), key, "left_anti").withColumn("pkg_key", F.lower("pkg"))
     summary = F.coalesce("summary", F.concat(F.lit("Vulnerability in "), F.col("pkg"), F.lit(" "), F.col("ver")))
     exact = exact.select(
         *key, "advisory_id", F.col("adv_severity").alias("severity"),
@@ -266,7 +292,6 @@ def resolve(deps: DataFrame, osv: DataFrame, table: DataFrame, ranges: DataFrame
         F.concat(F.lit("Upgrade "), F.col("pkg"), F.lit(" to >= "), F.col("fix_version"),
                  F.lit(". See: https://osv.dev/vulnerability/"), F.col("advisory_id")).alias("fix"),
         F.lit("OSVScanner").alias("scanner"), F.lit(0).alias("adv_ord"))
-    rest = wanted.join(osv.select(*key).distinct(), key, "left_anti").withColumn("pkg_key", F.lower("pkg"))
     ranged = match_advisories(rest, table).select(
         *key, "advisory_id", sev.normalise(F.col("adv_severity")).alias("severity"), "description", "fix",
         F.lit("DependencyScanner(bundled)").alias("scanner"), "adv_ord")
@@ -284,6 +309,8 @@ def with_ecosystem(deps: DataFrame) -> DataFrame:
 def osv_findings(deps: DataFrame, osv: DataFrame, table: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """Raw findings where records (see ``osv_index`` and ``osv_ranges``) take precedence over the bundled ranges.
 
+    Looking up the distinct keys runs at once (see ``resolve``); the findings themselves are lazy.
+
     A popular pin may own a large share of all rows, so the way back from the distinct keys
     is a salted join.
     """

@@ -26,7 +26,7 @@ ADVISORIES = (
 OSV_RECORD = (
     "id string, summary string, details string, severity array<struct<score string>>, "
     "affected array<struct<package struct<name string, ecosystem string>, versions array<string>, "
-    "ranges array<struct<events array<struct<introduced string, fixed string, last_affected string>>>>>>")
+    "ranges array<struct<type string, events array<struct<introduced string, fixed string, last_affected string, `limit` string>>>>>>")
 
 BASELINE_ENTRY = "file string, line int, title string, severity string, scanner string"
 

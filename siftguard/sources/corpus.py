@@ -1,7 +1,6 @@
 """Where files come from: a folder tree, a list of paths, or any table with a text column.
 
-Spark's own file readers silently leave out names that begin with an underscore or a dot,
-such as ``__init__.py`` and ``.env``, so trees are listed and read by tasks instead.
+Trees are listed by ``listing`` and read by tasks. For one tree that is read as it grows see ``stream_corpus``.
 """
 
 from __future__ import annotations
@@ -16,60 +15,15 @@ from pyspark.sql import functions as F
 from ..config import ScanConfig
 from ..functions.text import decode_utf8, ends_with_any, is_binary
 from ..session import work_dir
+from .file_tree import FileTreeSource
+from .listing import sized_tree, with_sizes
 
-#: The driver expands folders until it has this many to hand out; tasks walk the rest.
-FRONTIER = 512
 #: Bytes of file content handed from the reader to Spark at a time.
 BATCH_BYTES = 16_000_000
 #: Bytes of file content one task reads.
 BYTES_PER_TASK = 128_000_000
 
 
-def _enters(name: str, excluded: set[str]) -> bool:
-    return name not in excluded and not name.startswith(".")
-
-
-def _listing(spark: SparkSession, root: str, excluded: set[str]) -> DataFrame:
-    """(path, length) of all files below the root, outside excluded folders.
-
-    The driver opens folders breadth first until the frontier is wide enough; each task then
-    walks the folders it was given. Only names cross, no content.
-    """
-    frontier, shallow = [root], []
-    while frontier and len(frontier) < FRONTIER:
-        entered = []
-        for folder in frontier:
-            shallow.append(folder)
-            try:
-                with os.scandir(folder) as entries:
-                    entered += [e.path for e in entries
-                                if e.is_dir(follow_symlinks=False) and _enters(e.name, excluded)]
-            except OSError:
-                continue
-        frontier = entered
-    jobs = [(f, False) for f in shallow] + [(f, True) for f in frontier]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for folder, deep in zip(batch["folder"], batch["deep"]):
-                for here, dirs, names in os.walk(folder):
-                    dirs[:] = [d for d in dirs if _enters(d, excluded)] if deep else []
-                    yield _with_sizes([os.path.join(here, n) for n in names])
-
-    folders = spark.createDataFrame(jobs, "folder string, deep boolean").repartition(min(len(jobs), FRONTIER))
-    return folders.mapInPandas(walk, "path string, length bigint")
-
-
-def _with_sizes(paths: list[str]) -> pd.DataFrame:
-    sizes = []
-    for path in paths:
-        try:
-            sizes.append(os.path.getsize(path))
-        except OSError:
-            sizes.append(None)
-    return pd.DataFrame({"path": paths, "length": pd.array(sizes, dtype="Int64")})
-
-
 def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Open the files without a skip reason, handing on about ``BATCH_BYTES`` at a time."""
     def packed(rows):
@@ -94,13 +48,13 @@ def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield packed(rows)
 
 
-def decode_files(raw: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """(path, length, skip_reason, bytes) → files. Skipped files keep their row, without content."""
+def decode_files(raw: DataFrame, cfg: ScanConfig, keep: list[str] = ()) -> DataFrame:
+    """(path, length, skip_reason, bytes) → files. Skipped files keep their row, without content; ``keep`` names further columns."""
     binary = F.lit(False) if cfg.scan_binary else is_binary(F.col("bytes"))
     reason = F.coalesce("skip_reason", F.when(F.col("bytes").isNull(), "unreadable").when(binary, "binary"))
-    marked = raw.select("path", "length", "bytes", reason.alias("skip_reason"))
+    marked = raw.select("path", "length", "bytes", reason.alias("skip_reason"), *keep)
     content = F.when(F.col("skip_reason").isNull(), decode_utf8(F.col("bytes")))
-    return marked.select("path", "length", content.alias("content"), "skip_reason")
+    return marked.select("path", "length", content.alias("content"), "skip_reason", *keep)
 
 
 def read_corpus(spark: SparkSession, root: str, cfg: ScanConfig | None = None,
@@ -111,19 +65,15 @@ def read_corpus(spark: SparkSession, root: str, cfg: ScanConfig | None = None,
     without folder and suffix tests. An empty table means the whole tree.
     Files over the size limit are never opened.
 
-    The listing is stored first: the tree is walked once, and its total size sets the number
+    The listing is stored first (see ``listing``): the tree is walked once, and its total size sets the number
     of reading tasks. Paths are spread over them by hash, so one crowded folder does not end
     up in one task. The explicit number keeps the tiny list of names from being coalesced.
     """
     cfg = cfg or ScanConfig()
     if only is not None and not only.isEmpty():
-        def stat(batches):
-            for batch in batches:
-                yield _with_sizes([os.path.abspath(p) for p in batch["path"] if os.path.isfile(p)])
-        listing = only.select("path").distinct().mapInPandas(stat, "path string, length bigint")
+        listing = with_sizes(absolute(only.select("path").distinct()), must_exist=True)
     else:
-        listing = _listing(spark, root, set(cfg.exclude_dirs))
-        listing = listing.filter(ends_with_any(F.col("path"), cfg.include_extensions))
+        listing = sized_tree(spark, root, set(cfg.exclude_dirs), ends_with_any(F.col("path"), cfg.include_extensions))
     listed = work_dir(spark, "listing")
     listing.write.parquet(listed)
     listing = spark.read.parquet(listed)
@@ -138,6 +88,29 @@ def read_corpus(spark: SparkSession, root: str, cfg: ScanConfig | None = None,
     return decode_files(raw, cfg)
 
 
+def absolute(paths: DataFrame) -> DataFrame:
+    """Paths as the executors see them from the root."""
+    def resolve(batches):
+        for batch in batches:
+            yield batch.assign(path=[os.path.abspath(p) for p in batch["path"]])
+    return paths.mapInPandas(resolve, "path string")
+
+
+def stream_corpus(spark: SparkSession, root: str, cfg: ScanConfig | None = None, settle_ms: int | None = None) -> DataFrame:
+    """Files of a tree as they arrive, with the time of their arrival: a streaming table with the columns of a corpus.
+
+    The suffix test of the configuration is part of the query; a file over the size limit is a row without content.
+    """
+    cfg = cfg or ScanConfig()
+    spark.dataSource.register(FileTreeSource)
+    reader = spark.readStream.format(FileTreeSource.name()).option("exclude", ",".join(cfg.exclude_dirs))
+    if settle_ms is not None:
+        reader = reader.option("settle_ms", settle_ms)
+    raw = reader.load(root).where(ends_with_any(F.col("path"), cfg.include_extensions))
+    reason = F.when(F.col("length") > cfg.max_file_size, "oversize")
+    return decode_files(raw.withColumn("skip_reason", reason), cfg, ["arrived"])
+
+
 def corpus_from_table(df: DataFrame, path: Column, text: Column) -> DataFrame:
     """Any table with a text column as a corpus of virtual files. Null text counts as unreadable."""
     return df.select(path.alias("path"), F.octet_length(text).cast("bigint").alias("length"), text.alias("content"),
