@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftguard.llm import spans as S
 from siftguard.llm.common import ascii_lower, table
 
 #: Fixed phrases of the contract and their labels.
@@ -128,16 +129,33 @@ def _blanks(text: Column) -> Column:
 def _places(norm: Column, pattern: Column) -> Column:
     """First and end word of every match of a pattern between blanks."""
     bounded = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    matches = F.regexp_extract_all(norm, bounded, F.lit(0))
-    pairs = F.zip_with(matches, F.slice(F.split(norm, bounded), F.lit(1), F.size(matches)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    empty = F.array().cast("array<struct<first:int,end:int>>")
 
-    def step(done: Column, pair: Column) -> Column:
-        first = done.at + _blanks(pair.gap)
-        words = _blanks(pair.m)
-        return F.struct((first + words).alias("at"), F.concat(done.out, F.array(F.struct(first.alias("first"), (first + words + 1).alias("end")))).alias("out"))
+    def placed(x: Column) -> Column:
+        # A match ends where its words do; the blank after it begins the next gap.
+        ends = S.running(F.zip_with(x.gap, x.m, lambda gap, m: _blanks(gap) + _blanks(m)), "int", lambda a, b: a + b)
+        return F.zip_with(x.m, ends, lambda m, end: F.struct((end - 1 - _blanks(m)).alias("first"), end.alias("end")))
 
-    return F.aggregate(pairs, F.struct(F.lit(-1).alias("at"), empty.alias("out")), step, lambda x: x.out)
+    return S.once(S.matches(norm, bounded), placed)
+
+
+def _kept(matched: Column, levels: list[int]) -> Column:
+    """Matches inside no other of higher priority, nor of equal priority and greater length (equal length: earlier rule).
+
+    In the order of first words, longer ones first, whatever may hold a match comes before it. What is carried along is the farthest end per
+    priority or higher, so one pass decides.
+    """
+    place = F.array(*map(F.lit, levels))
+    ordered = F.array_sort(F.transform(matched, lambda m: F.struct(
+        m.first.alias("first"), (-m.end).alias("back"), m.order.alias("order"), m.rank.alias("rank"), m.alias("m"), F.array_position(place, m.order).cast("int").alias("level"))))
+
+    def chosen(x: Column) -> Column:
+        far = S.running(F.transform(x, lambda e: F.transform(place, lambda order: F.when(order >= e.order, e.m.end).otherwise(-1))), "array<int>",
+                        lambda a, b: F.zip_with(a, b, lambda u, v: F.greatest(u, v)))
+        before = F.concat(F.array(F.lit(None).cast("array<int>")), F.slice(far, F.lit(1), F.size(far) - 1))
+        own = lambda e, b: b.isNull() | (F.element_at(b, e.level) < e.m.end)
+        return F.array_sort(F.array_compact(F.zip_with(x, before, lambda e, b: F.when(own(e, b), e.m))))
+
+    return F.when(F.size(matched) > 1, S.once(ordered, chosen)).otherwise(matched)
 
 
 def license_report(docs: DataFrame) -> DataFrame:
@@ -161,8 +179,7 @@ def license_report(docs: DataFrame) -> DataFrame:
     matched = F.flatten(F.transform(gated, lambda r: F.transform(_places(F.col("norm"), r.pattern), lambda p: F.struct(
         (-r.priority).alias("order"), (p.first - p.end).alias("shorter"), r.rank.alias("rank"), p.first.alias("first"), p.end.alias("end"), r.label.alias("label"), r.score.alias("score")))))
     empty = F.array().cast("array<struct<order:int,shorter:int,rank:int,first:int,end:int,label:string,score:double>>")
-    kept = F.aggregate(F.array_sort(matched), empty, lambda done, m: F.when(
-        F.exists(done, lambda k: (k.first <= m.first) & (k.end >= m.end)), done).otherwise(F.concat(done, F.array(m))))
+    kept = S.once(matched, lambda x: _kept(x, sorted({-r[3] for r in rules})))
     rows = rows.withColumn("detections", F.when(F.col("norm").isNotNull(), kept))
 
     none = F.array().cast("array<string>")
