@@ -262,7 +262,7 @@ def with_personal_spans(docs: DataFrame, keep: list[str], sample: int = SAMPLE,
         return own & (chance > least)
 
     chosen = F.transform(F.filter("__more", pick), lambda p: F.struct(p.kind.alias("kind"), p.start.alias("start"), p.end.alias("end"), F.lit("").alias("found")))
-    chosen = F.filter(chosen, lambda c: ~F.exists("__base", lambda s: (s.start < c.end) & (s.end > c.start)))
+    chosen = S.clear_of(chosen, F.col("__base"))
     return rows.withColumn("__spans", S.by_kind(F.concat("__base", chosen), KINDS)).withColumn("__base", S.by_kind(F.col("__base"), KINDS)).drop("__more")
 
 
