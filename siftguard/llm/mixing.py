@@ -21,7 +21,8 @@ A token is a run of non-space characters. Everything is built of SQL functions.
 documents without tokens are selected with whatever their place selects and take none; a null
 domain, language or source is called ``(none)``; rows that share a doc_id share a place, and where
 the budget ends there each of them is cut alike; an empty table gives an empty result; a budget
-beyond all limits takes every epoch of everything; a node of weight 0 takes nothing.
+beyond all limits takes every epoch of everything; a node of weight 0 takes nothing, and its tokens count for no limit above it;
+input columns named epoch or take_tokens give way to those of the selection.
 """
 
 from __future__ import annotations
@@ -89,6 +90,11 @@ def _filled(nodes: DataFrame, path: list[str], weights: dict[str, float]) -> Dat
 def budgets(leaves: DataFrame, total: float, weights: dict[str, float]) -> DataFrame:
     """Add ``budget`` to the leaves, which hold the level columns and ``limit``."""
     given = None
+    # What lies below a node of weight 0 is nobody's to take, at any level.
+    open_path = F.lit(True)
+    for depth in range(1, len(LEVELS) + 1):
+        open_path = open_path & (_weight(LEVELS[:depth], weights) > 0)
+    leaves = leaves.withColumn("limit", F.when(open_path, F.col("limit")).otherwise(0))
     for depth in range(1, len(LEVELS) + 1):
         path = LEVELS[:depth]
         nodes = leaves.groupBy(*path).agg(F.sum("limit").alias("limit"))
