@@ -150,9 +150,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     alone = saved(kinds.groupBy("seed").agg(F.min("n").alias("fewest")).where("fewest = 1").select("seed"), "alone")
     sorted_out = saved(mixed.join(kinds, ["seed", "reach"]).select("doc_id", "text_key", "low", "span", "seed", "n", "first"), "mixed")
     compare = sorted_out.where((F.col("n") == 1) | F.col("doc_id").eqNullSafe(F.col("first"))).join(alone, "seed", "left_semi")
-    parts = compare.groupBy("doc_id", "text_key").agg(
-        F.collect_list("low").alias("lows"), F.collect_list("span").alias("spans"), F.collect_list("seed").alias("seeds"),
-        F.collect_list((F.col("n") == 1).cast("int")).alias("singles"))
+    # Sets, not lists: a text that many rows hold under one id has the ranges of one text.
+    reach = F.struct("low", "span", "seed", (F.col("n") == 1).cast("int").alias("single"))
+    parts = compare.groupBy("doc_id", "text_key").agg(F.collect_set(reach).alias("r")).select(
+        "doc_id", "text_key", *(F.col(f"r.{k}").alias(f"{k}s") for k in ("low", "span", "seed", "single")))
     texts = packed(docs, "doc_id", "text_key")
     wanted = texts.join(parts, _same(texts, parts)).select(texts["*"], "lows", "spans", "seeds", "singles")
     windows = saved(_windows(wanted, length), "windows")
@@ -170,7 +171,8 @@ def substring_report(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wi
     """Per document: words, words removed, hash of the kept words; with ``with_text`` also the
     kept words and the maximal repeats as word ranges."""
     found = repeats(docs, length, seed)
-    per_text = found.groupBy("doc_id", "text_key").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    per_text = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("r")).select(
+        "doc_id", "text_key", F.col("r.low").alias("lows"), F.col("r.high").alias("highs"))
     texts = packed(_keyed(docs), "doc_id", "text_key")
     joined = texts.join(per_text, _same(texts, per_text), "left").select(texts.doc_id, "ztext", "n_bytes", "lows", "highs")
     schema = REPORT + (", kept_text string, spans string" if with_text else "")
