@@ -178,11 +178,12 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     texts = fold(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     checked = marked.where(spare)
     chosen = first(marked.where((F.col("toxic") == 1) & ~spare), "p", positives)
-    chosen = chosen.union(first(texts.select("doc_id").where(~spare), "u", unlabelled))
+    chosen = chosen.union(first(texts.select("doc_id").distinct().where(~spare), "u", unlabelled))
     chosen = chosen.union(first(checked.where("toxic = 1"), "c1", calibration // 2)).union(first(checked.where("toxic = 0"), "c0", calibration))
-    # At most the sum of the bounds above.
+    # One text per id and role, that of the smallest hash, however many rows share the id: at most the sum of the bounds above.
+    taken = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "role").agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("t"))
     groups: dict[str, list] = {"p": [], "u": [], "c0": [], "c1": []}
-    for role, index, value in _vectors(texts.join(F.broadcast(chosen), "doc_id")):
+    for role, index, value in _vectors(taken.select("doc_id", "role", "t.text")):
         groups[role].append((index, value))
     if not groups["p"] or not groups["u"]:
         return None
