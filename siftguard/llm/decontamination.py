@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftguard.llm.common import pieces, ship, table
+from siftguard.llm.common import pieces, ship, table, unused
 from siftguard.llm.words import ALPHANUMERIC, Runs, signed, tokenize
 
 #: Words per window.
@@ -146,7 +146,10 @@ def _text_key(docs: DataFrame):
 
 
 def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Verified hits and items of the (doc_id, text_key) that have any, by a shuffle join on window hashes."""
+    """Hits with their windows' words and items, of the (doc_id, text_key) that have any, by a shuffle join on window hashes.
+
+    Of a document's windows only hashes travel; the words of the test windows they meet come along for :func:`_verified`.
+    """
     lengths = sorted(r.length for r in windows.select("length").distinct().limit(WINDOW + 1).collect())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(docs).alias("text_key"))
 
@@ -161,35 +164,49 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
                     rows = pa.array(row_of[part])
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(part - words.bounds[row_of[part]]),
-                         pa.array(np.full(len(part), length, np.int32)), pa.array(signed(found[part])),
-                         pa.array([_plain(data, words.starts[i:i + length], words.ends[i:i + length]) for i in part.tolist()], pa.binary())],
-                        ["doc_id", "text_key", "start", "length", "hash", "words"])
+                         pa.array(np.full(len(part), length, np.int32)), pa.array(signed(found[part]))],
+                        ["doc_id", "text_key", "start", "length", "hash"])
+
+    cuts = docs.mapInArrow(cut, "doc_id long, text_key long, start long, length int, hash long")
+    return cuts.join(windows, ["hash", "length"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length", "words", "item_id")).alias("hits"))
+
+
+def _verified(data: np.ndarray, words, low: int, hits: list[dict]) -> list[dict]:
+    """The hits whose words are indeed those of the test window; word numbers start at ``low``."""
+    def same(h):
+        at = slice(low + h["start"], low + h["start"] + h["length"])
+        return _plain(data, words.starts[at], words.ends[at]) == bytes(h["words"])
+    return [h for h in hits or [] if same(h)]
 
-    cuts = docs.mapInArrow(cut, "doc_id long, text_key long, start long, length int, hash long, words binary")
-    return (cuts.join(windows, ["hash", "length", "words"]).groupBy("doc_id", "text_key")
-            .agg(F.collect_set(F.struct("start", "length")).alias("hits"), F.collect_set("item_id").alias("items")))
+
+def _with_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Every document with its text key and hits; without any, null."""
+    hits, names = _hits(docs, windows), [unused(n, docs) for n in ("__doc", "__text", "__hits")]
+    hits = hits.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1]), F.col("hits").alias(names[2]))
+    same = docs["doc_id"].cast("long").eqNullSafe(hits[names[0]]) & (_text_key(docs) == hits[names[1]])
+    return docs.join(hits, same, "left").drop(*names[:2])
 
 
 def _joined(docs: DataFrame, windows: DataFrame, with_text: bool) -> DataFrame:
     """The same report for benchmarks of any size."""
-    hits = _hits(docs, windows)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(docs).alias("text_key"))
+    rows = _with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows)
     schema = REPORT + (", clean_text string" if with_text else "")
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches):
             words = tokenize(data, offsets, ALPHANUMERIC)
             rows = []
-            for r, (doc, text, hits, items) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "hits", "items")), strict=True)):
-                gone = _covered(int(words.counts[r]), [(h["start"], h["length"]) for h in hits or []])
+            for r, (doc, text, hits) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "__hits")), strict=True)):
+                hits = _verified(data, words, int(words.bounds[r]), hits)
+                items = {h["item_id"] for h in hits}
+                gone = _covered(int(words.counts[r]), [(h["start"], h["length"]) for h in hits])
                 clean = _without(data, words, int(words.bounds[r]), gone, int(offsets[r]), int(offsets[r + 1])) if hits else text
-                rows.append((doc, int(words.counts[r]), int(gone.sum()), len(items or []), _digest(set(items or [])), bool(gone.any()), clean))
+                rows.append((doc, int(words.counts[r]), int(gone.sum()), len(items), _digest(items), bool(gone.any()), clean))
             names = [x.split()[0] for x in schema.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kinds[k]) for k in range(len(names))], names)
 
-    same = docs.doc_id.eqNullSafe(hits.doc_id) & (docs.text_key == hits.text_key)
-    return docs.join(hits, same, "left").select(docs.doc_id, "text", "hits", "items").mapInArrow(report, schema)
+    return rows.mapInArrow(report, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS,
@@ -211,9 +228,15 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> Da
     most = settings.get("max_windows", MAX_WINDOWS)
     rows = windows.limit(most + 1).collect()
     if len(rows) > most:
-        bad = _hits(docs, windows).select(F.col("doc_id").alias("__bad"), F.col("text_key").alias("__bad_text"))
-        same = docs["doc_id"].cast("long").eqNullSafe(F.col("__bad")) & (_text_key(docs) == F.col("__bad_text"))
-        return docs.join(bad, same, "left_anti")
+        hits, names = unused("__hits", docs), docs.columns
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, data, offsets in pieces(batches):
+                words = tokenize(data, offsets, ALPHANUMERIC)
+                keep = [not _verified(data, words, int(words.bounds[r]), found) for r, found in enumerate(batch.column(hits).to_pylist())]
+                yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+        return _with_hits(docs, windows).mapInArrow(check, docs.schema)
     held = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in rows]))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
