@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import siftguard
-from siftguard.session import ship_packages
+from siftguard.session import ship_packages, work_dir
 
 #: Text bytes that one round of array work takes at a time (one longer document is a round of its own).
 SLICE_BYTES = 2 << 20
@@ -28,22 +26,14 @@ def ship(spark: SparkSession) -> None:
     ship_packages(spark, siftguard)
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="stages-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def saved(frame: DataFrame, name: str) -> DataFrame:
     """Write a stage table below ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage: a lost executor costs at most the tasks of the running stage. The
-    setting is read from the session; only where it is unset (tests) a local folder stands in.
+    setting is read from the session; where it is unset, a local folder stands in for it on a single machine only.
     """
     spark = frame.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = work_dir(spark, name)
     frame.write.parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out.stage_path = path
@@ -80,21 +70,25 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges that hold about ``most`` bytes each."""
-    start, rows = 0, len(offsets) - 1
-    while start < rows:
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges that hold about ``most`` bytes each, and no more than ``rows`` rows."""
+    start, end = 0, len(offsets) - 1
+    while start < end:
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
-        yield start, min(stop, rows)
+        stop = min(stop, end, start + rows if rows else end)
+        yield start, stop
         start = stop
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut Arrow batches into pieces of bounded text size: (rows, bytes, offsets)."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut Arrow batches into pieces of bounded text size, and of bounded row number: (rows, bytes, offsets)."""
     for batch in batches:
         data, offsets = text_arrays(batch.column(text))
-        for start, stop in slices(offsets):
+        for start, stop in slices(offsets, most, rows):
             yield batch.slice(start, stop - start), data[offsets[start]:offsets[stop]], offsets[start:stop + 1] - offsets[start]
+        # A batch may hold many megabytes; the pool would keep them until the next one.
+        del batch, data
+        pa.default_memory_pool().release_unused()
 
 
 def packed(docs: DataFrame, *keep: str) -> DataFrame:
@@ -120,6 +114,14 @@ def unpacked(ztext: list[bytes], n_bytes: list[int]) -> tuple[np.ndarray, np.nda
     return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(n_bytes, dtype=np.int64)]).astype(np.int64)
 
 
+def unused(name: str, frame: DataFrame) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id, parts: int, part: int):
     """Whether crc32(doc_id as text) mod ``parts`` is ``part``; an absent id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part

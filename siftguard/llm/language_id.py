@@ -5,9 +5,9 @@ square roots of their shares are its features, a vector of length one. A linear
 machine per family, one against the rest, predicts the family first. Within a family, one machine
 per pair of languages votes; most votes win, ties go to the larger sum of margins.
 
-The machines are fitted on the driver from a bounded sample of labelled documents: the first rows of each
-language in the order of a hash of the id, ``PER_LANGUAGE`` each and ``TOTAL`` features vectors together.
-Every text is predicted whole, in one narrow pass.
+The machines are fitted on the driver from a bounded sample of labelled documents: the first texts of each
+language in the order of a hash of the id, one per id, ``PER_LANGUAGE`` each and ``TOTAL`` together.
+Every text is predicted whole, in one narrow pass, ``ROWS`` documents at a time.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is everything if nothing was learned;
 a language missing in ``FAMILIES`` is a family of its own; null languages are not learned from; a null doc_id counts as empty text for the folds;
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftguard.llm.common import held_out, pieces, saved, ship, table
+from siftguard.llm.common import held_out, pieces, saved, ship, table, unused
 
 #: Labelled documents per language and in all, of which features reach the driver (16 KB each).
 PER_LANGUAGE, TOTAL = 400, 4000
-#: Score below which the pipeline rejects a document.
-LEAST_SCORE = 0.2
 FEATURES = 1 << 12
+#: Rows of dense features at a time (16 KB each).
+ROWS = 512
 
 #: Families of language codes.
 FAMILIES = {
@@ -58,8 +58,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     blank = (folded[:-2] == 32) & (folded[1:-1] == 32)
     row = np.repeat(np.arange(rows), np.diff(offsets))[:-2]
     inside = ~blank & (np.arange(len(code)) + 3 <= offsets[1:][row])
-    counts = np.bincount(row[inside] * FEATURES + code[inside].astype(np.int64), minlength=rows * FEATURES).reshape(rows, FEATURES)
-    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+    counts = np.bincount(row[inside] * FEATURES + code[inside], minlength=rows * FEATURES).reshape(rows, FEATURES)
+    share = counts.astype(np.float32)
+    share /= np.maximum(counts.sum(1, keepdims=True), 1)
+    return np.sqrt(share, out=share)
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -141,34 +143,35 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -
     each = max(20, min(per_language, total // langs))
     # A cut by hash leaves little more than the sample of each language to be ranked.
     rank = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3)), F.lit(1_000_000_000))
-    ids = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").join(sizes, "lang").withColumn("rank", rank)
-    ids = ids.where(F.col("rank") <= F.lit(1.5e9 * each) / F.col("n"))
+    ids = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").join(F.broadcast(sizes), "lang").withColumn("rank", rank)
+    ids = ids.where(F.col("rank") <= F.lit(1.5e9 * each) / F.col("n")).select("doc_id", "lang", "rank").distinct()
     order = Window.partitionBy("lang").orderBy("rank", "doc_id")
     ids = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
-    # Bounded by ``total``.
-    texts = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    # No more than ``total`` texts: one per id and language, that of the smallest hash, however many rows share the id.
+    texts = learn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("t")).select("lang", "t.text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in pieces(batches):
+        for batch, data, offsets in pieces(batches, rows=ROWS):
             keep = np.flatnonzero(has_letter(data, offsets))
             rows = features(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(keep)), pa.array([rows[r].tobytes() for r in keep], pa.binary())], ["lang", "x"])
 
-    sample = sorted((r.lang, bytes(r.x)) for r in texts.select("lang", "text").mapInArrow(count, "lang string, x binary").limit(2 * total).collect())
+    sample = sorted((r.lang, bytes(r.x)) for r in texts.select("lang", "text").mapInArrow(count, "lang string, x binary").collect())
     if not sample:
         return None
     return LanguageModel(np.stack([np.frombuffer(x, np.float32) for _, x in sample]), [lang for lang, _ in sample])
 
 
-def identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """The documents with ``lang_pred`` and ``lang_score``."""
+def identified(docs: DataFrame, model: LanguageModel | None, into: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The documents with the language told and its score, in two more columns."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double")
+    schema = StructType(list(docs.schema.fields)).add(into[0], "string").add(into[1], "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = held.value
-        for batch, data, offsets in pieces(batches):
+        for batch, data, offsets in pieces(batches, rows=ROWS):
             lang, score = ["und"] * len(batch), np.zeros(len(batch))
             known = np.flatnonzero(has_letter(data, offsets))
             if machine and len(known):
@@ -176,16 +179,15 @@ def identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 score[known] = scores
                 for r, name in zip(known.tolist(), names, strict=True):
                     lang[r] = name
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, *into])
 
     return docs.mapInArrow(predict, schema)
 
 
-def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language is told with some confidence, columns as they are."""
-    plain = docs.drop("lang_pred", "lang_score")
-    kept = identified(plain, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least_score)).drop("lang_pred", "lang_score")
-    return kept.select(*plain.columns)
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told, columns as they are. Only texts without letters are ``und``: a machine always has a best language, and its score says how near the next one was."""
+    told, score = unused("lang_pred", docs), unused("lang_score", docs)
+    return identified(docs, fit(docs), (told, score)).where(F.col(told) != "und").select(*docs.columns)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

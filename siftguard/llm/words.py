@@ -13,7 +13,8 @@ import numpy as np
 
 _ODD_BYTE, _ODD_WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64)
-_BLOCK = 1 << 20
+#: Bytes hashed at a time; the tables of powers are as long.
+_BLOCK = (1 << 18) - 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
