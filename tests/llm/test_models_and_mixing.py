@@ -138,4 +138,4 @@ def test_mixed_documents(spark):
 
 def test_oracles_name_queries():
     from siftguard.llm.queries import QUERIES
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 13
