@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark import Broadcast
@@ -23,6 +23,9 @@ BLANK = "▁"
 
 #: Byte-level vocabularies put a space with the letters after it, so no token crosses the place before such a space.
 _BEFORE_WORD = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z])")
+#: The same for whatever prints in ASCII and the Latin letters beyond it: a space between two such characters goes with the second.
+_BETWEEN = re.compile("(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
+BESIDE_CUT = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
 
 
 def public_vocabulary(name: str) -> str:
@@ -90,6 +93,11 @@ def word_cuts(text: str, most: int = CUT_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def word_units(text: str) -> list[str]:
+    """The text cut at every single space between two printing characters (ASCII or Latin letters), without those spaces."""
+    return _BETWEEN.split(text)
+
+
 def is_plain_byte_level(tokenizer) -> bool:
     """Whether a tokenizer splits text by the usual byte-level pattern and changes nothing before."""
     return (tokenizer.normalizer is None and type(tokenizer.pre_tokenizer).__name__ == "ByteLevel"
@@ -103,17 +111,18 @@ def byte_values() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(hidden)}}
 
 
-def entry_bytes(tokenizer) -> Callable[[int], bytes]:
-    """Bytes of an id of a byte-level vocabulary."""
-    value, table = byte_values(), {}
-    for entry, i in tokenizer.get_vocab(with_added_tokens=False).items():
-        table[i] = bytes(value[c] for c in entry)
-    return table.__getitem__
+def entry_bytes(tokenizer) -> list[bytes]:
+    """Bytes of every id of a byte-level vocabulary; none for added tokens, which ordinary text never gets."""
+    vocabulary, value = tokenizer.get_vocab(with_added_tokens=False), byte_values()
+    table = [b""] * (max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
+    for entry, i in vocabulary.items():
+        table[i] = bytes(value.get(c, 0) for c in entry)
+    return table
 
 
-def piece_bytes(model) -> Callable[[int], bytes]:
-    """Bytes of an id of a piece vocabulary."""
+def piece_bytes(model) -> list[bytes]:
+    """Bytes of every id of a piece vocabulary."""
     def read(i: int) -> bytes:
         piece = model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(BLANK, " ").encode()
-    return [read(i) for i in range(model.get_piece_size())].__getitem__
+    return [read(i) for i in range(model.get_piece_size())]
