@@ -8,6 +8,11 @@ table. The SQL twins below build the same rows for the comparison engine.
 
 from __future__ import annotations
 
+import os
+import uuid
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -245,6 +250,11 @@ def lines_sql(source: str = "orders", key: str = "o_orderkey") -> str:
 FILES_SQL = "SELECT path, string_agg(text, chr(10) ORDER BY line) AS content FROM lines GROUP BY path"
 
 
+def local_path(uri: str) -> str:
+    """A folder of the shared file system as programs see it."""
+    return uri.removeprefix("file://")
+
+
 def write_tree(rows: DataFrame, root: str) -> int:
     """Write (path, text) rows as files below ``root``, by tasks; returns how many."""
     def write(batches):

@@ -18,7 +18,7 @@ from siftguard.sources.rule_files import user_rules
 
 from . import manifests as man
 from .derived import FILES_SQL, lines_sql
-from .registry import FAMILIES, NOW, PAGE_RULES, SIZE_LIMIT, USER_RULES
+from .registry import CHUNK, FAMILIES, NOW, PAGE_RULES, SIZE_LIMIT, USER_RULES
 
 MARKER = r"(?i)(#|//)\s*(nosec|noqa|siftguard\s*:\s*ignore)(\s*:?\s*(.+))?$"
 SNIPPET = r"regexp_replace(text, '\s+$', '')"
@@ -135,11 +135,9 @@ DEDUP = """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
 RAW = {**CODE, "raw": hits(_rules(*FAMILIES, "iac")) + " UNION ALL " + semantic()}
 FOUND = {**RAW, "kept": f"SELECT * FROM raw WHERE NOT {SUPPRESSED}", "single": DEDUP.format(source="kept"),
          "found": f"SELECT * REPLACE ({_remedy()} AS fix) FROM single"}
-LINE_FOUND = {**CODE, "raw": hits(_rules(*FAMILIES, "iac")), "kept": f"SELECT * FROM raw WHERE NOT {SUPPRESSED}",
-              "found": DEDUP.format(source="kept")}
+_EVERY = {**RAW, "pins": man.PINS_SQL, "deps": man.EXPECTED_DEPS, "kept": f"SELECT * FROM raw WHERE NOT {SUPPRESSED}", "single": DEDUP.format(source="kept")}
 BASE = """SELECT DISTINCT lower(file) AS f, lower(title) AS t, line + (line * 7 + length(file)) % 9 - 4 AS l FROM found"""
 LISTED = """EXISTS (SELECT 1 FROM base WHERE f = lower(file) AND t = lower(title) AND line >= greatest(1, l - 3) AND line <= l + 3)"""
-DIFF = {**LINE_FOUND, "base": BASE, "marked": f"SELECT file, line, title, severity, {LISTED} AS known FROM found"}
 
 COUNTS = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"))
 MODULE = "regexp_extract(file, '/m([0-9]+)/', 1)"
@@ -165,6 +163,11 @@ ADVISED = {**PINS, "raw": f"""SELECT file, line, asev AS severity, {_weight('ase
     'DependencyScanner' AS scanner, code_snippet, i * 100 + adv_ord AS rule_ord, afix AS fix
     FROM deps JOIN {PARTS} ON apkg = pkg_key AND {_key('ver')} <= {_key('max_version')}"""}
 
+# Findings of every scanner over code and manifests.
+LINE_FOUND = {**_EVERY, "advised": DEDUP.format(source="(" + ADVISED["raw"] + ")"),
+              "found": "SELECT file, line, title, severity, scanner FROM single UNION ALL SELECT file, line, title, severity, scanner FROM advised"}
+DIFF = {**LINE_FOUND, "base": BASE, "marked": f"SELECT file, line, title, severity, {LISTED} AS known FROM found"}
+
 HISTORY = {"scans": man.HISTORY_SQL, "child": man.HISTORY_FINDINGS_SQL}
 SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("critical", "high", "medium", "low", "info", "total"))
 
@@ -197,7 +200,11 @@ def _listing() -> str:
         mine = [r for r in rules if rule_label(r) == label]
         gates = sorted({g for r in mine for g in ([r.kind] if r.kind else r.exts)})
         parts.append(f"({q(label)}, {len(mine)}, {q(','.join(gates))})")
-    return _with(**CODE, raw=hits(rules)) + f"""SELECT l.scanner, CAST(l.rules AS BIGINT) AS rules, l.gates,
+    parts += [f"('ASTScanner', {len(SEMANTIC_RULES)}, '.py')", f"('DependencyScanner', {len(ADVISORIES)}, {q(','.join(sorted(m.lower() for m in man.MANIFESTS)))})",
+              "('LongLineScanner', 1, '.js,.py')"]
+    everything = " UNION ALL ".join(f"SELECT file, scanner FROM ({x})" for x in (hits(rules), semantic(), ADVISED["raw"])) + """
+      UNION ALL SELECT path, 'LongLineScanner' FROM lines WHERE (suffix(path, '.py') OR suffix(path, '.js')) AND length(text) > 40"""
+    return _with(**CODE, **PINS, raw=everything) + f"""SELECT l.scanner, CAST(l.rules AS BIGINT) AS rules, l.gates,
       CAST(count(raw.file) AS BIGINT) AS hits FROM (VALUES {', '.join(parts)}) AS l(scanner, rules, gates)
       LEFT JOIN raw USING (scanner) GROUP BY ALL"""
 
@@ -282,17 +289,23 @@ ORACLES = {
     "diagnostics_by_file": _with(**FOUND, rows=f"""SELECT file, greatest(0, line - 1) AS l, {EDITOR} AS level, title, description,
         coalesce(nullif(cwe_id, ''), scanner) AS code FROM found""")
     + """SELECT file, string_agg(concat_ws('|', CAST(l AS VARCHAR), level, code, title), ';'
-        ORDER BY l, level, title || chr(10) || description, code) AS diagnostics, count(*) AS n FROM rows GROUP BY file""",
+        ORDER BY l, level, title || chr(10) || description, code) AS diagnostics, count(*) AS n, count(*) AS total FROM rows GROUP BY file""",
     "sarif_rules": _with(**FOUND) + f"""SELECT module, rule_id, title AS name, {LEVEL} AS level, {SCORE} AS score, cwe_id FROM (
         SELECT *, row_number() OVER (PARTITION BY module, rule_id ORDER BY sev_weight DESC, file, line, title) AS rn
         FROM (SELECT *, {MODULE} AS module, {SARIF_ID} AS rule_id FROM found)) WHERE rn = 1""",
     "sarif_results": _with(**FOUND) + f"""SELECT {SARIF_ID} AS rule_id, {LEVEL} AS level, {RELATIVE} AS uri, line AS start_line,
         nullif(code_snippet, '') AS snippet, severity, scanner FROM found""",
     "sarif_metrics": _with(**FOUND, counts=BY_MODULE) + "SELECT module, critical, high, medium, low, total FROM counts",
-    "sarif_documents": _with(**FOUND) + f"""SELECT {MODULE} AS scan_id, count(*) AS results, count(*) AS artifacts,
-        count(*) FILTER (WHERE severity IN ('CRITICAL', 'HIGH')) AS errors FROM found GROUP BY 1""",
-    "findings_documents": _with(**FOUND) + f"""SELECT {MODULE} AS scan_id, count(*) AS listed, count(*) AS total,
-        bool_or(severity = 'CRITICAL') AS critical_first FROM found GROUP BY 1""",
+    "sarif_documents": _with(**FOUND, placed=f"""SELECT *, (row_number() OVER (PARTITION BY scan_id ORDER BY sev_weight DESC, file, line, title) - 1) AS spot
+        FROM (SELECT *, {MODULE} AS scan_id, {SARIF_ID} AS rule_id FROM found)""",
+        named=f"SELECT scan_id, spot // {CHUNK} AS chunk, rule_id, min(spot) AS first_at FROM placed GROUP BY ALL",
+        ruled="SELECT scan_id, chunk, string_agg(rule_id, ';' ORDER BY first_at) AS rules FROM named GROUP BY ALL")
+    + f"""SELECT scan_id, spot // {CHUNK} AS chunk, count(*) AS results, count(*) FILTER (WHERE severity IN ('CRITICAL', 'HIGH')) AS errors, any_value(rules) AS rules,
+        arg_min(rule_id || '@' || file || ':' || line, spot) AS first FROM placed JOIN ruled ON ruled.scan_id = placed.scan_id AND ruled.chunk = spot // {CHUNK} GROUP BY ALL""".replace("SELECT scan_id,", "SELECT placed.scan_id,"),
+    "findings_documents": _with(**FOUND, placed=f"""SELECT *, (row_number() OVER (PARTITION BY scan_id ORDER BY sev_weight DESC, file, line, title) - 1) AS spot,
+        count(*) OVER (PARTITION BY scan_id) AS total FROM (SELECT *, {MODULE} AS scan_id FROM found)""")
+    + f"""SELECT scan_id, spot // {CHUNK} AS chunk, count(*) AS listed, any_value(total) AS total, arg_min(severity || '@' || file || ':' || line, spot) AS first,
+        arg_max(severity || '@' || file || ':' || line, spot) AS last FROM placed GROUP BY 1, 2""",
     "snippet_context": _with(**CODE, spots=f"SELECT DISTINCT file, line FROM ({hits(_rules('sql_injection'))})")
     + r"""SELECT s.file, s.line, regexp_replace(string_agg(l.text, chr(10) ORDER BY l.line), '\s+$', '') AS context_snippet
         FROM spots s JOIN lines l ON l.path = s.file AND l.line BETWEEN s.line - 2 AND s.line + 2 GROUP BY s.file, s.line""",
@@ -317,10 +330,18 @@ ORACLES = {
         event_type AS title, CAST(event_id AS VARCHAR) AS reason, ts AS created_at,
         row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS rn
         FROM events WHERE event_type <> 'view') WHERE rn = 1""",
-    "full_scan": _with(**FOUND, pins=man.PINS_SQL, deps=man.EXPECTED_DEPS,
-                       advised=DEDUP.format(source="(" + ADVISED["raw"] + ")"),
-                       everything="SELECT scanner, severity FROM found UNION ALL SELECT scanner, severity FROM advised")
-    + "SELECT scanner, severity, count(*) AS findings FROM everything GROUP BY ALL",
+    "full_scan": _with(**LINE_FOUND) + "SELECT scanner, severity, count(*) AS findings FROM found GROUP BY ALL",
+    "scan_with_baseline": _with(**LINE_FOUND, base=BASE + " WHERE line % 2 = 0",
+        marked=f"""SELECT *, title || '::' || file IN (SELECT title || '::' || file FROM found WHERE severity = 'MEDIUM') AS persisted, {LISTED} AS known FROM found""")
+    + f"""SELECT 'suppressed_inline' AS what, (SELECT count(*) FROM raw WHERE {SUPPRESSED}) AS n
+        UNION ALL SELECT 'suppressed_persisted', count(*) FILTER (WHERE persisted) FROM marked
+        UNION ALL SELECT 'suppressed_by_baseline', count(*) FILTER (WHERE NOT persisted AND known) FROM marked
+        UNION ALL SELECT 'reported', count(*) FILTER (WHERE NOT persisted AND NOT known) FROM marked
+        UNION ALL SELECT 'new ' || severity, count(*) FROM marked WHERE NOT persisted AND NOT known GROUP BY severity""",
+    "tree_files": f"""SELECT lang || '/' || (doc_id % 7) || '/_' || (doc_id % 11) || '/.' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.py' ELSE '.txt' END AS path,
+        CAST(octet_length(encode(text)) AS BIGINT) AS length, CASE WHEN octet_length(encode(text)) > {SIZE_LIMIT} THEN 'oversize' END AS skip_reason,
+        CASE WHEN octet_length(encode(text)) <= {SIZE_LIMIT} THEN sha256(text) END AS digest FROM documents WHERE doc_id % 3 < 2 AND doc_id % 50 <> 0""",
+    "stream_files": _with(kinds=DOC_LINES, raw=hits(_rules("secrets"))) + f"SELECT {OUT} FROM raw WHERE NOT {SUPPRESSED}",
     "flagship": _with(**FOUND) + "SELECT severity, title, count(*) AS findings, count(DISTINCT file) AS files FROM found GROUP BY ALL",
     "stream_scan": _with(kinds=DOC_LINES, raw=hits(_rules("secrets"))) + f"SELECT {OUT} FROM raw WHERE NOT {SUPPRESSED}",
     "stream_dedup": _with(lines=lines_sql("(SELECT DISTINCT l_orderkey FROM lineitem)", "l_orderkey"),

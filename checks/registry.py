@@ -14,22 +14,26 @@ from siftguard.operators import export, history, lines, postprocess, summary
 from siftguard.operators.plugins import Scanner, run_scanner
 from siftguard.operators.rulescan import match_rules, rule_table, scan_lines
 from siftguard.operators.semantic import semantic_findings
-from siftguard.plans.scan import finish, lines_of, raw_findings, scan
+from siftguard.operators.intervals import stored
+from siftguard.plans.scan import lines_of, raw_findings, scan
 from siftguard.rules import select_rules
 from siftguard.session import spread_small, work_dir
 from siftguard.sinks import HistoryStore, write_baseline
 from siftguard.sinks.store import first_new_suppressions
-from siftguard.sources.corpus import corpus_from_table, decode_files, limit_size
+from siftguard.functions.text import relative_path
+from siftguard.sources.corpus import corpus_from_table, decode_files, limit_size, read_corpus, stream_corpus
 from siftguard.sources.feeds import parse_osv, read_baseline
 from siftguard.sources.rule_files import user_rules
 from siftguard.streaming import operators as stream
 
 from . import manifests as man
-from .derived import code_files, load, numbered_lines
+from .derived import code_files, load, local_path, numbered_lines, write_tree
 
 OUT = ["file", "line", "severity", "title", "cwe_id", "scanner", "code_snippet"]
 NOW = "2024-01-31 00:00:00"
 SIZE_LIMIT = 20_000
+#: Findings per document of the queries, so that even a small corpus gives several.
+CHUNK = 50
 FAMILIES = ["sql_injection", "command_injection", "xss", "path_traversal", "deserialization", "weak_crypto",
             "sensitive_data"]
 USER_RULES = [
@@ -65,20 +69,27 @@ def pages(spark, sf) -> DataFrame:
     return corpus_from_table(df, F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")), F.col("html"))
 
 
+CODE_SCANNERS = [*FAMILIES, "secrets", "ast_scanner", "iac"]
+EVERY_SCANNER = [*CODE_SCANNERS, "dependencies"]
+
+
 def code_raw(spark, sf) -> DataFrame:
     """Raw findings of the line rules, secret rules included, and the syntax rules."""
-    names = [*FAMILIES, "secrets", "ast_scanner", "iac"]
-    return raw_findings(code_files(spark, sf), ScanConfig(enabled_scanners=names))[0]
+    return raw_findings(code_files(spark, sf), ScanConfig(enabled_scanners=CODE_SCANNERS))[0]
 
 
 def code_findings(spark, sf) -> DataFrame:
-    return finish(code_raw(spark, sf))
+    return scan(code_files(spark, sf), ScanConfig(enabled_scanners=CODE_SCANNERS)).findings
+
+
+def project_files(spark, sf) -> DataFrame:
+    """Code and manifests."""
+    return code_files(spark, sf).unionByName(man.manifest_files(spark, sf))
 
 
-def line_findings(spark, sf) -> DataFrame:
-    """De-duplicated findings of the line rules alone."""
-    names = [*FAMILIES, "secrets", "iac"]
-    return finish(raw_findings(code_files(spark, sf), ScanConfig(enabled_scanners=names))[0])
+def all_findings(spark, sf) -> DataFrame:
+    """De-duplicated findings of every scanner."""
+    return scan(project_files(spark, sf), ScanConfig(enabled_scanners=EVERY_SCANNER)).findings
 
 
 def shifted_baseline(findings: DataFrame) -> DataFrame:
@@ -136,6 +147,21 @@ def corpus_subset(spark, sf):
     return _scan(code_files(spark, sf).join(changed, "path", "left_semi"), "sql_injection")
 
 
+def tree_files(spark, sf):
+    """Documents written as files of a tree, listed and read back."""
+    root = local_path(work_dir(spark, "tree"))
+    write_tree(load(spark, sf, "documents").select(_tree_path().alias("path"), "text"), root)
+    config = ScanConfig(include_extensions=[".py", ".txt"], max_file_size=SIZE_LIMIT, scan_binary=True)
+    files = read_corpus(spark, root, config)
+    return files.select(relative_path(F.col("path"), F.lit(root)).alias("path"), "length", "skip_reason", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+
+
+def _tree_path():
+    doc, at = F.col("doc_id").cast("string"), F.col("doc_id")
+    suffix = F.element_at(F.array(*map(F.lit, [".py", ".txt", ".md"])), (at % 3 + 1).cast("int"))
+    return F.concat("lang", F.lit("/"), F.when(at % 50 == 0, ".hidden/").otherwise(""), (at % 7).cast("string"), F.lit("/_"), (at % 11).cast("string"), F.lit("/."), doc, suffix)
+
+
 # ------------------------------------------------------------------ post-processing
 
 def inline_suppress(spark, sf):
@@ -151,7 +177,7 @@ def inline_suppress_by_join(spark, sf):
 
 
 def persisted_suppress(spark, sf):
-    found = line_findings(spark, sf)
+    found = all_findings(spark, sf)
     listed = found.filter(F.col("severity") == "MEDIUM").select(postprocess.finding_hash().alias("finding_hash"))
     return postprocess.drop_persisted(found, listed).select("file", "line", "title", "severity")
 
@@ -166,19 +192,19 @@ def multiline_fixes(spark, sf):
 
 def _diff(operator):
     def query(spark, sf):
-        found = line_findings(spark, sf)
+        found = all_findings(spark, sf)
         return operator(found, shifted_baseline(found)).select("file", "line", "title", "severity")
     return query
 
 
 def baseline_expanded(spark, sf):
-    found = line_findings(spark, sf)
+    found = all_findings(spark, sf)
     return base.classify(found, shifted_baseline(found)).select("file", "line", "title", "known")
 
 
 def baseline_saved(spark, sf):
     """Save a baseline, read it back, and diff a second scan against it: nothing is new."""
-    found = line_findings(spark, sf)
+    found = all_findings(spark, sf)
     path = work_dir(spark, "baseline")
     write_baseline(found, path)
     known = base.known_findings(found, read_baseline(spark, path))
@@ -195,7 +221,7 @@ def verdict(spark, sf):
 
 
 def ci_gate(spark, sf):
-    found = line_findings(spark, sf)
+    found = all_findings(spark, sf)
     fresh = _by_module(base.new_findings(found, shifted_baseline(found)))
     modules = _by_module(code_files(spark, sf).select(F.col("path").alias("file")))
     counts = summary.severity_counts(fresh, ["module"], modules)
@@ -207,10 +233,11 @@ def suppressed_counts(spark, sf):
 
 
 def scanner_listing(spark, sf):
-    rules = select_rules(ScanConfig())
-    listing = summary.scanner_listing(rule_table(spark, rules))
-    hits = match_rules(lines_of(code_files(spark, sf)), rules).groupBy("rule_ord").agg(F.count(F.lit(1)).alias("n"))
-    found = hits.join(rule_table(spark, rules), "rule_ord").groupBy(F.col("label").alias("scanner")).agg(F.sum("n").alias("hits"))
+    """Every scanner with its rules and gates, and how often it hits in the project."""
+    scanners = [Scanner("LongLineScanner", (".py", ".js"), _long_lines)]
+    listing = summary.scanner_listing(rule_table(spark, select_rules(ScanConfig())), scanners)
+    raw = raw_findings(project_files(spark, sf), ScanConfig(), scanners=scanners)[0]
+    found = raw.groupBy("scanner").agg(F.count(F.lit(1)).alias("hits"))
     return listing.join(found, "scanner", "left").select("scanner", "rules", "gates", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
@@ -239,7 +266,7 @@ def diagnostics_by_file(spark, sf):
     rows = export.diagnostics_by_file(code_findings(spark, sf))
     text = F.transform("diagnostics", lambda d: F.concat_ws("|", d["line0"].cast("string"), d["level"], d["code"],
                                                            F.substring_index(d["message"], "\n", 1)))
-    return rows.select("file", F.array_join(text, ";").alias("diagnostics"), "n")
+    return rows.select("file", F.array_join(text, ";").alias("diagnostics"), "n", "total")
 
 
 def sarif_rules(spark, sf):
@@ -265,24 +292,26 @@ def _documents(spark, sf):
 
 
 def sarif_documents(spark, sf):
+    """Per log: its number, its results, the rules it lists in order, and its first result."""
     found, counts = _documents(spark, sf)
-    read = "version string, runs array<struct<results array<struct<level string>>, artifacts array<string>>>"
-    doc = F.from_json("document", read)
-    rows = export.sarif_documents(found, counts).select("scan_id", doc["runs"][0]["results"].alias("r"),
-                                                       doc["runs"][0]["artifacts"].alias("a"))
-    return rows.groupBy("scan_id").agg(
-        F.sum(F.size("r")).alias("results"), F.sum(F.size("a")).alias("artifacts"),
-        F.sum(F.size(F.filter("r", lambda x: x["level"] == "error"))).alias("errors"))
+    place = "physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine int>>"
+    read = f"""runs array<struct<tool struct<driver struct<rules array<struct<id string>>>>, results array<struct<ruleId string, level string, locations array<struct<{place}>>>>>>"""
+    rows = export.sarif_documents(found, counts, chunk=CHUNK).select("scan_id", "chunk", F.from_json("document", read)["runs"][0].alias("r"))
+    first = F.col("r.results")[0]
+    at = first["locations"][0]["physicalLocation"]
+    return rows.select(
+        "scan_id", "chunk", F.size("r.results").cast("bigint").alias("results"),
+        F.size(F.filter("r.results", lambda x: x["level"] == "error")).cast("bigint").alias("errors"), F.array_join("r.tool.driver.rules.id", ";").alias("rules"),
+        F.concat(first["ruleId"], F.lit("@"), at["artifactLocation"]["uri"], F.lit(":"), at["region"]["startLine"].cast("string")).alias("first"))
 
 
 def findings_documents(spark, sf):
     found, counts = _documents(spark, sf)
-    read = "summary struct<total bigint>, findings array<struct<severity string>>"
-    doc = F.from_json("document", read)
-    rows = export.findings_documents(found, counts).select("scan_id", doc["findings"].alias("f"), doc["summary"]["total"].alias("t"))
-    return rows.groupBy("scan_id").agg(
-        F.sum(F.size("f")).alias("listed"), F.max("t").alias("total"),
-        F.max(F.col("f")[0]["severity"] == "CRITICAL").alias("critical_first"))
+    read = "summary struct<total bigint>, findings array<struct<severity string, file string, line int>>"
+    rows = export.findings_documents(found, counts, chunk=CHUNK).select("scan_id", "chunk", F.from_json("document", read).alias("d"))
+    shown = lambda f: F.concat(f["severity"], F.lit("@"), f["file"], F.lit(":"), f["line"].cast("string"))
+    return rows.select("scan_id", "chunk", F.size("d.findings").cast("bigint").alias("listed"), F.col("d.summary.total").alias("total"),
+                       shown(F.col("d.findings")[0]).alias("first"), shown(F.element_at("d.findings", -1)).alias("last"))
 
 
 # ------------------------------------------------------------------ dependencies
@@ -350,7 +379,7 @@ def scan_by_id(spark, sf):
 def history_store(spark, sf):
     """Append one scan per run to a store, delete one of two, and read the rest back."""
     store = HistoryStore(spark, work_dir(spark, "history"))
-    found = line_findings(spark, sf)
+    found = all_findings(spark, sf)
     store.append(found, "code", NOW, 1, 0, 1.2346, scan_id="first")
     store.append(found.filter(F.col("severity") == "CRITICAL"), "code", NOW, 1, 0, 1.0, scan_id="second")
     store.delete_scan("second")
@@ -374,9 +403,19 @@ def suppression_insert(spark, sf):
 
 def full_scan(spark, sf):
     """Code and manifests through every scanner; counts per scanner and severity."""
-    files = code_files(spark, sf).unionByName(man.manifest_files(spark, sf))
-    config = ScanConfig(enabled_scanners=[*FAMILIES, "secrets", "dependencies", "ast_scanner", "iac"])
-    return scan(files, config).findings.groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("findings"))
+    return all_findings(spark, sf).groupBy("scanner", "severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def scan_with_baseline(spark, sf):
+    """A scan against the baseline document and the suppressions of an earlier one: what each of them takes out, and what is new per severity."""
+    found = stored(all_findings(spark, sf), "earlier")
+    path = f"{work_dir(spark, 'baseline')}.json"
+    write_baseline(shifted_baseline(found.filter(F.col("line") % 2 == 0)), path)
+    listed = found.filter(F.col("severity") == "MEDIUM").select(postprocess.finding_hash().alias("finding_hash"))
+    plan = scan(project_files(spark, sf), ScanConfig(enabled_scanners=EVERY_SCANNER), baseline=read_baseline(spark, path), suppressions=listed, store=True)
+    names = ["suppressed_inline", "suppressed_persisted", "suppressed_by_baseline", "reported"]
+    shown = plan.counts().select(F.inline(F.array(*(F.struct(F.lit(n).alias("what"), F.col(n).cast("bigint").alias("n")) for n in names))))
+    return shown.union(plan.findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("new "), "severity"), "n"))
 
 
 def flagship(spark, sf):
@@ -434,6 +473,21 @@ def stream_scan(spark, sf):
     return _run(found, "stream-scan").select(*OUT)
 
 
+def stream_files(spark, sf):
+    """Documents that arrive as files in two waves; each wave is scanned when it is there, with one stored offset."""
+    inbox, out = local_path(work_dir(spark, "inbox")), work_dir(spark, "stream-files")
+    docs = load(spark, sf, "documents").select("doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    config = ScanConfig(enabled_scanners=["secrets"], include_extensions=[], scan_binary=True)
+    for wave in (0, 1):
+        write_tree(docs.where(F.col("doc_id") % 2 == wave).select("path", "text"), inbox)
+        found = stream.stream_scan(stream_corpus(spark, inbox, config, settle_ms=0), config)
+        query = (found.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+                 .option("checkpointLocation", out + "-state").start(out))
+        query.awaitTermination()
+    found = spark.read.schema(found.schema).parquet(out)
+    return found.withColumn("file", relative_path(F.col("file"), F.lit(inbox))).select(*OUT)
+
+
 def _stream_lines(spark, sf, table, key, time):
     keys = _stream(spark, sf, table).select(key, F.col(time).cast("timestamp").alias(time))
     rows = numbered_lines(keys, key, [time])
@@ -553,6 +607,9 @@ QUERIES = {
     "cwe_links": cwe_links,
     "scanner_listing": scanner_listing,
     "full_scan": full_scan,
+    "scan_with_baseline": scan_with_baseline,
+    "tree_files": tree_files,
+    "stream_files": stream_files,
     "flagship": flagship,
     "stream_scan": stream_scan,
     "stream_dedup": stream_dedup,

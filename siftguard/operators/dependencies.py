@@ -17,9 +17,9 @@ from ..functions import severity as sev
 from ..functions.osv import osv_fix_version, osv_intervals, osv_severity
 from ..functions.text import SPACES, basename, sql_text, unicode_pattern
 from ..functions.versions import SEMANTIC, ordered_version, version_key
-from ..rules import scanner_base
+from ..rules import SEVERITY_WEIGHTS, scanner_base
 from ..rules.advisories import ADVISORIES as BUNDLED
-from ..schemas import ADVISORIES, RAW_COLUMNS
+from ..schemas import ADVISORIES, NOTES, RAW_COLUMNS
 from ..session import dimension
 from .intervals import interval_join, stored
 from .joins import salted_join
@@ -147,40 +147,48 @@ def _by_manifest(branches: dict[str, str]) -> str:
     return "CASE manifest " + " ".join(f"WHEN '{m}' THEN {e}" for m, e in branches.items()) + " END"
 
 
-def extract_dependencies(files: DataFrame, manifest: str | None = None) -> DataFrame:
+def extract_dependencies(files: DataFrame, manifest: str | None = None, keep: list[str] = ()) -> DataFrame:
     """Pins of all manifest formats, or of one, in one narrow pass over the corpus.
 
     The format of a row picks the branch that is evaluated. A JSON manifest that is malformed
     or no object gives no rows.
     """
     chosen = files.filter(is_manifest(F.col("path")) & F.col("content").isNotNull())
-    rows = chosen.select("path", "content", F.lower(basename(F.col("path"))).alias("manifest"))
+    rows = chosen.select("path", "content", *keep, F.lower(basename(F.col("path"))).alias("manifest"))
     if manifest:
         rows = rows.filter(F.col("manifest") == manifest)
     lines = rows.select("*", split_lines(F.col("content")).alias("_parts"))
-    lines = lines.select("path", "content", "manifest", drop_last_empty(F.col("_parts")).alias("_lines"))
+    lines = lines.select("path", "content", "manifest", *keep, drop_last_empty(F.col("_parts")).alias("_lines"))
     parsed = [f"CASE WHEN manifest = '{m}' AND content RLIKE '^[ \\\\t\\\\r\\\\n]*[{{]' THEN {parse} END AS {name}"
               for m, (name, parse) in _DOCUMENTS.items()]
     read = lines.selectExpr("*", f"{_by_manifest(_EVENTS)} AS _events", *parsed)
     usable = " AND ".join(f"{name}._malformed IS NULL" for name, _ in _DOCUMENTS.values())
     pins = f"IF({usable}, {_by_manifest(_PINS)}, NULL)"
-    out = read.selectExpr("path AS file", "manifest", f"inline({pins})")
-    return out.withColumn("pkg_key", F.lower("pkg")).select(*COLUMNS)
+    out = read.selectExpr("path AS file", "manifest", *keep, f"inline({pins})")
+    return out.withColumn("pkg_key", F.lower("pkg")).select(*COLUMNS, *keep)
 
 
 # ------------------------------------------------------------------ advisories
 
+def _bundled() -> list[dict]:
+    return [{"pkg_key": pkg, "max_version": top, "advisory_id": cve, "severity": severity,
+             "description": f"{problem} Affected up to {top}.", "fix": f"Move to {pkg} {fixed} or later.", "adv_ord": i}
+            for i, (pkg, top, cve, severity, problem, fixed) in enumerate(BUNDLED)]
+
+
 def advisories(spark: SparkSession) -> DataFrame:
     """The bundled advisory table with its comparable version bound."""
-    rows = [
-        {"pkg_key": pkg, "max_version": top, "advisory_id": cve, "severity": severity,
-         "description": f"{problem} Affected up to {top}.", "fix": f"Move to {pkg} {fixed} or later.", "adv_ord": i}
-        for i, (pkg, top, cve, severity, problem, fixed) in enumerate(BUNDLED)
-    ]
-    table = dimension(spark, rows, StructType.fromDDL(ADVISORIES))
+    table = dimension(spark, _bundled(), StructType.fromDDL(ADVISORIES))
     return table.withColumn("max_key", version_key(F.col("max_version")))
 
 
+def bundled_prose(rule_ord: int) -> list[dict]:
+    """What the findings of the bundled table say, by the place of the advisory."""
+    label = {r["adv_ord"]: r["severity"].upper() if r["severity"].upper() in SEVERITY_WEIGHTS else "MEDIUM" for r in _bundled()}
+    return [{"rule_ord": rule_ord, "note": r["adv_ord"], "severity": label[r["adv_ord"]], "sev_weight": SEVERITY_WEIGHTS[label[r["adv_ord"]]],
+             "description": r["description"], "cwe_id": DEPENDENCY_CWE, "fix": r["fix"], "scanner": "DependencyScanner"} for r in _bundled()]
+
+
 def match_advisories(deps: DataFrame, table: DataFrame) -> DataFrame:
     """Pins joined to every advisory whose bound they do not exceed.
 
@@ -212,7 +220,7 @@ def _vulnerable_title(advisory: Column) -> Column:
                     F.lit(" ("), advisory, F.lit(")"))
 
 
-def dependency_findings(deps: DataFrame, table: DataFrame) -> DataFrame:
+def dependency_findings(deps: DataFrame, table: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Raw findings of the bundled table."""
     hits = match_advisories(deps, table)
     severity = sev.normalise(F.col("adv_severity"))
@@ -221,8 +229,8 @@ def dependency_findings(deps: DataFrame, table: DataFrame) -> DataFrame:
         _vulnerable_title(F.col("advisory_id")).alias("title"), "description", "code_snippet",
         F.lit(DEPENDENCY_CWE).alias("cwe_id"), "fix", F.lit("DependencyScanner").alias("scanner"),
         F.lit(scanner_base("dependencies")).cast("bigint").alias("rule_ord"),
-        (F.col("dep_seq") * 1000 + F.col("adv_ord")).cast("bigint").alias("emit_seq"), "source_line",
-    ).select(*RAW_COLUMNS)
+        (F.col("dep_seq") * NOTES + F.col("adv_ord")).cast("bigint").alias("emit_seq"), "source_line", *keep,
+    ).select(*RAW_COLUMNS, *keep)
 
 
 def osv_index(records: DataFrame) -> DataFrame:
@@ -306,7 +314,7 @@ def with_ecosystem(deps: DataFrame) -> DataFrame:
     return deps.withColumn("ecosystem", choice)
 
 
-def osv_findings(deps: DataFrame, osv: DataFrame, table: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+def osv_findings(deps: DataFrame, osv: DataFrame, table: DataFrame, ranges: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
     """Raw findings where records (see ``osv_index`` and ``osv_ranges``) take precedence over the bundled ranges.
 
     Looking up the distinct keys runs at once (see ``resolve``); the findings themselves are lazy.
@@ -322,5 +330,5 @@ def osv_findings(deps: DataFrame, osv: DataFrame, table: DataFrame, ranges: Data
         _vulnerable_title(F.col("advisory_id")).alias("title"), "description", "code_snippet",
         F.lit(DEPENDENCY_CWE).alias("cwe_id"), "fix", "scanner",
         F.lit(scanner_base("dependencies")).cast("bigint").alias("rule_ord"),
-        (F.col("dep_seq") * 1000 + F.col("adv_ord")).cast("bigint").alias("emit_seq"), "source_line",
-    ).select(*RAW_COLUMNS)
+        (F.col("dep_seq") * NOTES + F.col("adv_ord")).cast("bigint").alias("emit_seq"), "source_line", *keep,
+    ).select(*RAW_COLUMNS, *keep)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
 from ..functions.text import relative_path
+from .intervals import stored
 from .joins import salted_join
 
-#: Upper bound of findings in one document or one diagnostics row.
-CHUNK_BITS = 12
-LINE_BLOCK = 4096
+#: Findings in one document, and diagnostics in one row of a file, at most.
+CHUNK = 4096
+FILE_BLOCK = 10_000
 
 # Fixed value: the schema a SARIF 2.1.0 log names.
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
@@ -75,26 +78,40 @@ def _sarif_rule_struct() -> Column:
         F.when(F.col("help").isNotNull(), shown).alias("help"))
 
 
-def chunked(findings: DataFrame, keys: list[str], order: list, bits: int = CHUNK_BITS) -> DataFrame:
-    """Number the rows in a global order and cut them into chunks of ``2 ** bits`` at most.
+def numbered(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Add ``_number``, a row's place within its keys in the given order, from 0, and ``_total``, the rows of its keys.
 
-    A range partitioning on the full order splits even a single hot key, and the position
-    inside a sorted partition needs no window over the whole table.
+    A range partitioning on keys and order splits even a single hot key; the sorted parts are stored. What lies of a key in each part is
+    counted in a small table, whose running sums say where a part's rows go on counting. So numbers depend on the rows
+    alone, not on how they were dealt.
     """
-    placed = findings.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*keys, *order)
-    return placed.withColumn("_chunk", F.shiftright(F.monotonically_increasing_id(), bits))
+    by = [*[F.col(k) for k in keys], *order]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = stored(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    parts = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias("_total"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_part") == F.col("_p"))
+    return placed.join(parts, same).withColumn("_number", F.col("_at") + F.col("_shift")).select(*rows.columns, "_number", "_total")
+
+
+def chunked(findings: DataFrame, keys: list[str], order: list, chunk: int = CHUNK) -> DataFrame:
+    """Add ``_chunk``: rows of a key in order, ``chunk`` of them at a time."""
+    return numbered(findings, keys, order).withColumn("_chunk", F.floor(F.col("_number") / chunk)).drop("_number", "_total")
 
 
 def _order() -> list[Column]:
-    return [F.desc("sev_weight"), F.col("file"), F.col("line"), F.col("title")]
+    """Severity descending, file, line, title; what else differs settles ties."""
+    return [F.desc("sev_weight"), *map(F.col, ("file", "line", "title", "scanner", "severity", "description", "code_snippet", "cwe_id", "fix"))]
 
 
 def sarif_documents(findings: DataFrame, summary: DataFrame, tool: str = "siftguard", version: str = "1.0.0",
-                    uri: str = "", bits: int = CHUNK_BITS) -> DataFrame:
+                    uri: str = "", chunk: int = CHUNK) -> DataFrame:
     """SARIF logs per scan as text: (scan_id, chunk, document).
 
     ``findings`` and ``summary`` carry ``scan_id``; ``summary`` also ``target_path`` and the
-    counters. A scan with more findings than a chunk holds gives several logs, each valid by
+    counters. A scan with more findings than ``chunk`` gives several logs, each valid by
     itself with its own rules, in severity order; every log states the counts of the whole scan.
     A scan without findings has one log without results.
     """
@@ -102,7 +119,7 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, tool: str = "siftgu
     scans = summary.select("scan_id", "target_path", "scanned_at", metrics.alias("metrics"))
     # One scan may own a large share of the findings, so its header is joined with salt.
     known = salted_join(findings, scans, ["scan_id"], "inner", F.struct("file", "line"))
-    shaped = chunked(known, ["scan_id"], _order(), bits).select(
+    shaped = chunked(known, ["scan_id"], _order(), chunk).select(
         "scan_id", "_chunk", "target_path", "scanned_at", "metrics", (-F.col("sev_weight")).alias("w"), "file", "line", "title",
         "severity", "scanner", "description", "cwe_id", F.col("title").alias("name"), F.col("description").alias("message"),
         sarif_rule_id(F.col("title")).alias("rule_id"), sev.sarif_level(F.col("severity")).alias("level"),
@@ -135,12 +152,12 @@ def sarif_documents(findings: DataFrame, summary: DataFrame, tool: str = "siftgu
     return listed.select("scan_id", F.col("_chunk").alias("chunk"), F.to_json(log).alias("document"))
 
 
-def findings_documents(findings: DataFrame, summary: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
+def findings_documents(findings: DataFrame, summary: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """JSON envelopes per scan: (scan_id, chunk, document), findings most severe first.
 
     Built like :func:`sarif_documents`. A scan without findings has one document.
     """
-    flat = chunked(findings, ["scan_id"], _order(), bits)
+    flat = chunked(findings, ["scan_id"], _order(), chunk)
     shown = F.struct("file", "line", "severity", "title", "description", "code_snippet", "cwe_id", "fix", "scanner")
     entry = F.struct((-F.col("sev_weight")).alias("w"), "file", "line", "title", shown.alias("f"))
     listed = flat.groupBy("scan_id", "_chunk").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
@@ -165,13 +182,21 @@ def diagnostics(findings: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("cwe_id", F.lit("")), F.col("scanner")).alias("code"))
 
 
-def diagnostics_by_file(findings: DataFrame, block: int = LINE_BLOCK) -> DataFrame:
-    """Diagnostics of a file as one array, in line order.
+def diagnostics_by_file(findings: DataFrame, block: int = FILE_BLOCK) -> DataFrame:
+    """Diagnostics of a file as one array, in line order, with the file's ``total``.
 
-    Arrays are cut at fixed line blocks: nearly every file is one row, and a file with an
-    extreme number of findings becomes several rows instead of one unbounded group.
+    A file with more than ``block`` of them is several rows of that many, numbered by ``block``, so no group is unbounded; every row states the whole
+    file's total.
     """
-    rows = diagnostics(findings).withColumn("line_block", F.floor(F.col("line0") / block))
+    rows = stored(diagnostics(findings), "diagnostics")
+    sizes = stored(rows.groupBy("file").agg(F.count(F.lit(1)).alias("total")), "sizes")
+    crowded = sizes.filter(F.col("total") > block).select("file")
     entry = F.struct("line0", "level", "message", "code")
-    return rows.groupBy("file", "line_block").agg(
-        F.sort_array(F.collect_list(entry)).alias("diagnostics"), F.count(F.lit(1)).alias("n"))
+    each = [F.sort_array(F.collect_list(entry)).alias("diagnostics"), F.count(F.lit(1)).alias("n")]
+    out = rows.join(sizes.filter(F.col("total") <= block), "file").groupBy("file").agg(*each, F.max("total").alias("total"))
+    out = out.select("file", F.lit(0).cast("bigint").alias("block"), "diagnostics", "n", "total")
+    if crowded.isEmpty():
+        return out
+    many = numbered(rows.join(crowded, "file", "left_semi"), ["file"], [F.col(c) for c in ("line0", "level", "message", "code")])
+    many = many.groupBy("file", F.floor(F.col("_number") / block).alias("block")).agg(*each, F.max("_total").alias("total"))
+    return out.unionByName(many.select(out.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from ..functions import severity as sev
 from ..functions.text import matches, sql_text, strip, unicode_pattern
 from ..rules import min_weight
 from ..rules.remediation import REMEDIES
-from ..schemas import FINDING_COLUMNS, RAW_COLUMNS
+from ..schemas import FINDING_COLUMNS, NOTES
 from .joins import salted_join
 
 
@@ -76,19 +77,56 @@ def drop_persisted(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     return salted_join(hashed, listed, ["finding_hash"], "left_anti", F.col("line")).select(findings.columns)
 
 
+def mark_persisted(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
+    """Add ``persisted``: whether the suppression table lists the finding."""
+    listed = suppressions.select("finding_hash").distinct().withColumn("_listed", F.lit(True))
+    hashed = findings.withColumn("finding_hash", finding_hash())
+    marked = salted_join(hashed, listed, ["finding_hash"], "left", F.col("line"))
+    return marked.select(*findings.columns, F.coalesce("_listed", F.lit(False)).alias("persisted"))
+
+
 # ------------------------------------------------------------------ de-duplication
 
-def deduplicate(raw: DataFrame, keys: list[str] = ()) -> DataFrame:
+#: What a finding says besides where it is and what the line holds.
+PROSE = ["severity", "sev_weight", "description", "cwe_id", "fix", "scanner"]
+
+
+@dataclass
+class Prose:
+    """The prose of rules, by ``rule_ord`` and ``note``.
+
+    ``known`` are the rule ordinals in the table, ``noted`` those whose findings have several notes; unless it is
+    ``complete``, other findings may occur, which carry their own.
+    """
+
+    table: DataFrame
+    known: list[int]
+    noted: list[int]
+    complete: bool
+
+
+def deduplicate(raw: DataFrame, keys: list[str] = (), prose: Prose | None = None) -> DataFrame:
     """One finding per (file, line, title): that of the earliest scanner and rule.
 
     A minimum over a struct is combined on the map side, so copies of one finding shrink
     before the shuffle, however many there are. ``keys`` adds columns such as a scan id.
+
+    With ``prose`` only the order and the snippet of a finding are shuffled; what its rule says is joined afterwards from a small
+    table. Findings of rules that are not in the table carry their prose along.
     """
     group = [*keys, "file", "line", "title"]
-    rest = [c for c in RAW_COLUMNS if c not in ("file", "line", "title", "rule_ord", "emit_seq")]
-    first = F.min(F.struct("rule_ord", "emit_seq", *rest)).alias("first")
-    picked = raw.groupBy(*group).agg(first)
-    return picked.select(*group, "first.*").select(*keys, *FINDING_COLUMNS)
+    if prose is None:
+        first = F.min(F.struct("rule_ord", "emit_seq", *PROSE, "code_snippet")).alias("first")
+        return raw.groupBy(*group).agg(first).select(*group, "first.*").select(*keys, *FINDING_COLUMNS)
+    own = [] if prose.complete else [F.when(~F.col("rule_ord").isin(prose.known), F.struct(*PROSE)).alias("own")]
+    first = F.min(F.struct("rule_ord", "emit_seq", "code_snippet", *own)).alias("first")
+    picked = raw.groupBy(*group).agg(first).select(*group, "first.*")
+    note = F.when(F.col("rule_ord").isin(prose.noted), F.col("emit_seq") % NOTES).otherwise(0).cast("int") if prose.noted else F.lit(0)
+    joined = picked.withColumn("note", note).join(prose.table, ["rule_ord", "note"], "left")
+    if prose.complete:
+        return joined.select(*keys, *FINDING_COLUMNS)
+    filled = [F.coalesce(F.col(c), F.col(f"own.{c}")).alias(c) if c in PROSE else F.col(c) for c in FINDING_COLUMNS]
+    return joined.select(*keys, *filled)
 
 
 # ------------------------------------------------------------------ advice

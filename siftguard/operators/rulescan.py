@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import rstrip, sql_text, unicode_pattern
 from ..rules import SCANNERS, USER_RULES_LABEL, Rule
-from ..schemas import RAW_COLUMNS, RULES
+from ..schemas import NOTES, RAW_COLUMNS, RULES
 from ..session import dimension
 
 _BITS = 63
@@ -140,7 +140,7 @@ def attach_metadata(hits: DataFrame, table: DataFrame) -> DataFrame:
         hits.join(meta, "rule_ord")
         .withColumnsRenamed({"path": "file", "text": "source_line"})
         .withColumn("code_snippet", rstrip(F.col("source_line")))
-        .withColumn("emit_seq", F.col("line").cast("bigint"))
+        .withColumn("emit_seq", F.col("line").cast("bigint") * NOTES)
     )
 
 

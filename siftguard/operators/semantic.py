@@ -1,7 +1,8 @@
 """Python files seen through their syntax tree.
 
 The only work done in Python is to flatten a syntax tree into plain fact rows (imports,
-calls, asserts, silent handlers). The detectors are SQL conditions over those rows.
+calls, asserts, silent handlers): a table function, joined laterally to the files, so any column of a file goes
+along. The detectors are SQL conditions over those rows. A file is parsed once; a fault is a row of the same table.
 """
 
 from __future__ import annotations
@@ -11,16 +12,15 @@ import warnings
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rstrip, sql_text
 from ..rules import SEVERITY_WEIGHTS, min_weight, scanner_base
 from ..rules.semantic import RISKY_IMPORTS, SEMANTIC_RULES, WATCHED
-from ..schemas import RAW_COLUMNS
+from ..schemas import NOTES, RAW_COLUMNS
 
-FACTS = ("file string, seq bigint, line int, kind string, name string, attribute boolean, owner string, "
+FACTS = ("seq bigint, line int, kind string, name string, attribute boolean, owner string, "
          "first_arg string, true_flags array<string>, tuple_texts array<string>, source_line string")
 _FIELDS = [part.split()[0] for part in FACTS.split(", ")]
 
@@ -62,7 +62,7 @@ def _facts(node: ast.AST):
         yield "call", name, attribute, owner, _argument(node), flags, texts
 
 
-def _file_facts(path: str, content: str) -> list[tuple]:
+def _file_facts(content: str) -> list[tuple]:
     """Facts in source order. A file Python cannot parse has none; any other fault is one fact of kind ``error``."""
     try:
         with warnings.catch_warnings():
@@ -75,23 +75,24 @@ def _file_facts(path: str, content: str) -> list[tuple]:
             for fact in _facts(node):
                 if fact[0] in ("assert", "silent_except") or fact[1] in WATCHED:
                     text = lines[node.lineno - 1] if node.lineno <= len(lines) else None
-                    rows.append((path, len(rows), node.lineno, *fact, text))
+                    rows.append((len(rows), node.lineno, *fact, text))
             stack.extend(reversed(list(ast.iter_child_nodes(node))))
         return rows
     except (SyntaxError, ValueError):  # no Python source
         return []
     except Exception as error:  # one file must not fail the job, nor pass as clean
-        return [(path, 0, None, "error", repr(error)[:200], False, None, None, [], [], None)]
+        return [(0, None, "error", repr(error)[:200], False, None, None, [], [], None)]
 
 
-def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [row for path, content in zip(batch["path"], batch["content"]) for row in _file_facts(path, content)]
-        yield pd.DataFrame(rows, columns=_FIELDS).astype({"line": "Int32"})
+class SyntaxFacts:
+    """Table function: the facts of a file. (Spark takes no Arrow table function in a lateral join.)"""
 
+    def eval(self, content: str) -> Iterator[tuple]:
+        yield from _file_facts(content)
 
-def syntax_facts(files: DataFrame) -> DataFrame:
-    """Fact rows of all ``.py`` files that contain a trigger word.
+
+def syntax_facts(files: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Fact rows of all ``.py`` files that contain a trigger word, with their ``file`` and the columns to keep.
 
     The word test runs in the JVM before any text is sent to Python. A file with non-ASCII
     text passes it unseen, since Python folds some of those characters into identifiers.
@@ -100,25 +101,36 @@ def syntax_facts(files: DataFrame) -> DataFrame:
     trigger = reduce(lambda a, b: a | b, [content.contains(w) for w in TRIGGERS])
     odd = F.length(content) != F.octet_length(content)
     python = files.filter(F.col("path").endswith(".py") & content.isNotNull() & (trigger | odd))
-    return python.select("path", "content").mapInPandas(_flatten, FACTS)
+    facts = F.udtf(SyntaxFacts, returnType=FACTS, useArrow=False)
+    return python.select(F.col("path").alias("file"), "content", *keep).lateralJoin(facts(F.col("content").outer())).select("file", *keep, *_FIELDS)
+
+
+def semantic_outcomes(files: DataFrame, min_severity: str = "INFO", keep: list[str] = ()) -> DataFrame:
+    """Raw findings (every fact that satisfies a detector) and faults, told apart by ``error``. No shuffle.
+
+    The place of a detector in the catalogue is part of ``emit_seq``, so its prose can be attached later.
+    """
+    floor = min_weight(min_severity)
+    rules = [(i, r) for i, r in enumerate(SEMANTIC_RULES) if SEVERITY_WEIGHTS[r.severity] >= floor]
+    found = [f"IF({r.condition}, named_struct('severity', '{r.severity}', 'sev_weight', {SEVERITY_WEIGHTS[r.severity]}, "
+             f"'title', {r.title}, 'description', {sql_text(r.description)}, 'cwe_id', '{r.cwe_id}', "
+             f"'fix', {sql_text(r.fix)}, 'note', {i}, 'error', CAST(NULL AS STRING)), NULL)" for i, r in rules]
+    nothing = ", ".join(f"'{n}', CAST(NULL AS {t})" for n, t in (
+        ("severity", "STRING"), ("sev_weight", "INT"), ("title", "STRING"), ("description", "STRING"), ("cwe_id", "STRING"), ("fix", "STRING"), ("note", "INT")))
+    found.append(f"IF(kind = 'error', named_struct({nothing}, 'error', name), NULL)")
+    hits = syntax_facts(files, keep).select("file", "line", "seq", "source_line", *keep, F.expr(f"explode(array({', '.join(found)}))").alias("hit"))
+    return hits.filter(F.col("hit").isNotNull()).select(
+        "file", "line", "hit.*", *keep, F.coalesce(rstrip(F.col("source_line")), F.lit("")).alias("code_snippet"),
+        F.lit("ASTScanner").alias("scanner"), F.lit(scanner_base("ast_scanner")).cast("bigint").alias("rule_ord"),
+        (F.col("seq") * NOTES + F.col("note")).alias("emit_seq"), "source_line",
+    ).select(*RAW_COLUMNS, "error", *keep)
 
 
 def semantic_errors(files: DataFrame) -> DataFrame:
     """Files whose syntax tree could not be walked: path and message."""
-    return syntax_facts(files).filter("kind = 'error'").select("file", F.col("name").alias("error"))
+    return semantic_outcomes(files).filter("error is not null").select("file", "error")
 
 
 def semantic_findings(files: DataFrame, min_severity: str = "INFO") -> DataFrame:
-    """Raw findings: every fact that satisfies a detector. No shuffle."""
-    floor = min_weight(min_severity)
-    rules = [r for r in SEMANTIC_RULES if SEVERITY_WEIGHTS[r.severity] >= floor]
-    found = ", ".join(
-        f"IF({r.condition}, named_struct('severity', '{r.severity}', 'sev_weight', {SEVERITY_WEIGHTS[r.severity]}, "
-        f"'title', {r.title}, 'description', {sql_text(r.description)}, 'cwe_id', '{r.cwe_id}', "
-        f"'fix', {sql_text(r.fix)}), NULL)" for r in rules)
-    hits = syntax_facts(files).select("file", "line", "seq", "source_line", F.expr(f"explode(array({found}))").alias("hit"))
-    return hits.filter(F.col("hit").isNotNull()).select(
-        "file", "line", "hit.*", F.coalesce(rstrip(F.col("source_line")), F.lit("")).alias("code_snippet"),
-        F.lit("ASTScanner").alias("scanner"), F.lit(scanner_base("ast_scanner")).cast("bigint").alias("rule_ord"),
-        F.col("seq").alias("emit_seq"), "source_line",
-    ).select(*RAW_COLUMNS)
+    """The findings alone."""
+    return semantic_outcomes(files, min_severity).filter("error is null").drop("error")

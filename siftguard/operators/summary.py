@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..rules import SEVERITY_WEIGHTS
+from ..rules import SCANNERS, SEVERITY_WEIGHTS
+from ..rules.advisories import ADVISORIES
+from ..rules.semantic import SEMANTIC_RULES
+from ..session import dimension
+from .dependencies import ECOSYSTEMS
+from .plugins import Scanner
 
 COUNTERS = [label.lower() for label in SEVERITY_WEIGHTS]
 
@@ -66,12 +72,19 @@ def suppression_counts(marked: DataFrame, keys: list[str] = ()) -> DataFrame:
         F.count_if("suppressed").alias("suppressed_inline"), F.count_if(~F.col("suppressed")).alias("kept"))
 
 
-def scanner_listing(rule_table: DataFrame) -> DataFrame:
-    """Scanner label, number of rules and the suffixes or kinds they look at."""
+def scanner_listing(rule_table: DataFrame, scanners: list[Scanner] = ()) -> DataFrame:
+    """Scanner label, number of rules and the suffixes or kinds they look at: line rules, syntax rules, the advisories and registered scanners.
+
+    A registered scanner counts as one rule; manifests are named as such.
+    """
     gates = F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(F.col("exts"))
-    return (
+    lines = (
         rule_table.select("label", F.explode_outer(gates).alias("gate"), "rule_ord")
         .groupBy(F.col("label").alias("scanner"))
         .agg(F.countDistinct("rule_ord").alias("rules"),
              F.array_join(F.sort_array(F.collect_set("gate")), ",").alias("gates"))
     )
+    others = [{"scanner": SCANNERS["ast_scanner"], "rules": len(SEMANTIC_RULES), "gates": ".py"},
+              {"scanner": SCANNERS["dependencies"], "rules": len(ADVISORIES), "gates": ",".join(sorted(ECOSYSTEMS))}]
+    others += [{"scanner": s.name, "rules": 1, "gates": ",".join(sorted(s.extensions))} for s in scanners]
+    return lines.unionByName(dimension(rule_table.sparkSession, others, StructType.fromDDL("scanner string, rules bigint, gates string")))

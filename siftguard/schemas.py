@@ -11,6 +11,9 @@ FINDINGS = (
 #: finding's own line (null if there is none), so suppression needs no join.
 RAW_FINDINGS = FINDINGS + ", emit_seq bigint, source_line string"
 
+#: ``emit_seq`` is an order times this, plus the number of the prose that belongs to the finding within its ``rule_ord``.
+NOTES = 1000
+
 FINDING_COLUMNS = [part.split()[0] for part in FINDINGS.split(", ")]
 RAW_COLUMNS = [part.split()[0] for part in RAW_FINDINGS.split(", ")]
 

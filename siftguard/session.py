@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: In-memory tables up to this many rows may become broadcast dimensions.
+#: Lists up to this many rows stay in the plan.
 MAX_DIMENSION_ROWS = 20_000
 
 
@@ -60,17 +60,21 @@ _SHIPPED: dict[str, set[str]] = {}
 
 
 def dimension(spark: SparkSession, rows: list[dict], schema: StructType) -> DataFrame:
-    """A driver-side list as a local relation whose exact size Spark knows.
+    """A driver-side list as a relation whose exact size Spark knows.
 
     No broadcast hint is set: the planner broadcasts the table while its size is under
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise. A list of more than ``MAX_DIMENSION_ROWS`` is
+    written to the shared folder, so that plans do not carry it.
     """
-    if len(rows) > MAX_DIMENSION_ROWS:
-        raise ValueError(f"{len(rows)} rows are no dimension; write them to a table and read that")
     if not rows:
         return spark.createDataFrame([], schema).limit(0)
     from pyspark.sql.pandas.types import to_arrow_schema
-    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
+    table = spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
+    if len(rows) <= MAX_DIMENSION_ROWS:
+        return table
+    path = work_dir(spark, "dimension")
+    table.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def spread_small(table: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.baseline import baseline_entries
 from ..operators.dependencies import is_manifest
+from ..operators.export import CHUNK, numbered
 from ..operators.postprocess import by_severity
 from ..schemas import FILES
 
@@ -38,8 +39,20 @@ def write_findings(findings: DataFrame, path: str, form: str = "parquet", ordere
 
 
 def write_baseline(findings: DataFrame, path: str, target_path: str = "") -> None:
-    """The columns a later comparison needs, as a table."""
-    baseline_entries(findings, target_path).write.mode("overwrite").parquet(path)
+    """What a later comparison needs, as a table, or as JSON documents if the path ends in ``.json``.
+
+    A document is an envelope of target, number of all findings and a list of at most ``CHUNK`` of them; the path is then a folder with a
+    file per document. ``read_baseline`` reads either, and a single such file.
+    """
+    entries = baseline_entries(findings, target_path)
+    if not path.endswith(".json"):
+        entries.write.mode("overwrite").parquet(path)
+        return
+    rows = numbered(entries, [], [F.col(c) for c in entries.columns])
+    listed = rows.groupBy(F.floor(F.col("_number") / CHUNK).alias("chunk")).agg(
+        F.max("_total").alias("total_findings"), F.sort_array(F.collect_list(F.struct("_number", F.struct(*entries.columns).alias("f")))).alias("e"))
+    shown = F.struct(F.lit(target_path).alias("target_path"), "total_findings", F.transform("e", lambda e: e["f"]).alias("findings"))
+    listed.select("chunk", F.to_json(shown).alias("value")).write.mode("overwrite").partitionBy("chunk").text(path)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

@@ -20,10 +20,9 @@ def parse_osv(texts: DataFrame, column: str = "record") -> DataFrame:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Baseline entries from a table folder or from one JSON document with a ``findings`` list.
+    """Baseline entries from a table folder, or from one JSON document with a ``findings`` list or a folder of such.
 
-    A missing baseline is empty, and so are the malformed parts of a document. A document is one driver-era artefact and is
-    read whole; a table folder is read in parallel.
+    A missing baseline is empty, and so are the malformed parts of a document. A document is read whole by one task; folders are read in parallel.
     """
     empty = spark.createDataFrame([], BASELINE_ENTRY)
     try:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from siftguard.operators import export, history, summary
 from siftguard.schemas import FINDINGS
-from siftguard.sinks import HistoryStore, write_documents, write_findings
+from siftguard.sinks import HistoryStore, write_baseline, write_documents, write_findings
+from siftguard.sources.feeds import read_baseline
 from siftguard.streaming import operators as stream
 
 UTC = datetime.timezone.utc
@@ -98,7 +99,7 @@ def test_sarif_document(spark, tmp_path):
 
 def test_documents_are_cut_at_the_chunk_size_and_lose_nothing(spark):
     found, counts = _scan(spark, 300)
-    rows = export.findings_documents(found, counts, bits=4).collect()
+    rows = export.findings_documents(found, counts, chunk=16).collect()
     documents = [json.loads(r.document) for r in sorted(rows, key=lambda r: r.chunk)]
     listed = [f for d in documents for f in d["findings"]]
     assert max(len(d["findings"]) for d in documents) <= 16 and len(listed) == 300
@@ -106,11 +107,49 @@ def test_documents_are_cut_at_the_chunk_size_and_lose_nothing(spark):
     ranks = [order.index(f["severity"]) for f in listed]
     assert ranks == sorted(ranks)
     assert all(d["summary"]["total"] == 300 and d["scan_duration"] == 0.123 for d in documents)
-    assert sum(len(json.loads(r.document)["runs"][0]["results"]) for r in export.sarif_documents(found, counts, bits=4).collect()) == 300
+    assert sum(len(json.loads(r.document)["runs"][0]["results"]) for r in export.sarif_documents(found, counts, chunk=16).collect()) == 300
     empty = export.findings_documents(found.limit(0), counts).collect()
     assert len(empty) == 1 and json.loads(empty[0].document)["findings"] == []
 
 
+@pytest.mark.parametrize("adaptive, partitions", [("true", 1), ("true", 32), ("false", 1), ("false", 4), ("false", 32)])
+def test_chunks_do_not_depend_on_partitions(spark, adaptive, partitions):
+    one, counts = _scan(spark, 300)
+    found = one.union(one.limit(25).withColumn("scan_id", F.lit("other"))).union(one.limit(0)).repartition(partitions)
+    counts = counts.union(counts.withColumn("scan_id", F.lit("other")))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        for make in (export.findings_documents, export.sarif_documents):
+            got = {(r.scan_id, r.chunk) for r in make(found, counts, chunk=16).collect()}
+            assert got == {(one.first().scan_id, k) for k in range(19)} | {("other", 0), ("other", 1)}
+        rows = export.numbered(found, ["scan_id"], [F.desc("sev_weight"), F.col("file"), F.col("line"), F.col("title")]).collect()
+        for scan_id in {r.scan_id for r in rows}:
+            own = sorted((r for r in rows if r.scan_id == scan_id), key=lambda r: r._number)
+            assert [r._number for r in own] == list(range(len(own))) and {r._total for r in own} == {len(own)}
+            keys = [(-r.sev_weight, r.file, r.line, r.title) for r in own]
+            assert keys == sorted(keys)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_baseline_documents_are_read_back(spark, tmp_path):
+    from siftguard.operators.baseline import baseline_entries
+    found, _ = _scan(spark, 300)
+    write_baseline(found, str(tmp_path / "b.json"), "proj")
+    back = read_baseline(spark, str(tmp_path / "b.json"))
+    entries = baseline_entries(found, "proj")
+    assert back.columns == entries.columns and sorted(map(tuple, back.collect())) == sorted(map(tuple, entries.collect()))
+    texts = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "b.json")).collect()]
+    assert {t["total_findings"] for t in texts} == {300} and {t["target_path"] for t in texts} == {"proj"}
+    (tmp_path / "one.json").write_text(json.dumps(texts[0], indent=2))
+    assert read_baseline(spark, str(tmp_path / "one.json")).count() == len(texts[0]["findings"])
+    write_baseline(found.limit(0), str(tmp_path / "none.json"))
+    assert read_baseline(spark, str(tmp_path / "none.json")).count() == 0
+
+
 def test_rule_descriptors_take_the_most_severe_finding(spark):
     found = _findings(spark, [("a", 2, "LOW", "A b/c"), ("b", 1, "HIGH", "A b/c"), ("a", 1, "INFO", "x" * 80)])
     rows = {r.rule_id: r for r in export.sarif_rules(found).collect()}
@@ -122,8 +161,10 @@ def test_diagnostics(spark):
     rows = {(r.file, r.line0): r for r in export.diagnostics(found).collect()}
     assert (rows["a", 0].level, rows["a", 0].code, rows["a", 0].message) == ("Error", "S", "T\ndesc")
     assert (rows["a", 2].level, rows["a", 2].code, rows["a", 4999].level) == ("Information", "CWE-1", "Hint")
-    grouped = {(r.file, r.line_block): [d.line0 for d in r.diagnostics] for r in export.diagnostics_by_file(found).collect()}
-    assert grouped == {("a", 0): [0, 2], ("a", 1): [4999], ("b", 0): [1]}
+    grouped = {(r.file, r.block, r.total): [d.line0 for d in r.diagnostics] for r in export.diagnostics_by_file(found).collect()}
+    assert grouped == {("a", 0, 3): [0, 2, 4999], ("b", 0, 1): [1]}
+    grouped = {(r.file, r.block, r.total): [d.line0 for d in r.diagnostics] for r in export.diagnostics_by_file(found, block=2).collect()}
+    assert grouped == {("a", 0, 3): [0, 2], ("a", 1, 3): [4999], ("b", 0, 1): [1]}
 
 
 @pytest.mark.parametrize("form", ["parquet", "json", "orc"])

@@ -246,6 +246,49 @@ def test_whole_scan_of_a_small_project(files):
     assert {(r.line, r.severity) for r in limited.collect()} == {(5, "CRITICAL"), (8, "CRITICAL"), (9, "CRITICAL"), (2, "CRITICAL")}
 
 
+def test_prose_is_attached_after_the_exchange(files):
+    corpus = files(PROJECT)
+    plan = scan(corpus).findings._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "min(" in line and "Aggregate" in line]
+    assert exchanged and not any(word in line for line in exchanged for word in ("description", "source_line", "cwe_id", "fix#", "severity"))
+    # The same findings as with their prose carried along.
+    from siftguard.plans.scan import finish, raw_findings
+    slim, whole = scan(corpus).findings, finish(raw_findings(corpus)[0])
+    assert slim.columns == whole.columns and sorted(map(str, slim.drop("rule_ord").collect())) == sorted(map(str, whole.drop("rule_ord").collect()))
+
+
+def test_findings_outside_the_rule_table_keep_their_prose(spark, files):
+    from siftguard.operators.plugins import Scanner
+
+    def mine(path, content, lines):
+        for n, text in enumerate(lines, 1):
+            if "eval" in text:
+                yield {"line": n, "severity": "low", "title": "has eval", "description": "own words"}
+
+    scanner = Scanner("Mine", (".py",), mine)
+    config = ScanConfig(enabled_scanners=["command_injection", "dependencies"])
+    found = scan(files(PROJECT), config, scanners=[scanner]).findings.collect()
+    own = [r for r in found if r.scanner == "Mine"]
+    assert {(r.title, r.description, r.severity, r.sev_weight) for r in own} == {("has eval", "own words", "LOW", 2)}
+    assert all(r.description and r.severity for r in found)
+
+
+def test_scan_with_baseline_and_suppressions(spark, files):
+    corpus = files(PROJECT)
+    every = scan(corpus).findings.collect()
+    gone, listed = every[0], every[-1]
+    baseline = spark.createDataFrame([(gone.file, gone.line + 2, gone.title.upper(), gone.severity, gone.scanner)], "file string, line int, title string, severity string, scanner string")
+    hashes = spark.createDataFrame([(f"{listed.title}::{listed.file}",), ("other::x",)], "finding_hash string")
+    for store in (False, True):
+        plan = scan(corpus, baseline=baseline, suppressions=hashes, store=store)
+        counts = plan.counts().first()
+        known = [r for r in every if r.title == gone.title and r.file == gone.file and abs(r.line - gone.line - 2) <= 3]
+        out = [r for r in every if r.title == listed.title and r.file == listed.file]
+        assert (counts.suppressed_inline, counts.suppressed_persisted, counts.suppressed_by_baseline) == (plan.raw.filter("suppressed").count(), len(out), len(set(known) - set(out)))
+        assert counts.reported == plan.findings.count() == len(every) - counts.suppressed_persisted - counts.suppressed_by_baseline
+        assert plan.errors.count() == 0 and plan.findings.columns == scan(corpus).findings.columns
+
+
 def test_stored_corpus_gives_the_same_findings(files, tmp_path):
     from siftguard.sinks import write_corpus
     direct = scan(files(PROJECT)).findings

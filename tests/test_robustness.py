@@ -72,9 +72,9 @@ def test_trimming_is_linear(spark):
 
 def test_faults_of_the_syntax_scanner_are_rows(files):
     deep = "import pickle\nx = " + "-" * 200_000 + "1"
-    facts = _file_facts("deep.py", deep)
-    assert [f[3] for f in facts] == ["error"] or facts == []
-    assert _file_facts("bad.py", "import pickle\ndef (") == []
+    facts = _file_facts(deep)
+    assert [f[2] for f in facts] == ["error"] or facts == []
+    assert _file_facts("import pickle\ndef (") == []
     assert semantic_errors(files({"a.py": "import pickle", "b.py": "def ("})).count() == 0
 
 

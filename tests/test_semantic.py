@@ -1,7 +1,7 @@
 """Syntax rules and user scanners."""
 
 from siftguard.operators.plugins import Scanner, run_scanner, scanner_table
-from siftguard.operators.semantic import semantic_findings, syntax_facts
+from siftguard.operators.semantic import semantic_findings, semantic_outcomes, syntax_facts
 
 # source → (line, title fragment) that must be found
 CASES = {
@@ -51,10 +51,23 @@ def test_severity_threshold(files):
 def test_files_without_trigger_words_are_not_parsed(files):
     corpus = files({"a.py": "x = 1", "b.py": "run(debug=True)"})
     plan = syntax_facts(corpus)._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.index("MapInPandas"):]
+    below = plan[plan.index("BatchEvalPythonUDTF"):]
     assert "Contains(content" in below and "Exchange" not in plan
 
 
+def test_a_file_is_parsed_once_for_findings_and_faults(files):
+    plan = semantic_outcomes(files({"a.py": "eval(x)"}), keep=["length"])
+    assert plan._jdf.queryExecution().executedPlan().toString().count("BatchEvalPythonUDTF") == 1
+    row = plan.first()
+    assert (row.file, row.line, row.error, row.length) == ("a.py", 1, None, 7)
+
+
+def test_a_fault_is_a_row_of_the_same_table(files, monkeypatch):
+    deep = "x = " + "(" * 150 + "1" + ")" * 150 + "\nimport pickle"
+    rows = semantic_outcomes(files({"deep.py": "a" + ".b" * 30_000 + "\nimport pickle", "a.py": "import pickle", "bad.py": "import pickle (", "b.py": deep})).collect()
+    assert {r.file for r in rows if r.error is None} >= {"a.py"} and all(r.file in ("deep.py", "b.py") for r in rows if r.error)
+
+
 def test_user_scanner_fails_per_file(spark, files):
     def _scan(path, content, lines):
         if "boom" in content:

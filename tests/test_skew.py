@@ -58,4 +58,4 @@ def test_hot_scan_in_documents(spark):
     sizes = [r[0] for r in export.sarif_documents(found, counts).select(F.size(read)).collect()]
     assert sum(sizes) == HOT + 300 and max(sizes) <= 4096
     rows = export.diagnostics_by_file(found).filter("file = 'hot.py'").select("n").collect()
-    assert sum(r.n for r in rows) == HOT and max(r.n for r in rows) <= export.LINE_BLOCK
+    assert sum(r.n for r in rows) == HOT and max(r.n for r in rows) <= export.FILE_BLOCK
