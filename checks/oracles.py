@@ -18,7 +18,7 @@ from siftguard.sources.rule_files import user_rules
 
 from . import manifests as man
 from .derived import FILES_SQL, lines_sql
-from .registry import CHUNK, FAMILIES, NOW, PAGE_RULES, SIZE_LIMIT, USER_RULES
+from .registry import CHUNK, FAMILIES, NOW, PAGE_RULES, SIZE_LIMIT, USER_RULES, many_rules
 
 MARKER = r"(?i)(#|//)\s*(nosec|noqa|siftguard\s*:\s*ignore)(\s*:?\s*(.+))?$"
 SNIPPET = r"regexp_replace(text, '\s+$', '')"
@@ -350,9 +350,20 @@ ORACLES = {
     "stream_trend": f"SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, {FLAGS}, count(*) AS total, count(*) AS scan_count FROM events GROUP BY 1",
     "stream_trend_sliding": f"""SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(back AS INTEGER)) AS window_start, {FLAGS},
         count(*) AS total, count(*) AS scan_count FROM events, range(7) AS r(back) GROUP BY 1""",
-    "stream_baseline": _with(**CODE, found=hits(_rules(*FAMILIES)), base=BASE) + f"SELECT file, line, title FROM found WHERE NOT {LISTED}",
-    "stream_known": _with(**CODE, found=hits(_rules(*FAMILIES)), base=BASE) + f"SELECT file, line, title FROM found WHERE {LISTED}",
+    "stream_precedence": _with(**RAW) + f"SELECT {OUT} FROM ({DEDUP.format(source='raw')})",
+    "stream_baseline": _with(**RAW, found="SELECT * FROM raw", base=BASE) + f"SELECT file, line, title FROM found WHERE NOT {LISTED}",
+    "stream_known": _with(**RAW, found="SELECT * FROM raw", base=BASE) + f"SELECT file, line, title FROM found WHERE {LISTED}",
+    "history_retry": _with(**HISTORY) + "SELECT s.scan_id, s.total, count(*) AS findings FROM scans s JOIN child c USING (scan_id) GROUP BY ALL",
+    "scan_many_rules": _with(kinds=PAGE_LINES, rules="SELECT * FROM (VALUES " + ", ".join(
+        f"({q(r.title)}, {q(r.severity)}, {q(r.pattern)}, {q(','.join(r.exts))})" for r in user_rules(many_rules())) + ") AS t(title, severity, pattern, exts)")
+    + "SELECT path AS file, line, title, severity FROM kinds JOIN rules ON (exts = '' OR suffix(path, exts)) AND regexp_matches(text, pattern)",
     "cwe_links": _with(**FOUND) + """SELECT cwe_id, count(*) AS findings, max(sev_weight) AS worst,
         'https://cwe.mitre.org/data/definitions/' || split_part(cwe_id, '-', -1) || '.html' AS link
         FROM found WHERE cwe_id IS NOT NULL GROUP BY cwe_id""",
 }
+
+ORACLES["history_rollup"] = f"""
+    SELECT 'total on ' || date AS what, total AS n FROM ({ORACLES["daily_trend"]}) UNION ALL SELECT 'scans on ' || date, scan_count FROM ({ORACLES["daily_trend"]})
+    UNION ALL SELECT 'total_scans', total_scans FROM ({ORACLES["history_stats"]}) UNION ALL SELECT 'total_findings', total_findings FROM ({ORACLES["history_stats"]})
+    UNION ALL SELECT 'total_critical', total_critical FROM ({ORACLES["history_stats"]}) UNION ALL SELECT 'projects within 3 %', 1
+    UNION ALL SELECT 'title ' || title, "count" FROM ({ORACLES["top_titles"]})"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,13 @@ from siftguard.operators import baseline as base
 from siftguard.operators import dependencies as deps
 from siftguard.operators import export, history, lines, postprocess, summary
 from siftguard.operators.plugins import Scanner, run_scanner
+from siftguard.operators.rule_index import scan_many
 from siftguard.operators.rulescan import match_rules, rule_table, scan_lines
 from siftguard.operators.semantic import semantic_findings
 from siftguard.operators.intervals import stored
-from siftguard.plans.scan import lines_of, raw_findings, scan
+from siftguard.plans.scan import lines_of, raw_findings, raw_outcomes, scan
 from siftguard.rules import select_rules
+from siftguard.schemas import FILES
 from siftguard.session import spread_small, work_dir
 from siftguard.sinks import HistoryStore, write_baseline
 from siftguard.sinks.store import first_new_suppressions
@@ -114,6 +118,21 @@ def _manifest(name):
 
 # ------------------------------------------------------------------ sources
 
+def many_rules() -> list[dict]:
+    """As many rules as a large organisation writes: words, tags with attributes, alternatives, some without a literal, some for other files."""
+    words = [f"{a}{b}" for a in ("data", "link", "list", "item", "page", "text", "menu", "form") for b in ("row", "cell", "head", "body", "box")]
+    rules = [{"id": f"tag-{t}-{n}", "pattern": rf"<{t}[^>]*{n}", "file_extensions": [".html"]} for t in ("div", "span", "table", "script", "section") for n in range(0, 1000, 2)]
+    rules += [{"id": f"word-{w}-{n}", "pattern": rf"(?i)\b{w}[-_ ]?{n}\b", "severity": "low"} for w in words for n in range(60)]
+    rules += [{"id": f"either-{n}", "pattern": rf"(?:alpha|beta){n}|[a-z]{n}{{3}}"} for n in range(0, 90, 3)]
+    rules += [{"id": f"other-{n}", "pattern": rf"<p>{n}", "file_extensions": [".txt"]} for n in range(50)]
+    return [*rules, {"id": "p", "pattern": "<p>[A-Z]"}, {"id": "href", "pattern": r"href=\"https?://[a-z0-9.-]+/"}]
+
+
+def scan_many_rules(spark, sf):
+    """Over five thousand user rules over all pages, by the index of their literals."""
+    return scan_many(lines_of(pages(spark, sf)), user_rules(many_rules())).select("file", "line", "title", "severity")
+
+
 def line_explode(spark, sf):
     return lines.explode_lines(documents(spark, sf)).select(F.col("path").alias("file"), "line", "text")
 
@@ -388,6 +407,54 @@ def history_store(spark, sf):
         "scan_id", "target_path", "scan_duration", "critical", "high", "medium", "low", "total", "findings")
 
 
+class _Interrupted(HistoryStore):
+    """A store whose append ends before the header is written."""
+
+    def _open(self, days):
+        raise InterruptedError
+
+
+def history_retry(spark, sf):
+    """An append that fails before its header, the retry, the same scans once more, and a scan that is deleted and added again: every scan counts once."""
+    root = work_dir(spark, "history")
+    store, scans, found = HistoryStore(spark, root), man.history_scans(spark, sf), man.history_findings(spark, sf)
+    scans = scans.drop(*summary.COUNTERS, "total")
+    try:
+        _Interrupted(spark, root).append_many(scans, found)
+    except InterruptedError:
+        pass
+    store.append_many(scans, found)
+    store.append_many(scans.filter(F.length("scan_id") % 2 == 0), found.filter(F.length("scan_id") % 2 == 0))
+    first = scans.agg(F.min("scan_id")).first()[0]
+    store.delete_scan(first)
+    store.append_many(scans.filter(F.col("scan_id") == first), found.filter(F.col("scan_id") == first))
+    store.compact()
+    listed = store.findings().groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"))
+    return store.scans().join(listed, "scan_id").select("scan_id", "total", "findings")
+
+
+def history_rollup(spark, sf):
+    """Trend, totals and titles from the rollups: most days sealed, one of them changed afterwards."""
+    store, scans, found = HistoryStore(spark, work_dir(spark, "history")), man.history_scans(spark, sf), man.history_findings(spark, sf)
+    scans = stored(scans.drop(*summary.COUNTERS, "total"), "scans")
+    late = F.length("target_path") % 3 == 0
+    own = found.join(scans.filter(late).select("scan_id"), "scan_id", "left_semi")
+    store.append_many(scans.filter(~late), found.join(scans.filter(~late).select("scan_id"), "scan_id", "left_semi"))
+    store.seal("2024-01-28")
+    store.append_many(scans.filter(late & (F.to_date("scanned_at") >= "2024-01-20")), own.join(scans.filter(F.to_date("scanned_at") >= "2024-01-20").select("scan_id"), "scan_id", "left_semi"))
+    store.seal("2024-01-25")
+    store.append_many(scans.filter(late & (F.to_date("scanned_at") < "2024-01-20")), own.join(scans.filter(F.to_date("scanned_at") < "2024-01-20").select("scan_id"), "scan_id", "left_semi"))
+    trend, stats = store.daily_trend(NOW, 7), store.history_stats()
+    on = lambda what, column: trend.select(F.concat(F.lit(what), F.col("date").cast("string")).alias("what"), F.col(column).alias("n"))
+    total = lambda column: stats.select(F.lit(column).alias("what"), F.col(column).cast("bigint").alias("n"))
+    exact = scans.agg(F.countDistinct("target_path").alias("exact"))
+    near = stats.select("total_projects").withColumn("k", F.lit(1)).join(exact.withColumn("k", F.lit(1)), "k").select(
+        F.lit("projects within 3 %").alias("what"), (F.abs(F.col("total_projects") - F.col("exact")) <= 0.03 * F.col("exact") + 1).cast("bigint").alias("n"))
+    titles = store.top_titles().select(F.concat(F.lit("title "), "title").alias("what"), F.col("count").alias("n"))
+    parts = [on("total on ", "total"), on("scans on ", "scan_count"), total("total_scans"), total("total_findings"), total("total_critical"), near, titles]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
 def suppression_insert(spark, sf):
     """New suppressions from events against those already listed; first of a batch wins."""
     events = load(spark, sf, "events")
@@ -520,22 +587,52 @@ def stream_trend_sliding(spark, sf):
     return _plain_time(_run_complete(stream.stream_trend(_event_scans(spark, sf), "1 day", "7 days", "1 day"), "stream-sliding"))
 
 
+def _arriving(spark, sf, purpose, waves) -> tuple[DataFrame, str]:
+    """Raw findings of every scanner over code files that arrive with a time, and the folder they arrive in."""
+    inbox = work_dir(spark, purpose)
+    files = code_files(spark, sf)
+    for frame in waves(files):
+        frame.write.mode("append").parquet(inbox)
+    stream_files = spark.readStream.schema(f"{FILES}, reported_at timestamp").parquet(inbox)
+    rows = raw_outcomes(stream_files, ScanConfig(enabled_scanners=CODE_SCANNERS), keep=["reported_at"])
+    return rows.filter("error is null").drop("error"), inbox
+
+
+def _reported(files: DataFrame, day: int) -> DataFrame:
+    return files.withColumn("reported_at", F.timestamp_seconds(F.lit(1_700_000_000 + 86_400 * day) + F.length("path") % 3 * 3600))
+
+
+def stream_precedence(spark, sf):
+    """Every code file is reported on two days, by all scanners; a late event closes the state. One finding per place and title remains."""
+    late = lambda files: _reported(files.limit(1), 60).withColumn("path", F.lit("late.py")).withColumn("content", F.lit("eval(x)"))
+    found, inbox = _arriving(spark, sf, "reports", lambda files: [_reported(files, 0), _reported(files, 2)])
+    single = stream.stream_first_findings(found, "reported_at", "7 days")
+    out = work_dir(spark, "stream-precedence")
+    for wave in (0, 1):
+        if wave:
+            late(code_files(spark, sf)).write.mode("append").parquet(inbox)
+        query = (single.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+                 .option("checkpointLocation", out + "-state").start(out))
+        query.awaitTermination()
+    return spark.read.schema(single.schema).parquet(out).select(*OUT)
+
+
 def stream_known(spark, sf):
-    """Arriving findings that the baseline already lists."""
-    return _stream_diff(spark, sf, stream.stream_known_findings, "stream-known")
+    """Arriving findings that the stored baseline lists."""
+    return _stream_diff(spark, sf, True)
 
 
 def stream_baseline(spark, sf):
-    return _stream_diff(spark, sf, stream.stream_new_findings, "stream-baseline")
+    return _stream_diff(spark, sf, False)
 
 
-def _stream_diff(spark, sf, operator, purpose):
-    rules = select_rules(ScanConfig(enabled_scanners=FAMILIES))
-    orders = load(spark, sf, "orders").select("o_orderkey")
-    rows = numbered_lines(orders, "o_orderkey")
-    known = shifted_baseline(scan_lines(lines.with_file_facts(rows.withColumn("content", F.col("text"))).drop("content"), rules))
-    arriving = scan_lines(_stream_lines(spark, sf, "orders", "o_orderkey", "o_orderdate"), rules)
-    return _run(operator(arriving, known), purpose).select("file", "line", "title")
+def _stream_diff(spark, sf, known):
+    index, out = work_dir(spark, "baseline-index"), work_dir(spark, "stream-diff")
+    base.write_baseline_index(shifted_baseline(code_raw(spark, sf)), index)
+    found, _ = _arriving(spark, sf, "arriving", lambda files: [_reported(files, 0)])
+    query = stream.start_baseline_diff(found, index, out, out + "-state", known, availableNow=True)
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).select("file", "line", "title")
 
 
 # ------------------------------------------------------------------ table of queries
@@ -549,6 +646,7 @@ QUERIES = {
     "scan_secrets_documents": lambda spark, sf: _scan(documents(spark, sf), "secrets"),
     "scan_secrets_conversations": lambda spark, sf: _scan(conversations(spark, sf), "secrets"),
     "scan_pages": lambda spark, sf: _scan(pages(spark, sf), "xss", extra=user_rules(PAGE_RULES)),
+    "scan_many_rules": scan_many_rules,
     "scan_semantic_python": lambda spark, sf: semantic_findings(code_files(spark, sf)).select(*OUT),
     "plugin_scan": plugin_scan,
     "corpus_subset": corpus_subset,
@@ -613,6 +711,9 @@ QUERIES = {
     "flagship": flagship,
     "stream_scan": stream_scan,
     "stream_dedup": stream_dedup,
+    "stream_precedence": stream_precedence,
+    "history_retry": history_retry,
+    "history_rollup": history_rollup,
     "stream_trend": stream_trend,
     "stream_trend_sliding": stream_trend_sliding,
     "stream_baseline": stream_baseline,

@@ -39,7 +39,18 @@ def _finding_keys(findings: DataFrame, target_path: str) -> DataFrame:
     return findings.withColumns({"_file": file_key(file), "_title": F.lower("title")})
 
 
-def _bucket_join(findings, baseline, tolerance, target_path, how) -> DataFrame:
+def _line_buckets(baseline: DataFrame, tolerance: int) -> DataFrame:
+    """Entries as line windows, each listed under the one or two buckets it touches."""
+    width = 2 * tolerance + 1
+    low, high = F.greatest(F.lit(1), F.col("_at") - tolerance), F.col("_at") + tolerance
+    return (
+        _entry_keys(baseline).select("_file", "_title", low.alias("_low"), high.alias("_high"))
+        .filter(F.col("_low") <= F.col("_high"))
+        .select("*", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))).alias("_bucket"))
+    )
+
+
+def _bucket_join(findings, entries, tolerance, target_path, how) -> DataFrame:
     """Range join through line buckets.
 
     A window of ``2t + 1`` lines touches at most two buckets of that width, so each entry is
@@ -47,12 +58,6 @@ def _bucket_join(findings, baseline, tolerance, target_path, how) -> DataFrame:
     one hot (file, title) pair from meeting in one task.
     """
     width = 2 * tolerance + 1
-    low, high = F.greatest(F.lit(1), F.col("_at") - tolerance), F.col("_at") + tolerance
-    entries = (
-        _entry_keys(baseline).select("_file", "_title", low.alias("_low"), high.alias("_high"))
-        .filter(F.col("_low") <= F.col("_high"))
-        .select("*", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))).alias("_bucket"))
-    )
     keyed = _finding_keys(findings, target_path).withColumn("_bucket", F.floor(F.col("line") / width))
     entries = entries.withColumnsRenamed({"_file": "_bf", "_title": "_bt", "_bucket": "_bb"})
     condition = ((F.col("_file") == F.col("_bf")) & (F.col("_title") == F.col("_bt"))
@@ -62,12 +67,35 @@ def _bucket_join(findings, baseline, tolerance, target_path, how) -> DataFrame:
 
 def new_findings(findings: DataFrame, baseline: DataFrame, tolerance: int = LINE_TOLERANCE,
                  target_path: str = "") -> DataFrame:
-    return _bucket_join(findings, baseline, tolerance, target_path, "left_anti")
+    return _bucket_join(findings, _line_buckets(baseline, tolerance), tolerance, target_path, "left_anti")
 
 
 def known_findings(findings: DataFrame, baseline: DataFrame, tolerance: int = LINE_TOLERANCE,
                    target_path: str = "") -> DataFrame:
-    return _bucket_join(findings, baseline, tolerance, target_path, "left_semi")
+    return _bucket_join(findings, _line_buckets(baseline, tolerance), tolerance, target_path, "left_semi")
+
+
+#: Parts of a stored baseline, by hash of the file.
+SHARDS = 64
+
+
+def _shard(file: Column) -> Column:
+    return F.pmod(F.xxhash64(file), F.lit(SHARDS)).cast("int")
+
+
+def write_baseline_index(baseline: DataFrame, path: str) -> None:
+    """Store a baseline as the line windows that a comparison joins, in a partition per shard."""
+    entries = _line_buckets(baseline, LINE_TOLERANCE)
+    entries.withColumn("shard", _shard(F.col("_file"))).repartition(SHARDS, "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def match_baseline_index(findings: DataFrame, path: str, known: bool, target_path: str = "") -> DataFrame:
+    """The findings a stored baseline lists, or the others. Only the shards that the findings fall in are read."""
+    spark = findings.sparkSession
+    shards = [r.shard for r in _finding_keys(findings, target_path).select(_shard(F.col("_file")).alias("shard")).distinct().collect()]
+    index = spark.read.schema("_file string, _title string, _low int, _high int, _bucket bigint, shard int").parquet(path)
+    entries = index.filter(F.col("shard").isin(shards)).drop("shard")
+    return _bucket_join(findings, entries, LINE_TOLERANCE, target_path, "left_semi" if known else "left_anti")
 
 
 def expanded_keys(baseline: DataFrame, tolerance: int = LINE_TOLERANCE) -> DataFrame:

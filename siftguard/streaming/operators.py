@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..config import ScanConfig
-from ..operators.baseline import LINE_TOLERANCE, known_findings, new_findings
+from ..operators.baseline import match_baseline_index
+from ..operators.intervals import stored
 from ..operators.postprocess import drop_suppressed
 from ..operators.rulescan import scan_lines
 from ..operators.summary import COUNTERS
 from ..plans.scan import FILE_COLUMNS
 from ..operators.lines import explode_lines, with_file_facts
 from ..rules import Rule, select_rules
+from ..schemas import RAW_COLUMNS, RAW_FINDINGS
 
 
 def stream_scan(files: DataFrame, config: ScanConfig | None = None, keep: list[str] = (),
@@ -36,6 +40,72 @@ def stream_deduplicate(findings: DataFrame, event_time: str, delay: str) -> Data
     return findings.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["file", "line", "title"])
 
 
+_FIRST = [c for c in RAW_COLUMNS if c not in ("file", "line", "title")]
+
+
+class EarliestFinding(StatefulProcessor):
+    """Per (file, line, title): the finding of the earliest scanner and rule so far, handed on when its time is over.
+
+    The state is one row and the time of its first arrival plus the delay; a timer at that time hands the row on and clears the state, so
+    state is held for the delay and no longer.
+    """
+
+    def __init__(self, event_time: str, delay_ms: int) -> None:
+        self.event_time, self.delay_ms, self.schema = event_time, delay_ms, StructType.fromDDL(_state_schema())
+
+    def init(self, handle) -> None:
+        self.handle, self.best = handle, handle.getValueState("best", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.best.get() if self.best.exists() else None
+        best = None if held is None else tuple(held)
+        fresh, first = best is None, None
+        for row in rows:
+            at = row[self.event_time]
+            first = at if first is None or at < first else first
+            mine = (*(row[c] for c in _FIRST), at)
+            if best is None or (mine[_ORD], mine[_SEQ]) < (best[_ORD], best[_SEQ]):
+                best = mine
+        if best is not None:
+            self.best.update(best)
+            if fresh:
+                self.handle.registerTimer(int(first.timestamp() * 1000) + self.delay_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.best.exists():
+            best = tuple(self.best.get())
+            self.best.clear()
+            yield Row(**dict(zip(["file", "line", "title", *_FIRST, self.event_time], [*key, *best], strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+_ORD, _SEQ = _FIRST.index("rule_ord"), _FIRST.index("emit_seq")
+
+
+def _state_schema(event_time: str = "at") -> str:
+    kinds = dict(part.split() for part in RAW_FINDINGS.split(", "))
+    return ", ".join([*(f"{c} {kinds[c]}" for c in _FIRST), f"{event_time} timestamp"])
+
+
+def stream_first_findings(findings: DataFrame, event_time: str, delay: str) -> DataFrame:
+    """One finding per (file, line, title) of all scanners: that of the earliest scanner and rule within ``delay`` of the first arrival.
+
+    The result is what the batch de-duplication gives if all copies arrive within the delay. A finding is handed on once the watermark has passed that
+    time, so the last ones wait for later events.
+    """
+    spark = findings.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # An interval in days or less; its length is asked of Spark, which knows the units.
+    delay_ms = spark.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00 UTC' + INTERVAL {delay}) AS ms").first().ms
+    keyed = findings.withWatermark(event_time, delay).select(*RAW_COLUMNS, event_time).groupBy("file", "line", "title")
+    kinds = dict(part.split() for part in RAW_FINDINGS.split(", "))
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in ("file", "line", "title", *_FIRST)), f"{event_time} timestamp"])
+    return keyed.transformWithState(EarliestFinding(event_time, delay_ms), schema, "Append", "EventTime")
+
+
 def stream_trend(scans: DataFrame, delay: str, window: str = "1 day", slide: str | None = None) -> DataFrame:
     """Severity sums per day, or per sliding window. Use update or complete mode for a live view."""
     period = F.window("scanned_at", window, slide) if slide else F.window("scanned_at", window)
@@ -45,10 +115,14 @@ def stream_trend(scans: DataFrame, delay: str, window: str = "1 day", slide: str
             .select(F.col("window.start").alias("window_start"), *COUNTERS, "total", "scan_count"))
 
 
-def stream_new_findings(findings: DataFrame, baseline: DataFrame, tolerance: int = LINE_TOLERANCE) -> DataFrame:
-    """Arriving findings without a counterpart in a static baseline."""
-    return new_findings(findings, baseline, tolerance)
+def start_baseline_diff(findings: DataFrame, index: str, out: str, checkpoint: str, known: bool = False, **trigger) -> StreamingQuery:
+    """Write the arriving findings that a stored baseline does not list, or does, to ``out``.
 
+    ``index`` is a folder written by ``write_baseline_index``. A micro-batch is stored, then joined with the shards of the index that its files fall
+    in; nothing of the baseline is computed again. A batch that runs twice replaces what it wrote.
+    """
+    def diff(batch: DataFrame, number: int) -> None:
+        found = match_baseline_index(stored(batch, "arrived"), index, known)
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def stream_known_findings(findings: DataFrame, baseline: DataFrame, tolerance: int = LINE_TOLERANCE) -> DataFrame:
-    return known_findings(findings, baseline, tolerance)
+    return findings.writeStream.foreachBatch(diff).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
