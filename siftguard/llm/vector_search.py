@@ -15,8 +15,8 @@ Components are multiplied in floating point only while all products and sums sta
 integers (checked per shard and block), otherwise as 64-bit or Python integers.
 
 Defined cases: vectors that are null, or hold a null, NaN or infinite component, take no part; vectors of
-other lengths than the query's are no candidates; rows that share an id count as one vector (the
-smallest in array order); fewer than k candidates give all of them; an empty table an empty result.
+other lengths than the query's are no candidates; rows that share an id are rows of their own, each a candidate of the others and, where asked,
+a query with its own answer; components and scores beyond a long are taken as the nearest long; fewer than k candidates give all of them; an empty table an empty result.
 """
 
 from __future__ import annotations
@@ -69,13 +69,15 @@ class KdTree:
 
 
 def search(tree: KdTree, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best scores and rows per query, as one sorted code per hit (score, then smaller id); ids ascend.
+    """Best scores and rows per query, as one sorted code per hit (score, then earlier row); a query does not meet the row with its own id.
 
     ``floor`` holds the score each query's hits must reach at least.
     """
     reach = max(1, int(np.abs(vectors).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) * max(1, vectors.shape[1])
-    if reach >= 1 << (62 - _ID_BITS):
+    if reach >= 1 << 62:
         return _search_wide(vectors, ids, queries, query_ids, floor, top)
+    if reach >= 1 << (62 - _ID_BITS):
+        return _search_long(vectors, ids, queries, query_ids, floor, top)
     kind = np.float64 if reach < 1 << 53 else np.int64
     ordered, asked = vectors[tree.order].astype(kind), queries.astype(kind)
     box = KdTree.__new__(KdTree)
@@ -112,6 +114,21 @@ def search(tree: KdTree, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarr
     return best >> _ID_BITS, np.where(best == _NONE, -1, low_bits - (best & low_bits))
 
 
+def _search_long(vectors, ids, queries, query_ids, floor, top):
+    """The same result for scores that leave no room for a row number beside them, in exact 64-bit integers, some queries at a time."""
+    score, row = np.zeros((len(queries), top), np.int64), np.full((len(queries), top), -1, np.int64)
+    k = min(top, len(vectors))
+    for start in range(0, len(queries), 32):
+        part = slice(start, start + 32)
+        found = queries[part].astype(np.int64) @ vectors.astype(np.int64).T
+        found[(ids[None, :] == query_ids[part][:, None]) | (found < floor[part][:, None])] = _NONE
+        # The complement turns the order around without overflow; of equal scores the earlier row stays first.
+        order = np.argsort(~found, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(found, order, 1)
+        score[part, :k], row[part, :k] = best, np.where(best == _NONE, -1, order)
+    return score, row
+
+
 def _search_wide(vectors, ids, queries, query_ids, floor, top):
     """The same result for components too large for packed codes, in exact Python integers; scores saturate at a long."""
     score, row = np.zeros((len(queries), top), np.int64), np.full((len(queries), top), -1, np.int64)
@@ -134,14 +151,15 @@ def nearest(rows: DataFrame, queries: DataFrame, top: int = TOP, shard_rows: int
     """query_id, rank, vec_id, score of the ``top`` rows per query; both tables hold vec_id and integer ``vector``s."""
     spark = rows.sparkSession
     ship(spark)
-    rows = saved(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")), "vectors")
+    # Rows have numbers of their own, since ids may repeat.
+    rows = saved(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector", F.size("vector").alias("dim")), "vectors")
     shards = max(1, -(-rows.count() // shard_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    data = rows.select("dim", shard.alias("shard"), "vec_id", "vector", F.lit(None).cast("long").alias("floor"), F.lit(-1).alias("block"))
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    data = rows.select("dim", shard.alias("shard"), "vec_id", "row", "vector", F.lit(None).cast("long").alias("floor"), F.lit(-1).alias("block"))
     asked = queries.select("vec_id").distinct().join(rows, "vec_id")
     blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    schema = "query_id long, vec_id long, score long"
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
+    schema = "query_row long, query_id long, vec_id long, score long"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by dimension, shard and block: a shard's vectors, then its queries."""
@@ -152,61 +170,65 @@ def nearest(rows: DataFrame, queries: DataFrame, top: int = TOP, shard_rows: int
 
         def answers():
             if waiting and tree_of():
-                built, vectors, ids = tree_of()
-                asked_ids = np.array([w[0] for w in waiting], np.int64)
-                floor = np.array([_NONE if w[2] is None else w[2] for w in waiting], np.int64)
-                score, row = search(built, vectors, ids, np.stack([w[1] for w in waiting]), asked_ids, floor, top)
+                built, vectors, ids, numbers = tree_of()
+                asked_rows = np.array([w[1] for w in waiting], np.int64)
+                floor = np.array([_NONE if w[3] is None else w[3] for w in waiting], np.int64)
+                score, row = search(built, vectors, numbers, np.stack([w[2] for w in waiting]), asked_rows, floor, top)
                 q, at = np.nonzero(row >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[q]), pa.array(ids[row[q, at]]), pa.array(score[q, at])], ["query_id", "vec_id", "score"])
+                asked_ids = np.array([w[0] for w in waiting], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(asked_rows[q]), pa.array(asked_ids[q]), pa.array(ids[row[q, at]]), pa.array(score[q, at])],
+                                                 ["query_row", "query_id", "vec_id", "score"])
             waiting.clear()
 
         def tree_of():
+            """The shard's tree, with its vectors in the order of their ids, so that of equal scores the smaller id comes first."""
             nonlocal tree
             if tree is None and held:
-                order = np.argsort([h[0] for h in held], kind="stable")
-                ids = np.array([held[i][0] for i in order], np.int64)
-                vectors = np.stack([held[i][1] for i in order])
-                tree = (KdTree(vectors), vectors, ids)
+                order = sorted(range(len(held)), key=lambda i: held[i][:2])
+                ids, numbers = (np.array([held[i][k] for i in order], np.int64) for k in (0, 1))
+                vectors = np.stack([held[i][2] for i in order])
+                tree = (KdTree(vectors), vectors, ids, numbers)
             return tree
 
         for batch in batches:
             values = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             dims = batch.column("dim").to_pylist()
             ends = np.cumsum(dims)
-            for i, (dim, part, vec_id, floor, number) in enumerate(zip(dims, *(batch.column(k).to_pylist() for k in ("shard", "vec_id", "floor", "block")), strict=True)):
+            columns = (batch.column(k).to_pylist() for k in ("shard", "vec_id", "row", "floor", "block"))
+            for i, (dim, part, vec_id, row, floor, number) in enumerate(zip(dims, *columns, strict=True)):
                 vector = values[ends[i] - dim:ends[i]]
                 if (dim, part) != key:
                     yield from answers()
                     tree, key, waiting_block = None, (dim, part), None
                     held = []
                 if number < 0:
-                    held.append((vec_id, vector.copy()))
+                    held.append((vec_id, row, vector.copy()))
                     continue
                 if number != waiting_block or len(waiting) >= 2 * block:
                     yield from answers()
                     waiting_block = number
-                waiting.append((vec_id, vector.copy(), floor))
+                waiting.append((vec_id, row, vector.copy(), floor))
         yield from answers()
 
+    columns = ["dim", "shard", "vec_id", "row", "vector", "floor", "block"]
+
     def round_of(questions: DataFrame) -> DataFrame:
-        both = data.union(questions.select("dim", "shard", "vec_id", "vector", "floor", "block"))
-        dealt = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block")
+        dealt = data.union(questions.select(*columns)).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block")
         return dealt.mapInArrow(find, schema)
 
-    home = saved(round_of(asked.select("dim", shard.alias("shard"), "vec_id", "vector", F.lit(None).cast("long").alias("floor"), "block")), "home")
-    floors = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select(
-        F.col("query_id").alias("vec_id"), F.when(F.col("n") >= top, F.col("least")).alias("floor"))
+    home = saved(round_of(asked.withColumns({"shard": shard, "floor": F.lit(None).cast("long")})), "home")
+    floors = home.groupBy(F.col("query_row").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select(
+        "row", F.when(F.col("n") >= top, F.col("least")).alias("floor"))
     found = home
     if shards > 1:
-        away = asked.withColumn("home", shard).join(floors, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
+        away = asked.withColumn("home", shard).join(floors, "row", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
         found = home.union(saved(round_of(away), "away"))
-    ranks = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
+    ranks = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id")))
     return found.withColumn("rank", ranks).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_exact_top_k(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    # A component beyond a long makes its vector unusable.
-    rows = rows.where(F.forall("v", lambda x: F.abs(x.cast("double")) * SCALE < 2.0**62))
-    rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("vector"))
+    least = F.lit(-(2**63) + 1)
+    rows = rows.select("vec_id", F.transform("v", lambda x: F.greatest(F.floor(x.cast("double") * SCALE), least)).alias("vector"))
     return nearest(rows, rows.where(F.col("vec_id") % EVERY == 0))

@@ -2,6 +2,8 @@
 
 import random
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,18 +123,22 @@ def test_decontamination_of_nothing(spark, documents):
     assert [tuple(r)[1:4] for r in contamination(documents([(1, "a b")]), none).collect()] == [(2, 0, 0)]
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 18, 1 << 40])
 @pytest.mark.parametrize("shard_rows", [1000, 40])
-def test_vector_search(spark, shard_rows):
+def test_vector_search(spark, shard_rows, scale):
+    """Against every pair of rows; a third of them share one id, and products need more bits from one scale to the next."""
     rng = np.random.default_rng(2)
-    vectors = np.concatenate([rng.integers(-20, 20, (150, 6)), np.tile([3, 1, 4, 1, 5, 9], (60, 1))])
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(0, vectors[0].tolist()), (900, [1, 2]), (920, []), (901, [5, -1])], "vec_id long, vector array<long>")
-    queries = rows.where("vec_id % 20 = 0")
-    got = {tuple(r) for r in vector_search.nearest(rows, queries, top=7, shard_rows=shard_rows, block=3).collect()}
-    want = {(900, 1, 901, 3)}
-    for q in range(0, len(vectors), 20):
-        score = vectors @ vectors[q]
-        best = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:7]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    vectors = np.concatenate([rng.integers(-20, 20, (100, 6)), np.tile([3, 1, 4, 1, 5, 9], (30, 1))]) * scale
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(40, v.tolist()) for v in rng.integers(-9, 9, (60, 6)) * scale]
+    rows += [(0, vectors[0].tolist()), (900, [1, 2]), (920, []), (901, [5, -1])]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = Counter(tuple(r) for r in vector_search.nearest(frame, frame.where("vec_id % 20 = 0"), top=7, shard_rows=shard_rows, block=3).collect())
+    want = Counter()
+    for k, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            score = lambda w: max(-2**63 + 1, min(2**63 - 1, sum(a * b for a, b in zip(v, w))))
+            best = sorted((-score(w), i) for n, (i, w) in enumerate(rows) if n != k and len(w) == len(v))[:7]
+            want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
     assert got == want
 
 
@@ -140,7 +146,19 @@ def test_vectors_that_take_no_part(spark, tmp_path):
     rows = [(0, [1.0, 2.0]), (20, [1e9, -3.0]), (1, [float("nan"), 1.0]), (2, None), (3, [1.0, None]), (4, [5.0, -5.01]), (5, [1e300, 1.0]), (6, [float("inf"), 0.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted((r.query_id, r.vec_id) for r in vector_search.op7_exact_top_k(spark, str(tmp_path)).collect())
-    assert got == [(0, 4), (0, 20), (20, 0), (20, 4)]
+    assert got == [(0, 4), (0, 5), (0, 20), (20, 0), (20, 4), (20, 5)]
+
+
+def test_repeated_ids_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from siftguard.llm.oracles import TOP_K
+    rows = [(20, [1.0, 2.0]), (20, [0.5, 4.0]), (1, [64.0, 1.0]), (1, [32.0, 1.0]), (1, [64.0, 1.0]), (40, [0.0, -1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = vector_search.op7_exact_top_k(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(TOP_K).fetchall()) and sum(r.vec_id == 1 for r in got) == 9
 
 
 def test_box_bounds_hold():
