@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,15 +81,32 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int | None = None
         start = stop
 
 
+def release() -> None:
+    """Hand freed memory back to the system; the pools of a worker would keep many megabytes between batches, and idle workers for good."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        library = ctypes.CDLL("libc.so.6")
+        return library if hasattr(library, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches into pieces of bounded text size, and of bounded row number: (rows, bytes, offsets)."""
     for batch in batches:
         data, offsets = text_arrays(batch.column(text))
         for start, stop in slices(offsets, most, rows):
             yield batch.slice(start, stop - start), data[offsets[start]:offsets[stop]], offsets[start:stop + 1] - offsets[start]
-        # A batch may hold many megabytes; the pool would keep them until the next one.
         del batch, data
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def packed(docs: DataFrame, *keep: str) -> DataFrame:

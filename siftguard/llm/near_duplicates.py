@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftguard.llm.common import dropped, packed, pieces, saved, ship, table, unpacked
+from siftguard.llm.common import dropped, packed, pieces, release, saved, ship, table, unpacked
 from siftguard.llm.words import SPACED_FOLDED, Runs, mix, signed, tokenize
 
 SHINGLE, PERCENT = 5, 75
@@ -216,6 +216,7 @@ def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                             found.append((lead[r], doc[r], len(other), len(own), int(common.sum()), signed(own[~common])))
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kinds[k]) for k in range(6)], ["a", "b", "size_a", "size_b", "overlap", "outside"])
+            release()
 
     return rows.select("doc", "lead", "salt", "partner", "ztext", "n_bytes").mapInArrow(
         compare, "a long, b long, size_a long, size_b long, overlap long, outside array<long>")
