@@ -122,7 +122,7 @@ def many_rules() -> list[dict]:
     """As many rules as a large organisation writes: words, tags with attributes, alternatives, some without a literal, some for other files."""
     words = [f"{a}{b}" for a in ("data", "link", "list", "item", "page", "text", "menu", "form") for b in ("row", "cell", "head", "body", "box")]
     rules = [{"id": f"tag-{t}-{n}", "pattern": rf"<{t}[^>]*{n}", "file_extensions": [".html"]} for t in ("div", "span", "table", "script", "section") for n in range(0, 1000, 2)]
-    rules += [{"id": f"word-{w}-{n}", "pattern": rf"(?i)\b{w}[-_ ]?{n}\b", "severity": "low"} for w in words for n in range(60)]
+    rules += [{"id": f"word-{w}-{n}", "pattern": rf"(?i)\b{w}[-_ ]?{n}\b", "severity": "low"} for w in words for n in range(62)]
     rules += [{"id": f"either-{n}", "pattern": rf"(?:alpha|beta){n}|[a-z]{n}{{3}}"} for n in range(0, 90, 3)]
     rules += [{"id": f"other-{n}", "pattern": rf"<p>{n}", "file_extensions": [".txt"]} for n in range(50)]
     return [*rules, {"id": "p", "pattern": "<p>[A-Z]"}, {"id": "href", "pattern": r"href=\"https?://[a-z0-9.-]+/"}]
