@@ -54,10 +54,34 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(c
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: Equal five-word hashes q words apart, joined to stretches; the crc32 of the id is computed byte by byte.
+PERIODIC_RUNS = f"""
+WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+               lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS ws,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM documents, tab),
+a AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM w),
+p AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1]
+        ELSE ws[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) END AS ws FROM a),
+g AS (SELECT r, n, i, md5(array_to_string(ws[i + 1:i + 5], ' ')) AS g FROM p, unnest(range(n - 4)) t(i)),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM s GROUP BY r, start, length HAVING length >= greatest(6, 4 * min(q))),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) AS nth FROM runs),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS shown FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(start + period, start + length)) t(i)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS words FROM (SELECT r, i, ws[i + 1] AS word FROM p, unnest(range(n)) t(i)) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(shown, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM p LEFT JOIN listed USING (r) LEFT JOIN kept USING (r) LEFT JOIN best ON best.r = p.r AND best.nth = 1
+"""
+
 ORACLES = {
     "op2_minhash_near_dedup": NEAR_DUPLICATES,
     "op3_mixing_sources_to_target_weights": mixing.ORACLE,
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op7_exact_top_k": TOP_K,
     "op8_substring_dedup": SUBSTRINGS,
+    "op11_periodic_run_detection": PERIODIC_RUNS,
 }
