@@ -166,6 +166,7 @@ ADVISED = {**PINS, "raw": f"""SELECT file, line, asev AS severity, {_weight('ase
 # Findings of every scanner over code and manifests.
 LINE_FOUND = {**_EVERY, "advised": DEDUP.format(source="(" + ADVISED["raw"] + ")"),
               "found": "SELECT file, line, title, severity, scanner FROM single UNION ALL SELECT file, line, title, severity, scanner FROM advised"}
+LINE_RAW = {**LINE_FOUND, "found": f"SELECT file, line, title FROM raw UNION ALL SELECT file, line, title FROM ({ADVISED['raw']})", "base": BASE}
 DIFF = {**LINE_FOUND, "base": BASE, "marked": f"SELECT file, line, title, severity, {LISTED} AS known FROM found"}
 
 HISTORY = {"scans": man.HISTORY_SQL, "child": man.HISTORY_FINDINGS_SQL}
@@ -350,9 +351,9 @@ ORACLES = {
     "stream_trend": f"SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, {FLAGS}, count(*) AS total, count(*) AS scan_count FROM events GROUP BY 1",
     "stream_trend_sliding": f"""SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(back AS INTEGER)) AS window_start, {FLAGS},
         count(*) AS total, count(*) AS scan_count FROM events, range(7) AS r(back) GROUP BY 1""",
-    "stream_precedence": _with(**RAW) + f"SELECT {OUT} FROM ({DEDUP.format(source='raw')})",
-    "stream_baseline": _with(**RAW, found="SELECT * FROM raw", base=BASE) + f"SELECT file, line, title FROM found WHERE NOT {LISTED}",
-    "stream_known": _with(**RAW, found="SELECT * FROM raw", base=BASE) + f"SELECT file, line, title FROM found WHERE {LISTED}",
+    "stream_precedence": _with(**LINE_FOUND) + f"""SELECT {OUT} FROM ({DEDUP.format(source='raw')}) UNION ALL SELECT {OUT} FROM advised""",
+    "stream_baseline": _with(**LINE_RAW) + f"SELECT file, line, title FROM found WHERE NOT {LISTED}",
+    "stream_known": _with(**LINE_RAW) + f"SELECT file, line, title FROM found WHERE {LISTED}",
     "history_retry": _with(**HISTORY) + "SELECT s.scan_id, s.total, count(*) AS findings FROM scans s JOIN child c USING (scan_id) GROUP BY ALL",
     "scan_many_rules": _with(kinds=PAGE_LINES, rules="SELECT * FROM (VALUES " + ", ".join(
         f"({q(r.title)}, {q(r.severity)}, {q(r.pattern)}, {q(','.join(r.exts))})" for r in user_rules(many_rules())) + ") AS t(title, severity, pattern, exts)")

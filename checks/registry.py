@@ -588,13 +588,13 @@ def stream_trend_sliding(spark, sf):
 
 
 def _arriving(spark, sf, purpose, waves) -> tuple[DataFrame, str]:
-    """Raw findings of every scanner over code files that arrive with a time, and the folder they arrive in."""
+    """Raw findings of every scanner over code and manifests that arrive with a time, and the folder they arrive in."""
     inbox = work_dir(spark, purpose)
-    files = code_files(spark, sf)
+    files = project_files(spark, sf)
     for frame in waves(files):
         frame.write.mode("append").parquet(inbox)
     stream_files = spark.readStream.schema(f"{FILES}, reported_at timestamp").parquet(inbox)
-    rows = raw_outcomes(stream_files, ScanConfig(enabled_scanners=CODE_SCANNERS), keep=["reported_at"])
+    rows = raw_outcomes(stream_files, ScanConfig(enabled_scanners=EVERY_SCANNER), keep=["reported_at"])
     return rows.filter("error is null").drop("error"), inbox
 
 
@@ -603,7 +603,7 @@ def _reported(files: DataFrame, day: int) -> DataFrame:
 
 
 def stream_precedence(spark, sf):
-    """Every code file is reported on two days, by all scanners; a late event closes the state. One finding per place and title remains."""
+    """Every file is reported on two days, by all scanners; a late event closes the state. One finding per place and title remains."""
     late = lambda files: _reported(files.limit(1), 60).withColumn("path", F.lit("late.py")).withColumn("content", F.lit("eval(x)"))
     found, inbox = _arriving(spark, sf, "reports", lambda files: [_reported(files, 0), _reported(files, 2)])
     single = stream.stream_first_findings(found, "reported_at", "7 days")
@@ -628,7 +628,8 @@ def stream_baseline(spark, sf):
 
 def _stream_diff(spark, sf, known):
     index, out = work_dir(spark, "baseline-index"), work_dir(spark, "stream-diff")
-    base.write_baseline_index(shifted_baseline(code_raw(spark, sf)), index)
+    known_before = raw_findings(project_files(spark, sf), ScanConfig(enabled_scanners=EVERY_SCANNER))[0]
+    base.write_baseline_index(shifted_baseline(known_before), index)
     found, _ = _arriving(spark, sf, "arriving", lambda files: [_reported(files, 0)])
     query = stream.start_baseline_diff(found, index, out, out + "-state", known, availableNow=True)
     query.awaitTermination()
