@@ -1,9 +1,9 @@
 """Scan history and suppressions on shared storage, as append-only parquet tables.
 
 *Attempts.* Everything a scan writes carries the id of the attempt. Its header row goes last and is the commit marker: findings count only
-if their attempt has a header. Of several committed attempts of one scan the latest counts, so a retry, after a failed
-header or after a success nobody heard of, never shows a finding twice. Deleting appends a tombstone for the attempt, so a scan that is added
-again is visible again.
+if their attempt has a header. An attempt that replaces earlier ones says so before its header is written, in tombstones that hold
+once that header is there; so a retry, after a failed header or after a success nobody heard of, never shows a finding twice, nor none. Deleting appends a
+tombstone for the attempt, so a scan that is added again is visible again. One scan id has one writer at a time.
 
 *Rollups.* Each append stores the scan's findings per title. ``seal`` folds the headers of past days into one row per day, with a
 mergeable sketch of the targets; reading takes sealed days from there and the others from their headers. A change to a sealed day marks it open again
@@ -32,6 +32,7 @@ SCANS = ("scan_id string, target_path string, scanned_at timestamp, files_scanne
          "total bigint, scan_date date")
 _MARK = "attempt string, committed_at timestamp"
 _STORED_FINDINGS = f"scan_id string, {FINDINGS}, attempt string, scan_date date"
+_TOMBSTONES = "scan_id string, attempt string, replaced_by string, replaced_on date"
 _TITLES = "scan_id string, attempt string, title string, n bigint, scan_date date"
 DAYS = ("scan_count bigint, critical bigint, high bigint, medium bigint, low bigint, info bigint, total bigint, "
         "last_scan timestamp, projects binary, sealed_at timestamp, scan_date date")
@@ -61,13 +62,15 @@ class HistoryStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _headers(self) -> DataFrame:
+        return self._read("scans", f"{SCANS}, {_MARK}").withColumn("attempt", F.coalesce("attempt", F.lit("")))
+
     def _live(self) -> DataFrame:
-        """Headers that count: the latest attempt of each scan, unless it has a tombstone."""
-        rows = self._read("scans", f"{SCANS}, {_MARK}").withColumn("attempt", F.coalesce("attempt", F.lit("")))
-        latest = Window.partitionBy("scan_id").orderBy(F.desc_nulls_last("committed_at"), F.desc("attempt"))
-        rows = rows.withColumn("_nth", F.row_number().over(latest)).filter("_nth = 1").drop("_nth")
-        gone = self._read("deleted_scans", "scan_id string, attempt string").select("scan_id", F.coalesce("attempt", F.lit("")).alias("attempt")).distinct()
-        return rows.join(gone, ["scan_id", "attempt"], "left_anti")
+        """Headers without a tombstone that holds. Conditions on the date reach the scan of the headers."""
+        gone = self._read("deleted_scans", _TOMBSTONES)
+        committed = self._headers().select(F.col("attempt").alias("replaced_by"), F.col("scan_date").alias("replaced_on")).distinct()
+        holds = gone.filter("replaced_by is null").unionByName(gone.join(committed, ["replaced_by", "replaced_on"], "left_semi").select(gone.columns))
+        return self._headers().join(holds.select("scan_id", F.coalesce("attempt", F.lit("")).alias("attempt")).distinct(), ["scan_id", "attempt"], "left_anti")
 
     def scans(self) -> DataFrame:
         return self._live().select(*_SCAN_COLUMNS)
@@ -118,7 +121,11 @@ class HistoryStore:
         written = self._read("findings", _STORED_FINDINGS).filter(F.col("attempt") == attempt)
         per_title = written.groupBy("scan_date", "scan_id", "attempt", F.coalesce("title", F.lit("Unknown")).alias("title")).agg(F.count(F.lit(1)).alias("n"))
         per_title.write.mode("append").partitionBy("scan_date").parquet(f"{self.root}/titles")
-        self._open(dated.select("scan_date").distinct())
+        before = stored(self._live().join(days.withColumnRenamed("scan_date", "replaced_on"), "scan_id").select("scan_id", "attempt", "scan_date", "replaced_on"), "replaced")
+        self._open(dated.select("scan_date").union(before.select("scan_date")).distinct())
+        if not before.isEmpty():
+            marks = before.select("scan_id", "attempt", F.lit(attempt).alias("replaced_by"), "replaced_on")
+            marks.write.mode("append").parquet(f"{self.root}/deleted_scans")
         counted = severity_counts(written.select("scan_id", "severity"), ["scan_id"], dated)
         header = dated.join(counted, "scan_id").withColumns({"attempt": F.lit(attempt), "committed_at": _now()})
         header.select(*_SCAN_COLUMNS[:-1], "attempt", "committed_at", "scan_date").write.mode("append").partitionBy("scan_date").parquet(f"{self.root}/scans")
@@ -132,7 +139,7 @@ class HistoryStore:
         if found.isEmpty():
             return False
         self._open(found.select("scan_date"))
-        found.select("scan_id", "attempt").write.mode("append").parquet(f"{self.root}/deleted_scans")
+        found.select("scan_id", "attempt", F.lit(None).cast("string").alias("replaced_by"), F.lit(None).cast("date").alias("replaced_on")).write.mode("append").parquet(f"{self.root}/deleted_scans")
         return True
 
     def delete_suppression(self, suppression_id: str) -> bool:
