@@ -13,27 +13,39 @@ from siftguard.llm.secret_scan import redact_secrets
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those whose language cannot be told."""
+    """Drop documents without letters, null and empty texts among them; every other text has a most likely language and stays.
+
+    All columns stay as they are, whatever their names. Repeated rows share their fate; an empty table stays empty.
+    """
     return keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
+    """Keep the document with the smallest id of each group of near duplicates.
+
+    Texts without words are in no group and stay, and so do rows without an id; of rows that share the kept id all stay.
+    """
     return keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a window of a benchmark item occurs."""
+    """Drop documents in which a window of a benchmark item occurs; rows are judged by their own text, also where ids repeat or are missing.
+
+    Texts without words stay; with an empty benchmark all stay.
+    """
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; every document stays."""
+    """Replace secrets in the texts; every document stays, null and empty texts as they are, and ``n_chars`` follows the new text."""
     return redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Select documents to the target weights: one row per document and epoch, with the tokens taken."""
+    """Select documents to the target weights: one row per document and epoch, with the tokens taken as ``epoch`` and ``take_tokens``.
+
+    Those two replace columns of the same names. Documents without tokens come along with whatever their place selects; an empty table gives none.
+    """
     return mixed_documents(docs)
 
 
