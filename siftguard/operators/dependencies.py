@@ -21,7 +21,7 @@ from ..rules import SEVERITY_WEIGHTS, scanner_base
 from ..rules.advisories import ADVISORIES as BUNDLED
 from ..schemas import ADVISORIES, NOTES, RAW_COLUMNS
 from ..session import dimension
-from .intervals import interval_join, stored
+from .intervals import interval_join, running_totals, stored
 from .joins import salted_join
 from .lines import drop_last_empty, split_lines
 
@@ -215,6 +215,23 @@ def match_advisory_feed(deps: DataFrame, table: DataFrame) -> DataFrame:
     return salted_join(pins, found, ["pkg_key", "ver_key"], "inner", F.struct("file", "line"))
 
 
+def count_advisory_feed(deps: DataFrame, table: DataFrame) -> DataFrame:
+    """Per advisory of a feed with any, the ``pins`` and the distinct ``versions`` that ``match_advisories`` pairs it with, without the pairs.
+
+    Pins and advisories of a package multiply, so the pairs outgrow both tables. Counts need none: pins are added up per distinct version, and
+    a bound is answered by the running totals of its package up to it. Rows of the feed are told apart by ``advisory_id``, ``pkg_key`` and ``max_key``.
+    """
+    known = "pkg_key is not null and key is not null"
+    pins = deps.select("pkg_key", version_key(F.col("ver")).alias("key"), F.lit(1).cast("bigint").alias("pins"), F.lit(False).alias("asked"))
+    bounds = table.select("pkg_key", F.col("max_key").alias("key"), F.lit(0).cast("bigint").alias("pins"), F.lit(True).alias("asked"))
+    places = pins.unionByName(bounds).where(known).groupBy("pkg_key", "key").agg(F.sum("pins").alias("pins"), F.max("asked").alias("asked"))
+    places = places.withColumn("versions", (F.col("pins") > 0).cast("bigint"))
+    totals = running_totals(places, ["pkg_key"], "key", ["pins", "versions"]).where("asked and pins > 0").drop("asked")
+    # One bound of a popular package may stand in a large share of the feed.
+    notes = table.withColumnRenamed("max_key", "key")
+    return salted_join(notes, totals, ["pkg_key", "key"], "inner", F.col("advisory_id")).withColumnRenamed("key", "max_key").select(*table.columns, "pins", "versions")
+
+
 def _vulnerable_title(advisory: Column) -> Column:
     return F.concat(F.lit("Vulnerable Dependency — "), F.col("pkg"), F.lit(" "), F.col("ver"),
                     F.lit(" ("), advisory, F.lit(")"))

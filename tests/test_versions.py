@@ -100,3 +100,23 @@ def test_a_popular_package_is_dealt_out_evenly(spark):
     found = interval_join(pins, bounds, ["pkg_key"], 1000)
     busy = sorted(r["count"] for r in found.where("pkg_key = 'hot'").groupBy(F.spark_partition_id()).count().collect())
     assert sum(busy) > 100_000
+
+
+def test_counting_a_feed_needs_no_pairs(spark):
+    """Counts equal those of the pairs, however the rows are dealt, and 400 million pairs are counted without being made."""
+    rng = random.Random(8)
+    pins = [(f"f{i}", i, rng.choice(["hot", "hot", "a", "b", None]), rng.choice(["1", "1.0", "0.3", "2.1-4", "x", None, f"{rng.randint(0, 3)}.{rng.randint(0, 9)}"])) for i in range(400)]
+    feed = [(rng.choice(["hot", "a", "c", None]), f"A{i}", "HIGH", rng.choice([None, [0, 0, 0, 0], [rng.randint(0, 3), rng.randint(0, 9), 0, 0]])) for i in range(90)]
+    feed += [("a", "A1", "HIGH", [3, 0, 0, 0]), ("hot", "A2", "HIGH", [1, 0, 0, 0]), ("hot", "A2", "HIGH", [1, 0, 0, 0])]
+    deps_ = spark.createDataFrame(pins, "file string, line int, pkg_key string, ver string")
+    table = spark.createDataFrame(feed, "pkg_key string, advisory_id string, severity string, max_key array<bigint>")
+    row = ["advisory_id", "pkg_key", "max_key"]
+    paired = deps.match_advisories(deps_, table).groupBy(*row).agg(F.count(F.lit(1)).alias("pins"), F.countDistinct("ver_key").alias("versions"))
+    counted = deps.count_advisory_feed(deps_, table).groupBy(*row).agg(F.sum("pins").alias("pins"), F.max("versions").alias("versions"))
+    want = sorted(map(str, paired.collect()))
+    assert sorted(map(str, counted.collect())) == want and len(want) > 40
+    many = spark.range(20_000)
+    pinned = many.select(F.lit("f").alias("file"), F.col("id").cast("int").alias("line"), F.lit("hot").alias("pkg_key"), F.concat(F.lit("0."), F.col("id") % 500).alias("ver"))
+    noted = many.select(F.lit("hot").alias("pkg_key"), F.col("id").cast("string").alias("advisory_id"), F.lit("HIGH").alias("severity"), F.array(F.lit(9), *[F.lit(0)] * 3).cast("array<bigint>").alias("max_key"))
+    found = deps.count_advisory_feed(pinned, noted)
+    assert found.where("pins = 20000 and versions = 500").count() == 20_000
