@@ -45,6 +45,24 @@ def test_the_earliest_scanner_wins_whenever_it_arrives(spark, tmp_path):
     assert {tuple(r) for r in batch} <= {r[:4] for r in rows}
 
 
+def test_findings_of_a_block_of_lines_share_a_state(spark, tmp_path):
+    """A thousand findings of a file cost a few calls; each of them still has its own time."""
+    rows = [("a", n, f"T{n % 7}", 50 + d - n % 3 * d, n, d * 2) for n in range(1000) for d in (0, 1)] + [("a", 5, "later", 1, 1, 3), ("a", 5, None, 1, 1, 0), (None, 5, "T", 2, 1, 0)]
+    inbox, out = str(tmp_path / "in"), tmp_path / "out"
+    _raw(spark, rows).write.parquet(inbox)
+    single = stream_first_findings(spark.readStream.schema(_raw(spark, []).schema).parquet(inbox), "at", "7 days")
+    assert _drain(spark, single, out).count() == 0
+    _raw(spark, [("z", 1, "end", 1, 1, 16)]).write.mode("append").parquet(inbox)
+    # The watermark is at day 9: what arrived on day 3 is held until day 10.
+    got = sorted(((r.file, r.line, r.title, r.rule_ord) for r in _drain(spark, single, out).collect()), key=str)
+    want = deduplicate(_raw(spark, rows).select(RAW_COLUMNS)).where("title is null or title <> 'later'").select("file", "line", "title", "rule_ord").collect()
+    assert got == sorted(map(tuple, want), key=str) and len(got) == 1002
+    kept = spark.read.format("statestore").option("path", f"{out}-state").option("stateVarName", "held").load()
+    assert kept.count() <= 6
+    _raw(spark, [("z", 1, "end", 1, 1, 60)]).write.mode("append").parquet(inbox)
+    assert _drain(spark, single, out).where("title = 'later'").count() == 1
+
+
 def test_a_stored_baseline_is_joined_by_shard(spark, tmp_path):
     found = _raw(spark, [(f"f{i}.py", n, "T", 1, n, 0) for i in range(300) for n in (1, 50)])
     entries = found.filter("line = 50").select(F.upper("file").alias("file"), (F.col("line") + 2).alias("line"), "title", "severity", "scanner")
