@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import many_rules
 from siftguard.operators.lines import explode_lines, with_file_facts
-from siftguard.operators.rule_index import GRAM, index_of, mandatory_literal, match_many
+from siftguard.operators.rule_index import GRAM, index_of, keys_of, mandatory_literal, match_many, search_pattern, ways_of
 from siftguard.operators.rulescan import match_rules
 from siftguard.plans.scan import lines_of
 from siftguard.rules import Rule
@@ -83,3 +84,41 @@ def test_lines_of_any_length(spark):
     rules = user_rules([{"id": "n", "pattern": "needle"}])
     got = match_many(_lines(spark, {"a.py": "h" * 500_000 + "needle\nabc\n\n"}), rules).select("line", F.length("text").alias("n")).collect()
     assert [(r.line, r.n) for r in got] == [(1, 500_006)]
+
+
+@pytest.mark.parametrize("pattern, ways", [
+    ("a|b", []), ("(?:alpha|beta)12|[a-z]12{3}", [["12", "alpha"], ["12", "beta"], ["1222"]]), ("pass|tok", [["pass"], ["tok"]]), ("[a-z]0{3}", [["000"]]),
+    ("x(?:ab|)y", [["x", "y"]]), ("(?:ab|cde){1,2}f", [["f", "ab"], ["f", "cde"]]), ("ab{2,5}c", [["abb", "c"]]), ("(?:ab|cd)?ef", [["ef"]])])
+def test_ways_of_a_pattern(pattern, ways):
+    assert ways_of(pattern) == ways
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(PARTS, min_size=1, max_size=4).map("".join), min_size=1, max_size=3).map("|".join), st.integers(0, 10**6))
+def test_every_match_holds_one_way(pattern, seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["ab", "cd", "cdd", "ef", "gh", "ik", "jk", "ll", "m", "no", " ", "p", "pqq", "R", "r", "xyz1", ".", "st"]) for _ in range(12))
+    ways = ways_of(pattern)
+    if ways and re.search(pattern, text):
+        assert any(all(literal in text.lower() for literal in way) for way in ways)
+
+
+@given(st.sets(st.text("ab01", min_size=1, max_size=GRAM), min_size=1, max_size=12), st.text("ab01 ", max_size=20))
+def test_search_finds_every_key(keys, text):
+    found = re.compile(search_pattern(keys)).findall(text)
+    assert {t[:n] for t in found for n in range(1, GRAM + 1)} >= {k for k in keys if k in text}
+
+
+def test_lines_meet_few_rules(spark, files):
+    """Five hundred rules share ``<div``; a line is read once and meets those whose number it holds, in any spelling of its letters."""
+    rules = user_rules(many_rules())
+    keyed, others = keys_of(rules)
+    shared = Counter(way for _, ways in keyed for way in ways)
+    assert others == [] and max(shared.values()) <= 8
+    frame = match_many(lines_of(files({"a.html": "<div class=\"x\"> 998 ſ K İ ı\n<DIV 998\nalpha12 beta12 a1222\nDATAROW 61"})), rules)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+    title = {r.rule_ord: r.title for r in rules}
+    assert sorted((r.line, title[r.rule_ord]) for r in frame.collect()) == [(3, "either-12"), (4, "word-datarow-61")]
+    folded = match_many(lines_of(files({"a.html": "<div 998 K\nlinKrow-7\nlİstrow-7\nLıſtrow-7"})), rules).collect()
+    want = match_rules(lines_of(files({"a.html": "<div 998 K\nlinKrow-7\nlİstrow-7\nLıſtrow-7"})), [r for r in rules if r.title in ("word-linkrow-7", "word-listrow-7") or r.title.startswith("tag-div-")][:60]).collect()
+    assert {(r.line, title[r.rule_ord]) for r in want} <= {(r.line, title[r.rule_ord]) for r in folded} and len({r.line for r in folded}) >= 2
