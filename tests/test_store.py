@@ -1,5 +1,7 @@
 """Scan history by attempts, and its rollups."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,16 @@ def test_estimated_projects_lie_within_the_bound(spark, tmp_path):
     store.seal("2024-01-08")
     got = store.history_stats().first()
     assert got.total_scans == 20_000 and abs(got.total_projects - 7000) <= 0.03 * 7000 and got.total_findings == 0
+
+
+def test_scans_are_worked_out_once_and_headers_not_repeated(spark, tmp_path):
+    """Scans whose plan gives another day each time keep their findings; readers join each header once."""
+    day = F.udf(lambda n: random.randint(0, 27), "int").asNondeterministic()
+    scans = spark.range(40).select(
+        F.col("id").cast("string").alias("scan_id"), F.lit("p").alias("target_path"), F.timestamp_seconds(F.lit(1_704_100_000) + day("id") * 86_400).alias("scanned_at"),
+        F.lit(1).cast("bigint").alias("files_scanned"), F.lit(0).cast("bigint").alias("files_skipped"), F.lit(1.0).alias("scan_duration"))
+    store = HistoryStore(spark, str(tmp_path))
+    store.append_many(scans, _findings(spark, 200).withColumn("scan_id", (F.regexp_extract("file", "f([0-9]+)", 1).cast("int") % 39).cast("string")))
+    assert store.findings().count() == 200 and store.titles().agg(F.sum("n")).first()[0] == 200
+    assert sorted(r.total for r in store.scans().collect()) == [0, *[5] * 34, *[6] * 5]
+    assert "Generate" not in store.findings()._jdf.queryExecution().optimizedPlan().toString()
