@@ -59,3 +59,14 @@ def test_hot_scan_in_documents(spark):
     assert sum(sizes) == HOT + 300 and max(sizes) <= 4096
     rows = export.diagnostics_by_file(found).filter("file = 'hot.py'").select("n").collect()
     assert sum(r.n for r in rows) == HOT and max(r.n for r in rows) <= export.FILE_BLOCK
+
+
+def test_records_of_pins_are_not_repeated(spark):
+    pins = spark.range(50).select(
+        F.concat(F.lit("p"), F.col("id").cast("string"), F.lit("/requirements.txt")).alias("file"), F.lit("requirements.txt").alias("manifest"),
+        F.lit("lodash").alias("pkg"), F.lit("lodash").alias("pkg_key"), F.lit("4.17.20").alias("ver"), F.lit(1).alias("line"),
+        F.lit("lodash==4.17.20").alias("code_snippet"), F.lit("lodash==4.17.20").alias("source_line"), F.lit(1).cast("bigint").alias("dep_seq"))
+    records = spark.range(30).selectExpr(
+        "'PyPI' AS ecosystem", "'lodash' AS pkg", "'4.17.20' AS ver", "concat('A', id) AS advisory_id", "'s' AS summary", "'d' AS details", "'HIGH' AS adv_severity", "'5' AS fix_version")
+    found = deps.osv_findings(pins, records, deps.advisories(spark))
+    assert "_salt" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 1500
