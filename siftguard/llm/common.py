@@ -49,6 +49,11 @@ def dropped(*stages: DataFrame) -> None:
         path.getFileSystem(stage.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Have the driver collect its garbage. Only then Spark removes shuffle files and broadcasts of steps that are through, and the driver keeps their plans as long."""
+    spark._jvm.System.gc()
+
+
 def ascii_lower(text):
     """Lower-case A-Z and nothing that matters besides, as an expression.
 

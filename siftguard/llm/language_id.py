@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftguard.llm.common import held_out, pieces, saved, ship, table, unused
+from siftguard.llm.common import held_out, pieces, release, saved, ship, table, unused
 
 #: Labelled documents per language and in all, of which features reach the driver (16 KB each).
 PER_LANGUAGE, TOTAL = 400, 4000
@@ -160,7 +160,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -
     sample = sorted((r.lang, bytes(r.x)) for r in texts.select("lang", "text").mapInArrow(count, "lang string, x binary").collect())
     if not sample:
         return None
-    return LanguageModel(np.stack([np.frombuffer(x, np.float32) for _, x in sample]), [lang for lang, _ in sample])
+    langs, rows = [lang for lang, _ in sample], np.stack([np.frombuffer(x, np.float32) for _, x in sample])
+    del sample
+    model = LanguageModel(rows, langs)
+    del rows
+    release()
+    return model
 
 
 def identified(docs: DataFrame, model: LanguageModel | None, into: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:

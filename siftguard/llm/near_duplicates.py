@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftguard.llm.common import dropped, packed, pieces, release, saved, ship, table, unpacked
+from siftguard.llm.common import dropped, packed, pieces, release, saved, ship, table, tidied, unpacked
 from siftguard.llm.words import SPACED_FOLDED, Runs, mix, signed, tokenize
 
 SHINGLE, PERCENT = 5, 75
@@ -237,17 +237,19 @@ def connected(edges: DataFrame) -> DataFrame:
 
     edges = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     before = state(edges)
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
     while True:
-        both = edges.union(edges.select("b", "a"))
+        # Rows are doubled in place; unions of two halves would hold what is below them twice, and so eight times in a step.
+        both = edges.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
         lowest = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.join(lowest, both.a == lowest.node).where("b > a").select(F.col("low").alias("a"), "b").where("a < b").distinct()
         up = large.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
-        small = large.join(up, large.b == up.node)
-        small = small.select(F.col("low").alias("a"), F.col("a").alias("b")).union(small.select(F.col("low").alias("a"), F.col("node").alias("b")))
+        small = large.join(up, large.b == up.node).select(F.inline(F.array(pair("low", "a"), pair("low", "node"))))
         after = saved(small.where("a < b").distinct(), "edges")
         dropped(edges)
         edges, last, before = after, before, state(after)
         if before == last:
+            tidied(edges.sparkSession)
             return edges.select(F.col("b").alias("node"), F.col("a").alias("low"))
 
 
@@ -279,6 +281,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     heads = saved(members.join(degree, "node").groupBy("bucket").agg(F.max_by("node", "degree").alias("lead")), "heads")
     placed = saved(members.join(heads, "bucket").select("bucket", "node", "lead"), "placed")
     dropped(sizes, members, heads)
+    tidied(docs.sparkSession)
     nodes = saved(nodes.join(degree.select("node"), "node", "left_semi"), "candidates")
     pairs = saved(placed.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     sized = pairs.join(nodes.groupBy(F.col("node").alias("b")).agg(F.max("n_shingles").alias("n_b")), "b")
@@ -291,6 +294,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     likely = saved(_likely(more, nodes, close), "likely")
     again = saved(_linked(_compared(docs, likely)), "links")
     dropped(placed, pairs, compared, more, likely, label, degree, nodes)
+    tidied(docs.sparkSession)
     return links.union(again)
 
 
@@ -331,6 +335,7 @@ def _straggler_pairs(placed: DataFrame, label: DataFrame, compared: DataFrame, t
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     out = saved(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     dropped(known, open_buckets, rows, common, shared)
+    tidied(placed.sparkSession)
     return out
 
 

@@ -77,6 +77,20 @@ def test_connected(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 95: 90, 100: 90, **{1000 + i: 1000 for i in range(1, 200)}}
 
 
+def test_steps_of_connected_stay_small_plans(spark, monkeypatch):
+    """The driver plans and compiles every step, so a step may not hold its input many times over."""
+    scans = []
+
+    def noted(frame, name, inner=near.saved):
+        scans.append(frame._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return inner(frame, name)
+
+    monkeypatch.setattr(near, "saved", noted)
+    rows = near.connected(spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (70, 60)], "a long, b long")).collect()
+    assert {(r.node, r.low) for r in rows} == {(i, 1) for i in range(2, 41)} | {(60, 50), (70, 50)}
+    assert len(scans) > 2 and max(scans) <= 4
+
+
 def _passages():
     shared, hot = _text(60), _text(50)
     rows = [(i, f"{_text(random.randint(0, 40))} {hot} {_text(random.randint(0, 40))}") for i in range(100, 220)]
